@@ -1,4 +1,7 @@
 """Registered queries and the SQL that each is compared with."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import learner, models
+
+_PARTS = (learner, models)
+QUERIES: dict = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+ORACLE_SQL: dict = {k: s for part in _PARTS for k, s in part.SQL.items()}
