@@ -17,8 +17,8 @@ VIEWS = {
     "sessions": """select session_id, user_id, concept_id, session_no, mode, max(created_at) as created_at,
       coalesce(avg(case when not is_spaced then correct::int::double end), avg(correct::int::double)) * 100.0::double as score
       from attempts group by all""",
-    "predicates": "select * from (values " + ", ".join(f"({i}, '{n}', {a}, {d})" for i, (n, a, d) in enumerate(PREDICATES)) + ") as t(idx, name, asymmetric, dag)",
-    "edges": """select src, dst, name as rel, edge_id, asymmetric, dag from (select l_partkey % 30 as src, l_suppkey % 30 as dst, (l_orderkey // 10) % 25 as idx, min(l_orderkey) as edge_id
+    "predicates": "select * from (values " + ", ".join(f"({i}, '{n}', {a}, {d})" for i, (n, a, d) in enumerate(PREDICATES)) + ") as t(idx, name, asym, dag)",
+    "edges": """select src, dst, name as rel, edge_id, asym, dag from (select l_partkey % 30 as src, l_suppkey % 30 as dst, (l_orderkey // 10) % 25 as idx, min(l_orderkey) as edge_id
       from lineitem where l_linenumber = 1 and l_orderkey % 10 = 0 and l_orderkey < 15000 group by 1, 2, 3) e join predicates p on p.idx = e.idx""",
     "nodes": "select i::bigint as node, 'Concept ' || i as name, (i % 3)::bigint as owner from range(30) as r(i)",
     "verifier_gold": "select doc_id, ['a', 'b', 'c'][doc_id % 3 + 1] as verdict, ((doc_id * 37 % 101) / 100.0)::double as confidence, quality = 1 as human, ['a', 'b', 'c'][(doc_id // 3) % 3 + 1] as human_verdict from labels",
