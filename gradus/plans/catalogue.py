@@ -1,7 +1,7 @@
 """Registered queries and the SQL that each is compared with."""
 
-from . import graphs, learner, models, texts
+from . import graphs, learner, models, streams, texts
 
-_PARTS = (learner, models, graphs, texts)
+_PARTS = (learner, models, graphs, texts, streams)
 QUERIES: dict = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 ORACLE_SQL: dict = {k: s for part in _PARTS for k, s in part.SQL.items()}
