@@ -77,10 +77,14 @@ def slope(sessions: DataFrame, last: int = 10) -> DataFrame:
     return s.groupBy("user_id", "concept_id").agg(half_up(F.coalesce(F.regr_slope("score", -F.col("back").cast("double")), F.lit(0.0))).alias("slope"), F.count("*").alias("points"))
 
 
-def baseline_gain(sessions: DataFrame) -> DataFrame:
-    """E-08 and I-31: gain against the first earlier diagnostic score, else the first earlier score of any mode."""
+def gains(sessions: DataFrame) -> DataFrame:
+    """E-08 and I-31: adds baseline, the first earlier diagnostic score, else the first earlier score of any mode, and nlg."""
     w = Window.partitionBy("user_id", "concept_id").orderBy("created_at", "session_id").rowsBetween(Window.unboundedPreceding, -1)
     first = F.first(F.when(F.col("mode") == "diagnostic", F.col("score")), ignorenulls=True).over(w)
     base = F.coalesce(first, F.first("score").over(w))
     s = sessions.withColumn("baseline", base)
-    return s.select("session_id", "user_id", "concept_id", "mode", "created_at", half_up(F.col("score")).alias("score"), half_up(F.col("baseline")).alias("baseline"), half_up(F.when(F.col("baseline").isNotNull(), M.learning_gain(F.col("baseline"), F.col("score")))).alias("nlg"))
+    return s.withColumn("nlg", F.when(F.col("baseline").isNotNull(), M.learning_gain(F.col("baseline"), F.col("score"))))
+
+
+def baseline_gain(sessions: DataFrame) -> DataFrame:
+    return gains(sessions).select("session_id", "user_id", "concept_id", "mode", "created_at", *[half_up(F.col(c)).alias(c) for c in ("score", "baseline", "nlg")])

@@ -163,7 +163,7 @@ def baseline_nlg(spark, sf_dir) -> DataFrame:
 @query("nlg_sparkline", sql(f"""select user_id, string_agg({r6('nlg', 2)}::decimal(9,2)::varchar, ' ' order by created_at, session_id) as last_gains, count(*)::bigint as points from (select *, row_number() over (partition by user_id order by created_at desc, session_id desc) as back from gained where nlg is not null) where back <= 5 group by 1""", "sessions", more=_GAIN))
 def nlg_sparkline(spark, sf_dir) -> DataFrame:
     """E-06: the newest five gains of a user, oldest first."""
-    s = metrics.baseline_gain(views.sessions(spark, sf_dir)).where("nlg is not null")
+    s = metrics.gains(views.sessions(spark, sf_dir)).where("nlg is not null")
     s = s.withColumn("back", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("session_id")))).where("back <= 5")
     top = F.sort_array(F.collect_list(F.struct("created_at", "session_id", half_up(F.col("nlg"), 2).cast("decimal(9,2)").cast("string").alias("g"))))
     return s.groupBy("user_id").agg(top.alias("top"), F.count("*").alias("points")).select("user_id", F.array_join("top.g", " ").alias("last_gains"), "points")
@@ -172,14 +172,10 @@ def nlg_sparkline(spark, sf_dir) -> DataFrame:
 @query("stats_clamped_nlg", sql(f"""select user_id, {r6('avg(score)')} as avg_score, {r6('avg((score >= 80)::int::double)')} as pass_rate, {r6('avg(greatest(-1.0::double, least(1.0::double, nlg))) * 100')} as mean_nlg from gained group by 1""", "sessions", more=_GAIN))
 def stats_clamped_nlg(spark, sf_dir) -> DataFrame:
     """D-21, D-04."""
-    s = metrics.baseline_gain(views.sessions(spark, sf_dir))
+    s = metrics.gains(views.sessions(spark, sf_dir))
     return s.groupBy("user_id").agg(half_up(F.avg("score")).alias("avg_score"), half_up(F.avg((F.col("score") >= M.PASS).cast("double"))).alias("pass_rate"), half_up(F.avg(M.clamp(F.col("nlg"), -1.0, 1.0)) * 100.0).alias("mean_nlg"))
 
 
-SQL["stats_clamped_nlg"] = SQL["stats_clamped_nlg"].replace("least(1.0::double, nlg)", f"least(1.0::double, {r6('nlg')})").replace("avg(score)", f"avg({r6('score')})").replace("(score >= 80)", f"({r6('score')} >= 80)")
-SQL["nlg_sparkline"] = SQL["nlg_sparkline"].replace(r6("nlg", 2), r6(r6("nlg"), 2))
-
-
 @query("auc_roc", sql(f"""select user_id, n::bigint as n_attempts, {r6('coalesce(area::double / nullif(p * (n - p), 0), 0.5::double)', 4)} as auc, {r6('coalesce(shared / nullif(p * (n - p), 0), 0.5::double)', 4)} as auc_tied, n >= 10 as reported from (select user_id, count(*) as n, sum(y) as p, sum(case when y = 0 then tp else 0 end) as area, sum(case when y = 0 then tpl - same / 2.0::double else 0 end) as shared from (select user_id, y, sum(y) over (partition by user_id order by confidence desc, created_at, attempt_id rows between unbounded preceding and current row) as tp, sum(y) over (partition by user_id order by confidence desc range between unbounded preceding and current row) as tpl, sum(y) over (partition by user_id, confidence) as same from (select *, correct::int as y from attempts)) group by 1)""", "attempts"))
 def auc_roc(spark, sf_dir) -> DataFrame:
     return metrics.auc(views.attempts(spark, sf_dir))
@@ -195,9 +191,6 @@ def difficulty_distribution(spark, sf_dir) -> DataFrame:
 @query("system_metrics", sql(f"""select count(distinct user_id)::bigint as students, {r6("avg((score > 75)::int::double)")} as mastery_share, {r6("count(*)::double / count(distinct user_id)")} as sessions_per_user, {r6("avg(case when mode = 'practice' then score end) - avg(case when mode = 'diagnostic' then score end)")} as practice_delta, {r6("avg(nlg)")} as mean_nlg from gained""", "sessions", more=_GAIN))
 def system_metrics(spark, sf_dir) -> DataFrame:
     """D-09, I-37, Q-15."""
-    w = Window.partitionBy("user_id", "concept_id").orderBy("created_at", "session_id").rowsBetween(Window.unboundedPreceding, -1)
-    base = F.coalesce(F.first(F.when(F.col("mode") == "diagnostic", F.col("score")), ignorenulls=True).over(w), F.first("score").over(w))
-    s = views.sessions(spark, sf_dir).withColumn("baseline", base)
-    s = s.withColumn("nlg", F.when(F.col("baseline").isNotNull(), M.learning_gain(F.col("baseline"), F.col("score"))))
+    s = metrics.gains(views.sessions(spark, sf_dir))
     of = lambda m: F.avg(F.when(F.col("mode") == m, F.col("score")))
     return s.agg(F.countDistinct("user_id").alias("students"), half_up(F.avg((F.col("score") > 75).cast("double"))).alias("mastery_share"), half_up(F.count("*") / F.countDistinct("user_id")).alias("sessions_per_user"), half_up(of("practice") - of("diagnostic")).alias("practice_delta"), half_up(F.avg("nlg")).alias("mean_nlg"))
