@@ -14,7 +14,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark(tmp_path_factory):
     at = tmp_path_factory.mktemp("spark")
     conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.checkpoint.dir": str(at / "shared"), "spark.sql.warehouse.dir": str(at / "warehouse"), "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"}
-    session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
+    session = SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[4]")).config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
