@@ -23,7 +23,15 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text) if _OTHER_SPACE.search(text) else text.split()
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: at most so many rows go to a Python worker at a time, which bounds its memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows as Parquet to the shared folder and read them back."""
+    bounded_batches(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -66,21 +66,29 @@ def cover_tree(x: np.ndarray, rows: np.ndarray | None = None, level: float = 1.0
     each centre's rows make a child with half the level."""
     rows = np.arange(len(x)) if rows is None else rows
     centre = int(rows[0])
-    d = distances(x[rows], x[[centre]])[:, 0]
-    radius = float(d.max())
-    if len(rows) == 1 or radius <= finest:
+    if len(rows) == 1:
+        return Node(centre, 0.0, rows, [])
+    own_x = x[rows]
+    nearest = distances(own_x, x[[centre]])[:, 0]
+    radius = float(nearest.max())
+    if radius <= finest:
         return Node(centre, radius, rows, [])
     while radius <= level:  # levels at which the centre covers all
         level /= 2
-    owner, nearest = np.zeros(len(rows), dtype=np.int64), d.copy()
-    centres = [0]
+    owner, centres = np.zeros(len(rows), dtype=np.int64), [0]
     far = np.flatnonzero(nearest > level)
     while len(far):
-        c = int(far[0])
-        dc = distances(x[rows], x[[rows[c]]])[:, 0]
-        closer = dc < nearest
-        owner[closer], nearest[closer] = len(centres), dc[closer]
-        centres.append(c)
+        some = far[:128]  # the next centres, as many at once as are apart from each other
+        apart, new = distances(own_x[some], own_x[some]) > level, [0]
+        for i in range(1, len(some)):
+            if apart[i, new].all():
+                new.append(i)
+        d = distances(own_x, own_x[some[new]])
+        best = d.argmin(1)
+        least = d[np.arange(len(rows)), best]
+        closer = least < nearest
+        owner[closer], nearest[closer] = len(centres) + best[closer], least[closer]
+        centres += some[new].tolist()
         far = far[nearest[far] > level]
     children = []
     for k, c in enumerate(centres):
@@ -117,12 +125,29 @@ def dual_traversal(x: np.ndarray, y: np.ndarray, cosine: float, same: bool) -> t
     tx = cover_tree(x)
     ty = tx if same else cover_tree(y)
 
-    def exact(a: np.ndarray, b: np.ndarray) -> None:
-        hit = x[a] @ y[b].T >= cosine
+    def link(a: np.ndarray, b: np.ndarray, hit: np.ndarray) -> None:
+        """Count the links of a matrix of rows; its connected parts are walked so that each row is reached once."""
         nx[a] += hit.sum(1)
         ny[b] += hit.sum(0)
-        for i, j in zip(*np.nonzero(hit), strict=True):
-            forest.join(int(a[i]), shift + int(b[j]))
+        new_a, new_b = hit.any(1), hit.any(0)
+        for start in np.flatnonzero(new_a).tolist():
+            if not new_a[start]:
+                continue
+            new_a[start] = False
+            todo = [(start, True)]
+            while todo:
+                i, is_a = todo.pop()
+                if is_a:
+                    more = np.flatnonzero(hit[i] & new_b)
+                    new_b[more] = False
+                    pairs = [(i, j) for j in more.tolist()]
+                else:
+                    more = np.flatnonzero(hit[:, i] & new_a)
+                    new_a[more] = False
+                    pairs = [(j, i) for j in more.tolist()]
+                for i2, j2 in pairs:
+                    forest.join(int(a[i2]), shift + int(b[j2]))
+                todo += [(k, not is_a) for k in more.tolist()]
 
     stack = [([tx], [ty])]
     while stack:
@@ -132,7 +157,10 @@ def dual_traversal(x: np.ndarray, y: np.ndarray, cosine: float, same: bool) -> t
         reach = ra[:, None] + rb[None, :]
         near = d <= limit + reach + SLACK
         inside = d + reach <= limit - SLACK
-        for i, j in zip(*np.nonzero(inside), strict=True):
+        one_x, one_y = np.array([len(n.rows) == 1 for n in left]), np.array([len(n.rows) == 1 for n in right])
+        if (both := inside[one_x][:, one_y]).any():
+            link(np.array([n.centre for n, o in zip(left, one_x, strict=True) if o]), np.array([n.centre for n, o in zip(right, one_y, strict=True) if o]), both)
+        for i, j in zip(*np.nonzero(inside & ~(one_x[:, None] & one_y[None, :])), strict=True):
             a, b = left[i].rows, right[j].rows
             nx[a] += len(b)
             ny[b] += len(a)
@@ -143,9 +171,11 @@ def dual_traversal(x: np.ndarray, y: np.ndarray, cosine: float, same: bool) -> t
         open_ = near & ~inside
         single = np.array([not n.children for n in left])[:, None] & np.array([not n.children for n in right])[None, :]
         for i, j in zip(*np.nonzero(open_ & single), strict=True):
-            exact(left[i].rows, right[j].rows)
-        for i in np.flatnonzero((open_ & ~single).any(1)):
-            js = np.flatnonzero((open_ & ~single)[i])
+            a, b = left[i].rows, right[j].rows
+            link(a, b, x[a] @ y[b].T >= cosine)
+        opened = open_ & ~single
+        for i in np.flatnonzero(opened.any(1)):
+            js = np.flatnonzero(opened[i])
             ca = left[i].children or [left[i]]
             cb = [c for j in js for c in (right[j].children or [right[j]])]
             for k in range(0, len(cb), 4096):

@@ -37,7 +37,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 REGISTERS, BANDS, ROWS = 256, 16, 3
 #: Four standard deviations of an estimate at the threshold.
 MARGIN = 0.1
-CHUNK = 2048
+CHUNK = 1024
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,17 +76,18 @@ def signatures(texts: list[np.ndarray], registers: int = REGISTERS) -> np.ndarra
         return holder.reshape(len(texts), registers)
     element, weight, text = np.concatenate(parts), np.concatenate(weights), np.concatenate(owner)
     clock, step = np.zeros(len(element)), 0
+    rows, latest = arrival.reshape(-1, registers), np.full(len(texts), np.inf)
     while len(element):
         step += 1
         with np.errstate(over="ignore"):
             draw = _mix(element + _M3 * np.uint64(2 * step + 1))
         clock = clock - np.log1p(-(draw >> np.uint64(11)).astype(float) / 2.0**53) / weight
         at = text * registers + (_mix(draw ^ _M2) % np.uint64(registers)).astype(np.int64)
-        order = np.lexsort((clock, at))
-        first = order[np.r_[True, at[order][1:] != at[order][:-1]]]
-        better = first[clock[first] < arrival[at[first]]]
-        arrival[at[better]], holder[at[better]] = clock[better], element[better]
-        latest = arrival.reshape(-1, registers).max(1)
+        np.minimum.at(arrival, at, clock)
+        first = clock == arrival[at]
+        holder[at[first]] = element[first]
+        active = text[np.r_[True, text[1:] != text[:-1]]]  # texts stay in order
+        latest[active] = rows[active].max(1)
         live = clock < latest[text]
         element, weight, text, clock = element[live], weight[live], text[live], clock[live]
     return holder.reshape(len(texts), registers)
@@ -107,24 +108,29 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated similarity of each row of a with each row of b, from registers of one byte."""
-    same = np.zeros((len(a), len(b)), dtype=np.int16)
-    for k in range(a.shape[1]):
-        same += a[:, k, None] == b[None, :, k]
-    share = same / a.shape[1]
-    return (share - 1 / 256) / (1 - 1 / 256)
+    if len(a) * len(b) <= 4096:
+        same = (a[:, None, :] == b[None, :, :]).sum(2)
+    else:
+        same = np.zeros((len(a), len(b)), dtype=np.int16)
+        for k in range(a.shape[1]):
+            same += a[:, k, None] == b[None, :, k]
+    return (same / np.float32(a.shape[1]) - np.float32(1 / 256)) / np.float32(1 - 1 / 256)
 
 
 def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
     """The pairs of a spanning forest of a chunk, likeliest first."""
+    pdf = pdf.sort_values("id")
     ids = pdf["id"].to_numpy()
     sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(ids), -1)
-    pairs = []
+    found = []
     for a in range(0, len(ids), 256):
         est = _estimates(sig[a : a + 256], sig)
         i, j = np.nonzero(est >= THRESHOLD - MARGIN)
         keep = i + a < j
-        pairs.append(np.stack((est[i[keep], j[keep]], i[keep] + a, j[keep]), axis=1))
-    table_ = np.concatenate(pairs)
+        i, j = i[keep], j[keep]
+        found.append((est[i, j], (i + a).astype(np.int32), j.astype(np.int32)))
+    est, one, two = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(-est, kind="stable")
     up = list(range(len(ids)))
 
     def root(i: int) -> int:
@@ -134,14 +140,16 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
         return i
 
     out, left = [], len(ids) - 1
-    for _, i, j in table_[np.lexsort((ids[table_[:, 2].astype(int)], ids[table_[:, 1].astype(int)], -table_[:, 0]))].tolist():
-        x, y = root(int(i)), root(int(j))
-        if x != y:
-            up[x] = y
-            out.append((min(ids[int(i)], ids[int(j)]), max(ids[int(i)], ids[int(j)])))
-            left -= 1
-            if not left:
-                break
+    for at in range(0, len(order), 4096):
+        block = order[at : at + 4096]
+        for i, j in zip(one[block].tolist(), two[block].tolist(), strict=True):
+            x, y = root(i), root(j)
+            if x != y:
+                up[x] = y
+                out.append((ids[i], ids[j]))
+                left -= 1
+        if not left:
+            break
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
@@ -187,12 +195,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own = signed.join(firsts.select("h", "h2", F.col("first").alias("id")), ["h", "h2", "id"]).where(f"sig <> unhex('{_EMPTY}')")
 
     band = own.select("id", F.explode("bands").alias("bucket")).distinct()
-    sizes = band.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    # of buckets with the very same texts one is enough
+    sizes = band.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("n > 1")
+    sizes = sizes.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     member = materialise(band.join(sizes, "bucket"))
     sig = own.select("id", "sig").dropDuplicates(["id"])
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     chunked = member.join(sig, "id").withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int"))
-    pairs = materialise(chunked.groupBy("bucket", "chunk").applyInPandas(lambda pdf: _forest(pdf), "a long, b long").distinct())
+    twos = member.where("n = 2").groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b")
+    trees = chunked.where("n > 2").groupBy("bucket", "chunk").applyInPandas(lambda pdf: _forest(pdf), "a long, b long")
+    pairs = materialise(twos.unionByName(trees).distinct())
 
     wanted = member.select("id").distinct()
     texts = materialise(rows.join(firsts.select("h", "h2", F.col("first").alias("id")), ["h", "h2", "id"]).select("id", "text").join(wanted, "id").dropDuplicates(["id"]))
@@ -204,7 +216,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     links = verified(pairs)
     group = components(links)
-    placed = member.join(group.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", F.col("id")))
+    placed = member.where("n > 2").join(group.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", F.col("id")))
     # buckets whose texts are in more than one group, and the largest group of each
     by_group = placed.groupBy("bucket", "component").agg(F.count("*").alias("m"))
     mixed = by_group.groupBy("bucket").agg(F.count("*").alias("groups"), F.max(F.struct("m", "component")).alias("most")).where("groups > 1").select("bucket", F.col("most.component").alias("main"))

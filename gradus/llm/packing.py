@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, words_of
+from .common import bounded_batches, table, words_of
 
 #: Permitted lengths in words and what a sequence of each costs: its words plus a share that grows with their square.
 LENGTHS = (512, 1024, 2048, 4096)
@@ -115,6 +115,7 @@ def _pack(lengths, block: int, with_text: bool):
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths=LENGTHS, block: int = BLOCK, with_text: bool = True) -> DataFrame:
     """One row per piece of a document: sequence_id, capacity, used (words in the sequence), id, piece,
     first_word (in the document), n_words, at (in the sequence) and the piece's text."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInPandas(_pack(tuple(sorted(lengths)), block, with_text), f"sequence_id long, capacity int, used int, id {kind}, piece int, first_word int, n_words int, at int, text string")
