@@ -65,6 +65,12 @@ def test_urls(spark):
     assert url_rules.url_verdicts(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_every_url_that_a_pattern_fits_fetches_it(spark):
+    urls = {"http://a.b/log-in/x": "log-in", "http://a.b/login": "login", "http://a.b/adserver?x": "adserver", "http://my-casino.b/": "casino", "http://a.b/x;JSESSIONID=1": "session-java", "http://a.b/?PHPSESSID=1": "session-php", "http://a.b/cartoon": None}
+    got = url_rules.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    assert {r.page_id: r.method_rule for r in got.collect()} == dict(enumerate(urls.values()))
+
+
 def test_toxicity(docs, labels, none):
     got = toxicity.toxicity(docs, labels).collect()
     assert len(got) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
