@@ -11,8 +11,9 @@ Exact copies are put together first and only their first document goes on. Bucke
 into all pairs. In the first step each bucket's texts are joined by the likeliest pairs that connect
 them (a spanning forest by estimated similarity), and those pairs are verified. What that leaves in
 different groups is compared in a second step: within a bucket, every pair of texts from different
-groups whose estimate could belong to a link is verified too. Thus any link between candidates is
-either verified or joins texts that are joined already. Buckets over CHUNK texts are cut into chunks;
+groups whose estimate could belong to a link is counted exactly, from sets of shingle hashes and inside the
+task; only links that join groups leave it. Thus any link between candidates is either found or joins
+texts that are joined already. Buckets over CHUNK texts are cut into chunks;
 in the second step the texts outside the bucket's largest group visit every chunk.
 
 Defined results: a null or empty text has no shingles, so it is alone in its group; a text under
@@ -153,21 +154,51 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Exact sizes of the intersections of each set of a with each set of b; the sets are sorted arrays of hashes."""
+    both = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    places = [[np.searchsorted(both, x[np.isin(x, both, assume_unique=True)]) for x in sets] for sets in (a, b)]
+    for k in range(0, len(both), 4096):
+        x, y = (np.zeros((len(sets), 4096), dtype=np.float32) for sets in places)
+        for m, sets in ((x, places[0]), (y, places[1])):
+            for i, at in enumerate(sets):
+                m[i, at[np.searchsorted(at, k) : np.searchsorted(at, k + 4096)] - k] = 1
+        out += x @ y.T
+    return out
+
+
 def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of a chunk whose texts are in different groups and whose estimate could belong to a link."""
-    ids, group, visits = pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["visits"].to_numpy()
+    """Links that join different groups of a chunk: pairs whose estimate could belong to a link are counted exactly,
+    and of the links found only those that join groups not joined yet are returned."""
+    ids, group, visits = pdf["id"].to_numpy(), pdf["component"].to_numpy().copy(), pdf["visits"].to_numpy()
     sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(ids), -1)
+    sets = [np.frombuffer(s, dtype=np.uint64) for s in pdf["shingles"]]
+    sizes = np.array([len(s) for s in sets])
     guests = np.flatnonzero(visits)
     first = pdf["chunk"].iloc[0] == 0
     out = []
-    for a in range(0, len(guests), 256):
-        rows = guests[a : a + 256]
+    for a in range(0, len(guests), 128):
+        rows = guests[a : a + 128]
         hit = (_estimates(sig[rows], sig) >= THRESHOLD - MARGIN) & (group[rows][:, None] != group[None, :])
         if not first:
             hit &= ~visits[None, :]  # two guests meet in the first chunk
-        i, j = np.nonzero(hit)
-        out += [(min(x, y), max(x, y)) for x, y in zip(ids[rows[i]].tolist(), ids[j].tolist(), strict=True)]
-    return pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
+        columns = np.flatnonzero(hit.any(0))
+        if not len(columns):
+            continue
+        common = _shared([sets[i] for i in rows], [sets[j] for j in columns])
+        link = hit[:, columns] & (common >= THRESHOLD * (sizes[rows][:, None] + sizes[columns][None, :] - common.astype(float)))
+        for i, j in zip(*np.nonzero(link), strict=True):
+            x, y = int(rows[i]), int(columns[j])
+            if group[x] != group[y]:
+                out.append((ids[x], ids[y]))
+                group[group == group[y]] = group[x]
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"id": batch["id"], "shingles": [np.unique(shingle_hashes(words_of(t))).tobytes() for t in batch["text"]]})
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,8 +253,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     mixed = by_group.groupBy("bucket").agg(F.count("*").alias("groups"), F.max(F.struct("m", "component")).alias("most")).where("groups > 1").select("bucket", F.col("most.component").alias("main"))
     rest = placed.join(mixed, "bucket").withColumn("visits", F.col("component") != F.col("main"))
     rest = rest.withColumn("chunk", F.explode(F.when(F.col("visits"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), chunks).cast("int")))))
-    more = rest.join(sig, "id").select("bucket", "chunk", "id", "component", "visits", "sig").groupBy("bucket", "chunk").applyInPandas(lambda pdf: _across(pdf), "a long, b long").distinct()
-    more = verified(more.join(pairs, ["a", "b"], "left_anti"))
+    rest = materialise(rest.select("bucket", "chunk", "id", "component", "visits"))
+    sets = texts.join(rest.select("id").distinct(), "id").select("id", "text").mapInPandas(_sets, "id long, shingles binary")
+    more = rest.join(sig, "id").join(sets, "id").groupBy("bucket", "chunk").applyInPandas(lambda pdf: _across(pdf), "a long, b long")
+    more = materialise(more.distinct())
     group = components(links.unionByName(more))
 
     of_text = firsts.join(group.withColumnRenamed("node", "first"), "first", "left").select("h", "h2", F.coalesce("component", "first").alias("class"))
