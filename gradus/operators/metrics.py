@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import formulas as M
 from ..functions.formulas import half_up
 
-RIGHT = F.col("correct").cast("double")
-
 
 def _ratio(num: Column, den: Column) -> Column:
     return F.coalesce(F.sum(num) / F.nullif(F.sum(den), F.lit(0.0)), F.lit(0.0))
@@ -26,14 +24,14 @@ def confidence_index(attempts: DataFrame) -> DataFrame:
 def calibration_bins(attempts: DataFrame, by: str) -> DataFrame:
     """I-33: expected calibration error over ten bins of confidence."""
     b = attempts.withColumn("bin", F.least(F.lit(9), F.floor(F.col("confidence") * 10)))
-    b = b.groupBy(by, "bin").agg(F.count("*").alias("m"), F.avg(RIGHT).alias("acc"), F.avg("confidence").alias("conf"))
+    b = b.groupBy(by, "bin").agg(F.count("*").alias("m"), F.avg(F.col("correct").cast("double")).alias("acc"), F.avg("confidence").alias("conf"))
     return b.groupBy(by).agg((F.sum(F.col("m") * F.abs(F.col("acc") - F.col("conf"))) / F.sum("m")).alias("ece"))
 
 
 def session_metrics(attempts: DataFrame) -> DataFrame:
     """I-24 to I-36 for each session, from rows that are no spaced reviews; a session of spaced rows
     alone has its score from them and metrics of 0."""
-    right, level = RIGHT, F.col("cognitive_level").cast("double")
+    right, level = F.col("correct").cast("double"), F.col("cognitive_level").cast("double")
     weight = M.case_map(F.col("question_type"), M.TYPE_WEIGHT, 1.0)
     plain = confidence_index(attempts.where(~F.col("is_spaced")))
     m = plain.groupBy("session_id").agg(

@@ -12,7 +12,6 @@ from ..sources import views
 from .views_sql import r6, sql
 
 QUERIES, SQL = {}, {}
-RIGHT = F.col("correct").cast("double")
 
 
 def query(name: str, statement: str | None = None):
