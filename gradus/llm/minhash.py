@@ -11,8 +11,8 @@ Exact copies are put together first and only their first document goes on. Bucke
 into all pairs. In the first step each bucket's texts are joined by the likeliest pairs that connect
 them (a spanning forest by estimated similarity), and those pairs are verified. What that leaves in
 different groups is compared in a second step: within a bucket, every pair of texts from different
-groups whose estimate could belong to a link is counted exactly, from sets of shingle hashes and inside the
-task; only links that join groups leave it. Thus any link between candidates is either found or joins
+groups that could be a link by an exact bound (sizes, and a prefix of their rarest shingles) is counted exactly, from
+sets of shingle hashes and inside the task; only links that join groups leave it. Estimates thus order the work, but drop no link. Thus any link between candidates is either found or joins
 texts that are joined already. Buckets over CHUNK texts are cut into chunks;
 in the second step the texts outside the bucket's largest group visit every chunk.
 
@@ -24,6 +24,7 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +35,9 @@ from pyspark.sql import functions as F
 from .common import components, materialise, table, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Registers; bands of ROWS registers each. A pair at the threshold shares no band with probability (1 - 0.8^3)^16 < 2e-5.
+#: Registers; bands of ROWS registers each. A pair whose probability Jaccard is p shares no band with probability (1 - p^3)^16: < 2e-5 for 0.8.
 REGISTERS, BANDS, ROWS = 256, 16, 3
-#: Four standard deviations of an estimate at the threshold.
+#: Four standard deviations of an estimate; pairs of the first step are within it, the second step has no such margin.
 MARGIN = 0.1
 CHUNK = 1024
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -168,24 +169,45 @@ def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _prefixes(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The hashes of each set of which one at least is in every set of these with Jaccard >= THRESHOLD: a set of n keeps
+    THRESHOLD * n hashes in common with such a set, so one of its n - ceil(THRESHOLD * n) + 1 rarest. Those of one set only are left out."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    kinds, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((place, count[place], owner))
+    out, at = [], 0
+    for x in sets:
+        rarest = place[order[at : at + _prefix(len(x))]]
+        out.append(np.sort(kinds[rarest[count[rarest] > 1]]))
+        at += len(x)
+    return out
+
+
+def _prefix(n: int) -> int:
+    return n - math.ceil(THRESHOLD * n - 1e-6) + 1
+
+
 def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links that join different groups of a chunk: pairs whose estimate could belong to a link are counted exactly,
-    and of the links found only those that join groups not joined yet are returned."""
+    """Links that join different groups of a chunk: pairs that share a hash of their prefixes and whose sizes allow a link
+    are counted exactly, and of the links found only those that join groups not joined yet are returned."""
     ids, group, visits = pdf["id"].to_numpy(), pdf["component"].to_numpy().copy(), pdf["visits"].to_numpy()
-    sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(ids), -1)
     sets = [np.frombuffer(s, dtype=np.uint64) for s in pdf["shingles"]]
-    sizes = np.array([len(s) for s in sets])
+    sizes, prefixes = np.array([len(s) for s in sets]), _prefixes(sets)
     guests = np.flatnonzero(visits)
     first = pdf["chunk"].iloc[0] == 0
     out = []
     for a in range(0, len(guests), 128):
         rows = guests[a : a + 128]
-        hit = (_estimates(sig[rows], sig) >= THRESHOLD - MARGIN) & (group[rows][:, None] != group[None, :])
+        one, two = sizes[rows][:, None], sizes[None, :]
+        hit = (group[rows][:, None] != group[None, :]) & (np.minimum(one, two) >= THRESHOLD * np.maximum(one, two) - 1e-6)
+        hit &= _shared([prefixes[i] for i in rows], prefixes) > 0
         if not first:
             hit &= ~visits[None, :]  # two guests meet in the first chunk
         columns = np.flatnonzero(hit.any(0))
+        rows = rows[hit.any(1)]
         if not len(columns):
             continue
+        hit = hit[hit.any(1)]
         common = _shared([sets[i] for i in rows], [sets[j] for j in columns])
         link = hit[:, columns] & (common >= THRESHOLD * (sizes[rows][:, None] + sizes[columns][None, :] - common.astype(float)))
         for i, j in zip(*np.nonzero(link), strict=True):
@@ -255,7 +277,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rest = rest.withColumn("chunk", F.explode(F.when(F.col("visits"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), chunks).cast("int")))))
     rest = materialise(rest.select("bucket", "chunk", "id", "component", "visits"))
     sets = texts.join(rest.select("id").distinct(), "id").select("id", "text").mapInPandas(_sets, "id long, shingles binary")
-    more = rest.join(sig, "id").join(sets, "id").groupBy("bucket", "chunk").applyInPandas(lambda pdf: _across(pdf), "a long, b long")
+    more = rest.join(sets, "id").groupBy("bucket", "chunk").applyInPandas(lambda pdf: _across(pdf), "a long, b long")
     more = materialise(more.distinct())
     group = components(links.unionByName(more))
 

@@ -186,6 +186,21 @@ def test_near_groups_brute_force(spark, chunk, monkeypatch):
     assert {r.doc_id: r.class_id for r in minhash.near_groups(df).collect()} == {i: root(i) for i in sets}
 
 
+def test_near_groups_of_repeated_lines(spark):
+    """The set Jaccard is 0.87, the probability Jaccard under the margin of the estimate."""
+    rows, want = [], {}
+    for k in range(4):
+        base = [f"b{k}x{i}" for i in range(104)]
+        line = [f"l{k}x{i}" for i in range(10)]
+        for i, w in enumerate((base, [*base[:-1], "other"], [*base[:-1], "third"], base + line * 500, [*base[:-1], "other"] + line * 500)):
+            rows.append((10 * k + i, " ".join(w)))
+            want[10 * k + i] = 10 * k
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    assert all(len(sets[i] & sets[c]) >= 0.8 * len(sets[i] | sets[c]) for i, c in want.items())
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash.near_groups(df).collect()} == want
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(6)
     x = rng.integers(0, 2**63, 300, dtype=np.uint64)
