@@ -13,8 +13,9 @@ them (a spanning forest by estimated similarity), and those pairs are verified.
 different groups is compared in a second step: within a bucket, every pair of texts from different
 groups that could be a link by an exact bound (sizes, and a prefix of their rarest shingles) is counted exactly, from
 sets of shingle hashes and inside the task; only links that join groups leave it. Estimates thus order the work, but drop no link. Thus any link between candidates is either found or joins
-texts that are joined already. Buckets over CHUNK texts are cut into chunks;
-in the second step the texts outside the bucket's largest group visit every chunk.
+texts that are joined already. Buckets over CHUNK texts are cut into chunks in the first step.
+In the second they are split by the hashes of their texts' prefixes, in the order of the counts over all such buckets, and what shares a
+hash is cut into blocks; a task meets two blocks, of rows without sets, and pairs that an exact bound on their overlap lets through are verified.
 
 Defined results: a null or empty text has no shingles, so it is alone in its group; a text under
 SHINGLE words has one shingle, all of its words; rows that repeat an id are one document if their text is the same, and
@@ -32,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, table, words_of
+from .common import components, empty_like, materialise, table, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Registers; bands of ROWS registers each. A pair whose probability Jaccard is p shares no band with probability (1 - p^3)^16: < 2e-5 for 0.8.
@@ -188,21 +189,18 @@ def _prefix(n: int) -> int:
 
 
 def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links that join different groups of a chunk: pairs that share a hash of their prefixes and whose sizes allow a link
+    """Links that join different groups of a bucket: pairs that share a hash of their prefixes and whose sizes allow a link
     are counted exactly, and of the links found only those that join groups not joined yet are returned."""
-    ids, group, visits = pdf["id"].to_numpy(), pdf["component"].to_numpy().copy(), pdf["visits"].to_numpy()
+    ids, group = pdf["id"].to_numpy(), pdf["component"].to_numpy().copy()
     sets = [np.frombuffer(s, dtype=np.uint64) for s in pdf["shingles"]]
     sizes, prefixes = np.array([len(s) for s in sets]), _prefixes(sets)
-    guests = np.flatnonzero(visits)
-    first = pdf["chunk"].iloc[0] == 0
+    guests = np.flatnonzero(pdf["visits"].to_numpy())
     out = []
     for a in range(0, len(guests), 128):
         rows = guests[a : a + 128]
         one, two = sizes[rows][:, None], sizes[None, :]
         hit = (group[rows][:, None] != group[None, :]) & (np.minimum(one, two) >= THRESHOLD * np.maximum(one, two) - 1e-6)
         hit &= _shared([prefixes[i] for i in rows], prefixes) > 0
-        if not first:
-            hit &= ~visits[None, :]  # two guests meet in the first chunk
         columns = np.flatnonzero(hit.any(0))
         rows = rows[hit.any(1)]
         if not len(columns):
@@ -218,6 +216,58 @@ def _across(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
+def _met(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of different groups, of two blocks of texts that share a hash of their prefixes, whose overlap can be that of a link
+    if it is their first common hash: it is at most what either has from there on."""
+    left = (pdf["size"] - pdf["at"]).to_numpy()
+    low, other = np.flatnonzero(pdf["low"]), np.flatnonzero(~pdf["low"])
+    ids, group, size = (pdf[c].to_numpy() for c in ("id", "component", "size"))
+    out = []
+    for a in range(0, len(low), 256):
+        i, j = low[a : a + 256, None], other[None, :]
+        both = np.minimum(left[i], left[j])
+        i, j = np.nonzero((group[i] != group[j]) & (both >= THRESHOLD / (1 + THRESHOLD) * (size[i] + size[j]) - 1e-6))
+        one, two = ids[low[i + a]], ids[other[j]]
+        out.append(pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two)}).drop_duplicates())
+    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}).astype("int64")
+
+
+def _hot_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts in different groups of a bucket that may be links, for buckets of any size.
+
+    Texts keep the rarest hashes of their sets, any order of which would do. If position i of one and j of the other is the
+    first common hash, a link needs i + j <= (1 - t) / (1 + t) of both sizes, t being the threshold: one of the two is `low`, within that part
+    of its own size. So low texts meet all others, in blocks of CHUNK, and texts that begin with more hashes of their own meet none."""
+    tokens = sets.mapInPandas(_tokens, "id long, size int, g long")
+    common = tokens.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = tokens.join(common, "g").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("l"))
+    # hashes of one text only come first; they meet nothing
+    own = F.col("size") - F.size("l")
+    length = F.col("size") - F.ceil(THRESHOLD * F.col("size") - 1e-6).cast("int") + 1
+    prefix = ranked.withColumn("own", own).select("id", "size", "own", F.posexplode(F.slice("l", 1, F.greatest(F.lit(0), length - own))).alias("i", "t"))
+    prefix = prefix.select("id", "size", (F.col("own") + F.col("i")).alias("at"), F.col("t.g").alias("g"))
+    low = F.col("at") * (1 + THRESHOLD) <= F.col("size") * (1 - THRESHOLD) + 1e-6
+    entry = materialise(rest.select("bucket", "id", "component").join(prefix, "id").withColumn("low", low))
+    per = F.lit(CHUNK)
+    groups = entry.groupBy("bucket", "g").agg(F.ceil(F.count("*") / per).cast("int").alias("blocks"), F.ceil(F.count_if("low") / per).cast("int").alias("lows"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y and lows > 0")
+    entry = entry.join(groups.drop("x", "y"), ["bucket", "g"])
+
+    def side(low: bool) -> DataFrame:
+        mine, others, n, m = ("p", "q", "lows", "blocks") if low else ("q", "p", "blocks", "lows")
+        rows = entry.where("low") if low else entry
+        rows = rows.withColumn(mine, F.pmod(F.xxhash64("id"), F.col(n)).cast("int")).withColumn(others, F.explode(F.sequence(F.lit(0), F.col(m) - 1)))
+        return rows.select("bucket", "g", "p", "q", "id", "component", "size", "at", F.lit(low).alias("low"))
+
+    return side(True).unionByName(side(False)).groupBy("bucket", "g", "p", "q").applyInPandas(lambda pdf: _met(pdf), "a long, b long").distinct()
+
+
+def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for i, s in zip(batch["id"], batch["shingles"], strict=True):
+            g = np.frombuffer(s, dtype=np.int64)
+            yield pd.DataFrame({"id": i, "size": len(g), "g": g}).astype({"id": "int64", "size": "int32"})
+
+
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         yield pd.DataFrame({"id": batch["id"], "shingles": [np.unique(shingle_hashes(words_of(t))).tobytes() for t in batch["text"]]})
@@ -273,12 +323,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # buckets whose texts are in more than one group, and the largest group of each
     by_group = placed.groupBy("bucket", "component").agg(F.count("*").alias("m"))
     mixed = by_group.groupBy("bucket").agg(F.count("*").alias("groups"), F.max(F.struct("m", "component")).alias("most")).where("groups > 1").select("bucket", F.col("most.component").alias("main"))
-    rest = placed.join(mixed, "bucket").withColumn("visits", F.col("component") != F.col("main"))
-    rest = rest.withColumn("chunk", F.explode(F.when(F.col("visits"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), chunks).cast("int")))))
-    rest = materialise(rest.select("bucket", "chunk", "id", "component", "visits"))
-    sets = texts.join(rest.select("id").distinct(), "id").select("id", "text").mapInPandas(_sets, "id long, shingles binary")
-    more = rest.join(sets, "id").groupBy("bucket", "chunk").applyInPandas(lambda pdf: _across(pdf), "a long, b long")
-    more = materialise(more.distinct())
+    rest = materialise(placed.join(mixed, "bucket").withColumn("visits", F.col("component") != F.col("main")).select("bucket", "n", "id", "component", "visits"))
+    sets = materialise(texts.join(rest.select("id").distinct(), "id").select("id", "text").mapInPandas(_sets, "id long, shingles binary"))
+    small = rest.where(F.col("n") <= CHUNK).join(sets, "id").groupBy("bucket").applyInPandas(lambda pdf: _across(pdf), "a long, b long")
+    more = materialise(small.distinct())
+    hot = rest.where(F.col("n") > CHUNK)
+    if not empty_like(hot):
+        more = more.unionByName(verified(_hot_pairs(hot, sets.join(hot.select("id").distinct(), "id"))))
     group = components(links.unionByName(more))
 
     of_text = firsts.join(group.withColumnRenamed("node", "first"), "first", "left").select("h", "h2", F.coalesce("component", "first").alias("class"))

@@ -201,6 +201,30 @@ def test_near_groups_of_repeated_lines(spark):
     assert {r.doc_id: r.class_id for r in minhash.near_groups(df).collect()} == want
 
 
+def test_tasks_of_hot_buckets_are_bounded(spark, monkeypatch, tmp_path):
+    """Texts of one template under the threshold, with two linked pairs: what a task of a bucket holds does not grow with it."""
+    at = str(tmp_path / "rows")
+
+    def watch(f):
+        def inner(pdf):
+            with open(at, "a") as out:
+                out.write(f"{len(pdf)}\n")
+            return f(pdf)
+
+        return inner
+
+    monkeypatch.setattr(minhash, "CHUNK", 8)
+    for name in ("_met", "_across"):
+        if hasattr(minhash, name):
+            monkeypatch.setattr(minhash, name, watch(getattr(minhash, name)))
+    rows = [(i, " ".join([f"t{k}" for k in range(90)] + [f"o{i // 2 if i < 4 else i}x{k}" for k in range(30)] + [f"i{i}"])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash.near_groups(df).collect()}
+    assert got == {i: {1: 0, 3: 2}.get(i, i) for i in range(120)}
+    with open(at) as rows_of:
+        assert max(int(n) for n in rows_of) <= 60
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(6)
     x = rng.integers(0, 2**63, 300, dtype=np.uint64)
