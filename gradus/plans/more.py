@@ -66,10 +66,12 @@ del SQL["repetition_cleaning"]
 @query("near_duplicate_chunks", sql(f"""select a, b, {r6('common::double / (na + nb - common)')} as jaccard from (select x.id as a, y.id as b, count(*) as common, any_value(x.n) as na, any_value(y.n) as nb from sets x join sets y on x.g = y.g and x.id < y.id group by 1, 2) where common::double / (na + nb - common) >= 0.85::double""", "chunks_fixed", more="""grams as (select distinct doc_id * 1000 + chunk_index as id, array_to_string(w[i:i + 4], ' ') as g from (select doc_id, chunk_index, regexp_extract_all(lower(text), '[a-z0-9]+') as w from chunks_fixed), unnest(range(1, len(w) - 3)) as u(i)), sets as (select *, count(*) over (partition by id) as n from grams)"""))
 def near_duplicate_chunks(spark, sf_dir) -> DataFrame:
     """C-12: pairs of chunks with Jaccard >= 0.85 of their 5-word shingles. A pair at that level must share one of
-    the rarest 15 % of the smaller set, so only those shingles are joined."""
+    the rarest 15 % of the smaller set, so only those shingles are joined. Chunks from the thousandth of a document on get
+    negative ids, as doc_id * 1000 + chunk_index (that of the SQL) is a chunk of the next document there."""
+    d, i = F.col("doc_id"), F.col("chunk_index")
     c = views.chunks_fixed(spark, sf_dir)
     w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    c = c.select((F.col("doc_id") * 1000 + F.col("chunk_index")).alias("id"), w.alias("w")).where("size(w) >= 5")
+    c = c.select(F.when(i < 1000, d * 1000 + i).otherwise(-(d * 2**22 + i)).alias("id"), w.alias("w")).where("size(w) >= 5")
     c = c.select("id", F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " ")))).alias("s"))
     g = c.select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
     df = g.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from gradus.functions import formulas as M
 from gradus.operators import folds, graph
+from gradus.plans import more
 from gradus.sources import views
 from pyspark.sql import functions as F
 
@@ -72,3 +73,13 @@ def test_learning_gain_is_bounded(spark):
     rows = [(float(a), float(b)) for a in (0, 40, 60, 100) for b in (0, 40, 60, 100)]
     for r in spark.createDataFrame(rows, "a double, b double").select(M.learning_gain(F.col("a"), F.col("b")).alias("g")).collect():
         assert -1 <= r.g <= 1
+
+
+def test_near_duplicate_chunks_of_very_long_texts(spark, tmp_path):
+    """Chunk 1,000 of document 1 is not chunk 0 of document 2."""
+    words = lambda tag, n: " ".join(f"{tag}{i:06d}" for i in range(n))
+    tail = words("z", 100)[:850]
+    rows = [(1, words("a", 106_400)[:850_000] + tail + words("q", 30)[:150]), (2, words("b", 100)[:850]), (3, tail + words("q", 30)[:150])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.a, r.b) for r in more.near_duplicate_chunks(spark, str(tmp_path)).collect()}
+    assert got == {(-(2**22 + 1000), 3000)}
