@@ -286,9 +286,8 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(kept, columns=["a", "b"]).astype("int64")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, class_id (the least id of its group) and kept (id = class_id)."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: id, both hashes of the text, and class_id."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumns({"h": F.xxhash64("text"), "h2": F.xxhash64("text", F.lit(1))})
     signed = materialise(rows.where("id is not null").mapInPandas(_sign, "id long, h long, h2 long, bands array<long>, sig binary"))
@@ -335,14 +334,30 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     of_text = firsts.join(group.withColumnRenamed("node", "first"), "first", "left").select("h", "h2", F.coalesce("component", "first").alias("class"))
     out = rows.select("id", "h", "h2", (F.col("text") == "").alias("empty")).join(of_text, ["h", "h2"], "left")
     cls = F.when(F.col("id").isNull() | F.col("empty"), F.col("id")).otherwise(F.col("class"))
-    out = out.select("id", cls.alias("class_id"))
+    return out.select("id", "h", "h2", cls.alias("class_id"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, class_id (the least id of its group) and kept (id = class_id)."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = _grouped(docs, id_col, text_col)
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("class_id").cast(kind).alias("class_id"), F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that are not the first of their group."""
-    gone = near_groups(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """docs without the rows that are not the first of their group, and one row of those with the same id and text."""
+    keys = ["_row_id", "_row_h", "_row_h2"]
+    row = materialise(_grouped(docs, id_col, text_col).groupBy(*(F.col(c).alias(k) for c, k in zip(("id", "h", "h2"), keys, strict=True))).agg(F.count("*").alias("n"), F.first("class_id").alias("class_id")))
+    gone, repeated = row.where("_row_id <> class_id").select(keys), row.where("n > 1 and (_row_id is null or _row_id = class_id)").select(keys)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    marked = docs.withColumns({"_row_id": F.col(id_col).cast("long"), "_row_h": F.xxhash64(text), "_row_h2": F.xxhash64(text, F.lit(1))})
+
+    def of(few: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        few = few.toDF("_a", "_b", "_c")
+        return rows.join(few, F.col("_row_id").eqNullSafe(F.col("_a")) & (F.col("_row_h") == F.col("_b")) & (F.col("_row_h2") == F.col("_c")), how)
+
+    one = of(repeated, "left_semi", marked).dropDuplicates(keys)
+    return of(repeated, "left_anti", of(gone, "left_anti", marked)).unionByName(one).drop(*keys)
 
 
 #: The signature of a text without shingles.

@@ -225,6 +225,14 @@ def test_tasks_of_hot_buckets_are_bounded(spark, monkeypatch, tmp_path):
         assert max(int(n) for n in rows_of) <= 60
 
 
+def test_keep_one_of_repeated_rows(spark):
+    """Rows that repeat an id: copies go, and a text of its own group stays."""
+    a, b = SAME, " ".join(f"y{i}" for i in range(80))
+    df = spark.createDataFrame([(3, a), (3, a), (5, a), (5, b), (None, a), (None, a)], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.text) for r in minhash.keep_one(df).collect()))
+    assert got == sorted([(3, a), (5, b), (0, a)])
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(6)
     x = rng.integers(0, 2**63, 300, dtype=np.uint64)
