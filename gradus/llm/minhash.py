@@ -3,19 +3,22 @@
 Shingles of SHINGLE words are weighted by 1 + ln(occurrences). Each shingle is a Poisson process
 whose rate is its weight: exponential arrivals choose a register and hold it if no earlier arrival
 did; a shingle stops as soon as its next arrival is later than every register. Two texts agree in a register with the
-probability Jaccard similarity of their weighted shingles. Signatures are cut into bands; texts that
-share a band are candidates, and a pair is linked if the Jaccard similarity of its sets of shingles,
-counted exactly, is at least THRESHOLD. Groups are the connected components of the links.
-
-Exact copies are put together first and only their first document goes on. Buckets are not expanded
-into all pairs. In the first step each bucket's texts are joined by the likeliest pairs that connect
-them (a spanning forest by estimated similarity), and those pairs are verified. What that leaves in
-different groups is compared in a second step: within a bucket, every pair of texts from different
-groups that could be a link by an exact bound (sizes, and a prefix of their rarest shingles) is counted exactly, from
-sets of shingle hashes and inside the task; only links that join groups leave it. Estimates thus order the work, but drop no link. Thus any link between candidates is either found or joins
-texts that are joined already. Buckets over CHUNK texts are cut into chunks in the first step.
-In the second they are split by the hashes of their texts' prefixes, in the order of the counts over all such buckets, and what shares a
-hash is cut into blocks; a task meets two blocks, of rows without sets, and pairs that an exact bound on their overlap lets through are verified.
+probability Jaccard similarity of their weighted shingles. Signatures are cut into bands; texts that share a band are
+candidates, and a pair is linked if that same similarity, computed exactly, is at least THRESHOLD (for texts
+that repeat no shingle it is the Jaccard similarity of their sets). Groups are the connected components of the links.
+
+Exact copies are put together first and only one of them goes on. Buckets are not expanded into all pairs:
+
+1. In each bucket, the likeliest pairs by signature form a spanning forest. Each text's best pair of all buckets is
+   verified first, then the pairs of the forests that still join different groups.
+2. Where that leaves a bucket's texts in different groups, every pair of them from different groups is looked at again: in
+   buckets of up to CHUNK texts by its signatures, in larger ones by an exact bound (a prefix of the rarest shingles, in blocks).
+
+So any link between candidates is either found or joins texts that are joined already. A pair is left out by its signatures only
+where the estimate is MARGIN below the threshold, which a link is with probability under 1e-6.
+
+Only signatures and pairs are shuffled while candidates are searched; texts are shuffled by id once and then twice for
+each list of pairs to verify. Joins of growing tables are merge joins at every size.
 
 Defined results: a null or empty text has no shingles, so it is alone in its group; a text under
 SHINGLE words has one shingle, all of its words; rows that repeat an id are one document if their text is the same, and
@@ -25,21 +28,20 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, empty_like, materialise, table, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Registers; bands of ROWS registers each. A pair whose probability Jaccard is p shares no band with probability (1 - p^3)^16: < 2e-5 for 0.8.
-REGISTERS, BANDS, ROWS = 256, 16, 3
-#: Four standard deviations of an estimate; pairs of the first step are within it, the second step has no such margin.
-MARGIN = 0.1
+#: Registers; bands of ROWS registers each. A pair of similarity p shares no band with probability (1 - p^4)^24: 4e-6 for 0.8.
+REGISTERS, BANDS, ROWS = 256, 24, 4
+#: Nearly five standard deviations of the estimate of a similarity of 0.8 from 256 registers.
+MARGIN = 0.12
 CHUNK = 1024
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,6 +66,30 @@ def shingle_hashes(words: list[str], size: int = SHINGLE) -> np.ndarray:
     return _mix(out)
 
 
+def weighted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles, sorted, and their weights."""
+    kinds, counts = np.unique(h, return_counts=True)
+    return kinds, 1 + np.log(counts)
+
+
+def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Sum over common d of 1 / (sum over all e of max(a_e / a_d, b_e / b_d)), from sorted shingles and their weights.
+
+    The inner sum is a's weight where a_e / b_e is at least a_d / b_d, and b's elsewhere: running sums in the order of that ratio."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    if not len(i):
+        return 0.0
+    x, y = a[1][i], b[1][j]
+    only_x, only_y = a[1].sum() - x.sum(), b[1].sum() - y.sum()
+    ratio = x / y
+    order = np.argsort(ratio, kind="stable")
+    x, y, ratio = x[order], y[order], ratio[order]
+    first = np.searchsorted(ratio, ratio, side="left")  # rows of a smaller ratio
+    below = np.concatenate(([0.0], np.cumsum(y)))[first]
+    above = x.sum() - np.concatenate(([0.0], np.cumsum(x)))[first]
+    return float((x / (only_x + above + ratio * (only_y + below))).sum())
+
+
 def signatures(texts: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray:
     """ProbMinHash of many texts at once, from their shingle hashes; a row of register values for each text."""
     arrival = np.full(len(texts) * registers, np.inf)
@@ -71,9 +97,9 @@ def signatures(texts: list[np.ndarray], registers: int = REGISTERS) -> np.ndarra
     parts, weights, owner = [], [], []
     for i, h in enumerate(texts):
         if len(h):
-            kinds, counts = np.unique(h, return_counts=True)
+            kinds, weight = weighted(h)
             parts.append(kinds)
-            weights.append(1 + np.log(counts))
+            weights.append(weight)
             owner.append(np.full(len(kinds), i))
     if not parts:
         return holder.reshape(len(texts), registers)
@@ -106,7 +132,11 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for k in range(ROWS):
                     bands = _mix(bands * _M3 + sig[:, k * BANDS : (k + 1) * BANDS] + np.arange(BANDS, dtype=np.uint64))
             small = _mix(sig).astype(np.uint8)
-            yield pd.DataFrame({"id": batch["id"], "h": batch["h"], "h2": batch["h2"], "bands": list(bands.view(np.int64)), "sig": [s.tobytes() for s in small]})
+            yield pd.DataFrame({"id": batch["id"], "h": batch["h"], "bands": list(bands.view(np.int64)), "sig": [s.tobytes() for s in small]})
+
+
+def _registers(sigs) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(sigs), -1)
 
 
 def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -121,12 +151,11 @@ def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of a spanning forest of a chunk, likeliest first."""
-    pdf = pdf.sort_values("id")
-    ids = pdf["id"].to_numpy()
-    sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(ids), -1)
+    """The pairs of a spanning forest of a chunk, likeliest first, with their estimates."""
+    pdf = pdf.sort_values("node")
+    nodes, sig = pdf["node"].to_numpy(), _registers(pdf["sig"])
     found = []
-    for a in range(0, len(ids), 256):
+    for a in range(0, len(nodes), 256):
         est = _estimates(sig[a : a + 256], sig)
         i, j = np.nonzero(est >= THRESHOLD - MARGIN)
         keep = i + a < j
@@ -134,7 +163,7 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
         found.append((est[i, j], (i + a).astype(np.int32), j.astype(np.int32)))
     est, one, two = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(-est, kind="stable")
-    up = list(range(len(ids)))
+    up = list(range(len(nodes)))
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -142,135 +171,86 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
             i = up[i]
         return i
 
-    out, left = [], len(ids) - 1
+    out, left = [], len(nodes) - 1
     for at in range(0, len(order), 4096):
         block = order[at : at + 4096]
-        for i, j in zip(one[block].tolist(), two[block].tolist(), strict=True):
+        for i, j, e in zip(one[block].tolist(), two[block].tolist(), est[block].tolist(), strict=True):
             x, y = root(i), root(j)
             if x != y:
                 up[x] = y
-                out.append((ids[i], ids[j]))
+                out.append((nodes[i], nodes[j], e))
                 left -= 1
         if not left:
             break
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    return pd.DataFrame(out, columns=["a", "b", "est"]).astype({"a": "int64", "b": "int64", "est": "float32"})
 
 
-def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Exact sizes of the intersections of each set of a with each set of b; the sets are sorted arrays of hashes."""
-    both = np.intersect1d(np.concatenate(a), np.concatenate(b))
-    out = np.zeros((len(a), len(b)), dtype=np.float32)
-    places = [[np.searchsorted(both, x[np.isin(x, both, assume_unique=True)]) for x in sets] for sets in (a, b)]
-    for k in range(0, len(both), 4096):
-        x, y = (np.zeros((len(sets), 4096), dtype=np.float32) for sets in places)
-        for m, sets in ((x, places[0]), (y, places[1])):
-            for i, at in enumerate(sets):
-                m[i, at[np.searchsorted(at, k) : np.searchsorted(at, k + 4096)] - k] = 1
-        out += x @ y.T
-    return out
+def _across(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a bucket's texts from different groups whose estimate lets a link be possible."""
+    pdf = pdf.sort_values("node")
+    nodes, group, sig = pdf["node"].to_numpy(), pdf["component"].to_numpy(), _registers(pdf["sig"])
+    out = []
+    for a in range(0, len(nodes), 256):
+        hit = (_estimates(sig[a : a + 256], sig) >= THRESHOLD - MARGIN) & (group[a : a + 256, None] != group[None, :])
+        i, j = np.nonzero(hit)
+        keep = i + a < j
+        out.append(pd.DataFrame({"a": nodes[i[keep] + a], "b": nodes[j[keep]]}))
+    return pd.concat(out)
 
 
-def _prefixes(sets: list[np.ndarray]) -> list[np.ndarray]:
-    """The hashes of each set of which one at least is in every set of these with Jaccard >= THRESHOLD: a set of n keeps
-    THRESHOLD * n hashes in common with such a set, so one of its n - ceil(THRESHOLD * n) + 1 rarest. Those of one set only are left out."""
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    kinds, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    order = np.lexsort((place, count[place], owner))
-    out, at = [], 0
-    for x in sets:
-        rarest = place[order[at : at + _prefix(len(x))]]
-        out.append(np.sort(kinds[rarest[count[rarest] > 1]]))
-        at += len(x)
-    return out
+def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        if len(batch):
+            same = (_registers(batch["sig_a"]) == _registers(batch["sig_b"])).mean(1)
+            batch = batch[(same - 1 / 256) / (1 - 1 / 256) >= THRESHOLD - MARGIN]
+        yield batch[["a", "b"]]
 
 
-def _prefix(n: int) -> int:
-    return n - math.ceil(THRESHOLD * n - 1e-6) + 1
+def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Shingles with their share of the text's weight."""
+    for batch in batches:
+        for node, text in zip(batch["node"], batch["text"], strict=True):
+            kinds, weight = weighted(shingle_hashes(words_of(text)))
+            yield pd.DataFrame({"node": node, "g": kinds.view(np.int64), "share": weight / weight.sum()}).astype({"node": "int64"})
 
 
-def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links that join different groups of a bucket: pairs that share a hash of their prefixes and whose sizes allow a link
-    are counted exactly, and of the links found only those that join groups not joined yet are returned."""
-    ids, group = pdf["id"].to_numpy(), pdf["component"].to_numpy().copy()
-    sets = [np.frombuffer(s, dtype=np.uint64) for s in pdf["shingles"]]
-    sizes, prefixes = np.array([len(s) for s in sets]), _prefixes(sets)
-    guests = np.flatnonzero(pdf["visits"].to_numpy())
-    out = []
-    for a in range(0, len(guests), 128):
-        rows = guests[a : a + 128]
-        one, two = sizes[rows][:, None], sizes[None, :]
-        hit = (group[rows][:, None] != group[None, :]) & (np.minimum(one, two) >= THRESHOLD * np.maximum(one, two) - 1e-6)
-        hit &= _shared([prefixes[i] for i in rows], prefixes) > 0
-        columns = np.flatnonzero(hit.any(0))
-        rows = rows[hit.any(1)]
-        if not len(columns):
-            continue
-        hit = hit[hit.any(1)]
-        common = _shared([sets[i] for i in rows], [sets[j] for j in columns])
-        link = hit[:, columns] & (common >= THRESHOLD * (sizes[rows][:, None] + sizes[columns][None, :] - common.astype(float)))
-        for i, j in zip(*np.nonzero(link), strict=True):
-            x, y = int(rows[i]), int(columns[j])
-            if group[x] != group[y]:
-                out.append((ids[x], ids[y]))
-                group[group == group[y]] = group[x]
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+def _prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of a text's shingles in the order of the corpus, the first that weigh over 1 - THRESHOLD of it; those of one text only come before all others."""
+    for batch in batches:
+        for node, g, share in zip(batch["node"], batch["g"], batch["share"], strict=True):
+            share = np.asarray(share, dtype=float)
+            before = 1 - share.sum() + np.concatenate(([0.0], np.cumsum(share)[:-1]))
+            keep = np.asarray(g, dtype=np.int64)[before <= 1 - THRESHOLD + 1e-6]
+            yield pd.DataFrame({"node": node, "g": keep}).astype("int64")
 
 
 def _met(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different groups, of two blocks of texts that share a hash of their prefixes, whose overlap can be that of a link
-    if it is their first common hash: it is at most what either has from there on."""
-    left = (pdf["size"] - pdf["at"]).to_numpy()
-    low, other = np.flatnonzero(pdf["low"]), np.flatnonzero(~pdf["low"])
-    ids, group, size = (pdf[c].to_numpy() for c in ("id", "component", "size"))
-    out = []
-    for a in range(0, len(low), 256):
-        i, j = low[a : a + 256, None], other[None, :]
-        both = np.minimum(left[i], left[j])
-        i, j = np.nonzero((group[i] != group[j]) & (both >= THRESHOLD / (1 + THRESHOLD) * (size[i] + size[j]) - 1e-6))
-        one, two = ids[low[i + a]], ids[other[j]]
-        out.append(pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two)}).drop_duplicates())
-    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}).astype("int64")
+    """Pairs of different groups, of the two blocks of texts of a task (or within its one block), that share a shingle of their prefixes."""
+    p, block = pdf["p"].iloc[0], pdf["block"].to_numpy()
+    within = p == pdf["q"].iloc[0]
+    one, two = np.flatnonzero(block == p), np.arange(len(pdf)) if within else np.flatnonzero(block != p)
+    nodes, group = pdf["node"].to_numpy(), pdf["component"].to_numpy()
+    i, j = np.nonzero(group[one][:, None] != group[two][None, :])
+    x, y = nodes[one[i]], nodes[two[j]]
+    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
 
 
-def _hot_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
+def _hot_pairs(rest: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of texts in different groups of a bucket that may be links, for buckets of any size.
 
-    Texts keep the rarest hashes of their sets, any order of which would do. If position i of one and j of the other is the
-    first common hash, a link needs i + j <= (1 - t) / (1 + t) of both sizes, t being the threshold: one of the two is `low`, within that part
-    of its own size. So low texts meet all others, in blocks of CHUNK, and texts that begin with more hashes of their own meet none."""
-    tokens = sets.mapInPandas(_tokens, "id long, size int, g long")
+    The probability Jaccard of two texts is at most what their weights have in common when either's sum is 1. So the first common shingle, in
+    the order of the counts over all such buckets, is among those of either text before which at most 1 - THRESHOLD of its weight stands."""
+    tokens = materialise(texts.join(rest.select("node").distinct().hint("merge"), "node", "left_semi").mapInPandas(_tokens, "node long, g long, share double"))
     common = tokens.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = tokens.join(common, "g").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("l"))
-    # hashes of one text only come first; they meet nothing
-    own = F.col("size") - F.size("l")
-    length = F.col("size") - F.ceil(THRESHOLD * F.col("size") - 1e-6).cast("int") + 1
-    prefix = ranked.withColumn("own", own).select("id", "size", "own", F.posexplode(F.slice("l", 1, F.greatest(F.lit(0), length - own))).alias("i", "t"))
-    prefix = prefix.select("id", "size", (F.col("own") + F.col("i")).alias("at"), F.col("t.g").alias("g"))
-    low = F.col("at") * (1 + THRESHOLD) <= F.col("size") * (1 - THRESHOLD) + 1e-6
-    entry = materialise(rest.select("bucket", "id", "component").join(prefix, "id").withColumn("low", low))
-    per = F.lit(CHUNK)
-    groups = entry.groupBy("bucket", "g").agg(F.ceil(F.count("*") / per).cast("int").alias("blocks"), F.ceil(F.count_if("low") / per).cast("int").alias("lows"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y and lows > 0")
-    entry = entry.join(groups.drop("x", "y"), ["bucket", "g"])
-
-    def side(low: bool) -> DataFrame:
-        mine, others, n, m = ("p", "q", "lows", "blocks") if low else ("q", "p", "blocks", "lows")
-        rows = entry.where("low") if low else entry
-        rows = rows.withColumn(mine, F.pmod(F.xxhash64("id"), F.col(n)).cast("int")).withColumn(others, F.explode(F.sequence(F.lit(0), F.col(m) - 1)))
-        return rows.select("bucket", "g", "p", "q", "id", "component", "size", "at", F.lit(low).alias("low"))
-
-    return side(True).unionByName(side(False)).groupBy("bucket", "g", "p", "q").applyInPandas(lambda pdf: _met(pdf), "a long, b long").distinct()
-
-
-def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for i, s in zip(batch["id"], batch["shingles"], strict=True):
-            g = np.frombuffer(s, dtype=np.int64)
-            yield pd.DataFrame({"id": i, "size": len(g), "g": g}).astype({"id": "int64", "size": "int32"})
-
-
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"id": batch["id"], "shingles": [np.unique(shingle_hashes(words_of(t))).tobytes() for t in batch["text"]]})
+    ranked = tokens.join(common.hint("merge"), "g").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "g", "share"))).alias("l"))
+    prefix = ranked.select("node", F.col("l.g").alias("g"), F.col("l.share").alias("share")).mapInPandas(_prefixes, "node long, g long")
+    entry = materialise(rest.select("bucket", "node", "component").join(prefix.hint("merge"), "node"))
+    groups = entry.groupBy("bucket", "g").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").drop("x", "y")
+    entry = entry.join(groups.hint("merge"), ["bucket", "g"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    # a task for each pair of blocks
+    entry = entry.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    entry = entry.select("bucket", "g", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "component")
+    return entry.groupBy("bucket", "g", "p", "q").applyInPandas(lambda pdf: _met(pdf), "a long, b long").distinct()
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -278,63 +258,77 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept, known, last = [], None, None
         for a, b, one, two in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
             if a != last:
-                known, last = np.unique(shingle_hashes(words_of(one))), a
-            other = np.unique(shingle_hashes(words_of(two)))
-            both = len(np.intersect1d(known, other, assume_unique=True))
-            if both >= THRESHOLD * (len(known) + len(other) - both):
+                known, last = weighted(shingle_hashes(words_of(one))), a
+            if probability_jaccard(known, weighted(shingle_hashes(words_of(two)))) >= THRESHOLD - 1e-12:
                 kept.append((a, b))
         yield pd.DataFrame(kept, columns=["a", "b"]).astype("int64")
 
 
+def _both(pairs: DataFrame, of: DataFrame, col: str) -> DataFrame:
+    """pairs with a column of either of their nodes."""
+    one = pairs.join(of.select(F.col("node").alias("b"), F.col(col).alias(f"{col}_b")).hint("merge"), "b")
+    return one.join(of.select(F.col("node").alias("a"), F.col(col).alias(f"{col}_a")).hint("merge"), "a")
+
+
+def text_key(text: Column) -> Column:
+    """128 bits of a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per input row: id, both hashes of the text, and class_id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumns({"h": F.xxhash64("text"), "h2": F.xxhash64("text", F.lit(1))})
-    signed = materialise(rows.where("id is not null").mapInPandas(_sign, "id long, h long, h2 long, bands array<long>, sig binary"))
-    # exact copies: the first document of each text goes on
-    firsts = materialise(signed.groupBy("h", "h2").agg(F.min("id").alias("first")))
-    # an id with two texts stands for itself only where it is the first of a text; its texts are then taken together
-    own = signed.join(firsts.select("h", "h2", F.col("first").alias("id")), ["h", "h2", "id"]).where(f"sig <> unhex('{_EMPTY}')")
-
-    band = own.select("id", F.explode("bands").alias("bucket")).distinct()
+    """One row per input row: id, the key of its text, and class_id."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", text_key(F.col("text")))
+    signed = materialise(rows.where("id is not null").mapInPandas(_sign, "id long, h binary, bands array<long>, sig binary"))
+    # exact copies: the first document of each text goes on, as a node of its own even if its id has two texts
+    firsts = signed.groupBy("h").agg(F.min("id").alias("id"))
+    own = signed.where(f"sig <> unhex('{_EMPTY}')").join(firsts.hint("merge"), ["h", "id"]).dropDuplicates(["h", "id"])
+    own = materialise(own.withColumn("node", F.monotonically_increasing_id()))
+    sigs = own.select("node", "sig")
+
+    band = own.select("node", F.explode("bands").alias("bucket"))
     # of buckets with the very same texts one is enough
-    sizes = band.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("n > 1")
+    sizes = band.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).where("n > 1")
     sizes = sizes.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    member = materialise(band.join(sizes, "bucket"))
-    sig = own.select("id", "sig").dropDuplicates(["id"])
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    chunked = member.join(sig, "id").withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int"))
-    twos = member.where("n = 2").groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b")
-    trees = chunked.where("n > 2").groupBy("bucket", "chunk").applyInPandas(lambda pdf: _forest(pdf), "a long, b long")
-    pairs = materialise(twos.unionByName(trees).distinct())
+    member = materialise(band.join(sizes.hint("merge"), "bucket"))
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)).cast("int")
+    trees = member.join(sigs.hint("merge"), "node").withColumn("chunk", chunk).groupBy("bucket", "chunk").applyInPandas(lambda pdf: _forest(pdf), "a long, b long, est float")
+    trees = materialise(trees.groupBy("a", "b").agg(F.max("est").alias("est")))
 
-    wanted = member.select("id").distinct()
-    texts = materialise(rows.join(firsts.select("h", "h2", F.col("first").alias("id")), ["h", "h2", "id"]).select("id", "text").join(wanted, "id").dropDuplicates(["id"]))
+    wanted = trees.select(F.explode(F.array("a", "b")).alias("node")).unionByName(member.where(F.col("n") > CHUNK).select("node")).distinct()
+    wanted = own.select("node", "id", "h").join(wanted.hint("merge"), "node")
+    texts = materialise(rows.join(wanted.hint("merge"), ["id", "h"]).select("node", "text").dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        return materialise(two.select("a", "b", "text_a", "text_b").mapInPandas(_verify, "a long, b long"))
-
-    links = verified(pairs)
+        return materialise(_both(pairs, texts, "text").select("a", "b", "text_a", "text_b").mapInPandas(_verify, "a long, b long"))
+
+    def joining(pairs: DataFrame, group: DataFrame) -> DataFrame:
+        """The pairs whose nodes are in different groups so far."""
+        both = pairs.join(group.toDF("a", "x").hint("merge"), "a", "left").join(group.toDF("b", "y").hint("merge"), "b", "left")
+        return both.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+
+    # each text's best pair first; what joins groups nevertheless comes after it
+    ends = trees.select("a", "b", "est", F.explode(F.array("a", "b")).alias("node"))
+    best = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("est", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
+    links = verified(best)
+    links = links.unionByName(verified(joining(trees.join(best.hint("merge"), ["a", "b"], "left_anti"), components(links))))
     group = components(links)
-    placed = member.where("n > 2").join(group.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", F.col("id")))
-    # buckets whose texts are in more than one group, and the largest group of each
-    by_group = placed.groupBy("bucket", "component").agg(F.count("*").alias("m"))
-    mixed = by_group.groupBy("bucket").agg(F.count("*").alias("groups"), F.max(F.struct("m", "component")).alias("most")).where("groups > 1").select("bucket", F.col("most.component").alias("main"))
-    rest = materialise(placed.join(mixed, "bucket").withColumn("visits", F.col("component") != F.col("main")).select("bucket", "n", "id", "component", "visits"))
-    sets = materialise(texts.join(rest.select("id").distinct(), "id").select("id", "text").mapInPandas(_sets, "id long, shingles binary"))
-    small = rest.where(F.col("n") <= CHUNK).join(sets, "id").groupBy("bucket").applyInPandas(lambda pdf: _across(pdf), "a long, b long")
-    more = materialise(small.distinct())
+
+    # buckets whose texts are still in more than one group
+    placed = member.where("n > 2").join(group.withColumnRenamed("node", "_n").hint("merge"), F.col("node") == F.col("_n"), "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    rest = materialise(placed.join(mixed.hint("merge"), "bucket"))
+    more = rest.where(F.col("n") <= CHUNK).join(sigs.hint("merge"), "node").groupBy("bucket").applyInPandas(lambda pdf: _across(pdf), "a long, b long").distinct()
     hot = rest.where(F.col("n") > CHUNK)
     if not empty_like(hot):
-        more = more.unionByName(verified(_hot_pairs(hot, sets.join(hot.select("id").distinct(), "id"))))
-    group = components(links.unionByName(more))
+        more = more.unionByName(_both(_hot_pairs(hot, texts), sigs, "sig").mapInPandas(_likely, "a long, b long")).distinct()
+    tried = trees.select("a", "b").hint("merge")
+    group = components(links.unionByName(verified(more.join(tried, ["a", "b"], "left_anti"))))
 
-    of_text = firsts.join(group.withColumnRenamed("node", "first"), "first", "left").select("h", "h2", F.coalesce("component", "first").alias("class"))
-    out = rows.select("id", "h", "h2", (F.col("text") == "").alias("empty")).join(of_text, ["h", "h2"], "left")
-    cls = F.when(F.col("id").isNull() | F.col("empty"), F.col("id")).otherwise(F.col("class"))
-    return out.select("id", "h", "h2", cls.alias("class_id"))
+    of_text = own.select("h", "id", "node").join(group.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = of_text.groupBy("component").agg(F.min("id").alias("class"))
+    of_text = of_text.join(least.hint("merge"), "component").select("h", "class")
+    known = signed.select("id", "h").join(of_text.hint("merge"), "h", "left").select("id", "h", F.coalesce("class", "id").alias("class_id"))
+    return known.unionByName(rows.where("id is null").select("id", "h", F.lit(None).cast("long").alias("class_id")))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -346,18 +340,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that are not the first of their group, and one row of those with the same id and text."""
-    keys = ["_row_id", "_row_h", "_row_h2"]
-    row = materialise(_grouped(docs, id_col, text_col).groupBy(*(F.col(c).alias(k) for c, k in zip(("id", "h", "h2"), keys, strict=True))).agg(F.count("*").alias("n"), F.first("class_id").alias("class_id")))
-    gone, repeated = row.where("_row_id <> class_id").select(keys), row.where("n > 1 and (_row_id is null or _row_id = class_id)").select(keys)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.withColumns({"_row_id": F.col(id_col).cast("long"), "_row_h": F.xxhash64(text), "_row_h2": F.xxhash64(text, F.lit(1))})
-
-    def of(few: DataFrame, how: str, rows: DataFrame) -> DataFrame:
-        few = few.toDF("_a", "_b", "_c")
-        return rows.join(few, F.col("_row_id").eqNullSafe(F.col("_a")) & (F.col("_row_h") == F.col("_b")) & (F.col("_row_h2") == F.col("_c")), how)
-
-    one = of(repeated, "left_semi", marked).dropDuplicates(keys)
-    return of(repeated, "left_anti", of(gone, "left_anti", marked)).unionByName(one).drop(*keys)
+    number = docs.schema[id_col].dataType.simpleString()
+
+    def keyed(df: DataFrame, id_: Column, h: Column) -> DataFrame:
+        return df.withColumns({"_least_id": F.coalesce(id_.cast("long"), F.lit(0)), "_no_id": id_.isNull(), "_text_key": h})
+
+    keys = ["_least_id", "_no_id", "_text_key"]
+    stay = _grouped(docs, id_col, text_col).where("id is null or id = class_id")
+    stay = keyed(stay, F.col("id").cast(number), F.col("h")).select(keys).distinct()
+    marked = keyed(docs, F.col(id_col), text_key(F.col(text_col)))
+    return marked.join(stay.hint("merge"), keys).dropDuplicates(keys).select(docs.columns)
 
 
 #: The signature of a text without shingles.

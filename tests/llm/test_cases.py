@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import collections
 import math
 import random
 
@@ -158,6 +159,43 @@ def test_near_groups(docs, none):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None, 1, 2, 3, 5, 6, 7}
 
 
+def weights(text):
+    w = text.split()
+    seen = collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    return {k: 1 + math.log(n) for k, n in seen.items()}
+
+
+def probability_jaccard(x, y):
+    """The definition: for each common shingle, the inverse of the sum of the greater ratios over all shingles."""
+    every = x.keys() | y.keys()
+    return sum(1 / sum(max(x.get(e, 0) / x[d], y.get(e, 0) / y[d]) for e in every) for d in x.keys() & y.keys())
+
+
+def near_by_brute_force(rows):
+    """Least id of each id's component, every pair compared."""
+    of, up = {i: weights(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in of:
+        for b in of:
+            if b < a and probability_jaccard(of[a], of[b]) >= 0.8:
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {i: root(i) for i in of}
+
+
+def test_probability_jaccard():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        a, b = (rng.integers(0, 20, rng.integers(1, 60)).astype(np.uint64) for _ in range(2))
+        x, y = (minhash.weighted(v) for v in (a, b))
+        assert minhash.probability_jaccard(x, y) == pytest.approx(probability_jaccard(*(dict(zip(k.tolist(), w.tolist(), strict=True)) for k, w in (x, y))))
+
+
 @pytest.mark.parametrize("chunk", [8, 1024])
 def test_near_groups_brute_force(spark, chunk, monkeypatch):
     monkeypatch.setattr(minhash, "CHUNK", chunk)
@@ -169,38 +207,35 @@ def test_near_groups_brute_force(spark, chunk, monkeypatch):
         for _ in range(rng.randint(0, 6)):
             w[rng.randrange(len(w))] = f"n{rng.randint(0, 9999)}"
         rows.append((i, " ".join(w)))
-    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(116)} for i, t in rows}
-    up = {i: i for i in sets}
-
-    def root(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for a in sets:
-        for b in range(a):
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                x, y = root(a), root(b)
-                up[max(x, y)] = min(x, y)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.class_id for r in minhash.near_groups(df).collect()} == {i: root(i) for i in sets}
+    assert {r.doc_id: r.class_id for r in minhash.near_groups(df).collect()} == near_by_brute_force(rows)
 
 
-def test_near_groups_of_repeated_lines(spark):
-    """The set Jaccard is 0.87, the probability Jaccard under the margin of the estimate."""
-    rows, want = [], {}
-    for k in range(4):
+@pytest.mark.parametrize("chunk", [4, 1024])
+def test_near_groups_of_repeated_passages(spark, chunk, monkeypatch):
+    """Passages repeated unevenly, in buckets of more than two texts: weights decide what is a link."""
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
+    rows = []
+    for k in range(3):
         base = [f"b{k}x{i}" for i in range(104)]
         line = [f"l{k}x{i}" for i in range(10)]
-        for i, w in enumerate((base, [*base[:-1], "other"], [*base[:-1], "third"], base + line * 500, [*base[:-1], "other"] + line * 500)):
-            rows.append((10 * k + i, " ".join(w)))
-            want[10 * k + i] = 10 * k
-    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
-    assert all(len(sets[i] & sets[c]) >= 0.8 * len(sets[i] | sets[c]) for i, c in want.items())
+        for times in (0, 40, 500):
+            for other in ("", "other", "third"):
+                rows.append((len(rows), " ".join([*base[:-1], other or base[-1]] + line * times)))
+    want = near_by_brute_force(rows)
+    assert 3 < len(set(want.values())) < len(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in minhash.near_groups(df).collect()} == want
 
 
+def test_one_id_with_two_texts(spark):
+    """Each text gets the group of its own, also where the id is the first of both."""
+    a, b = [f"x{i}" for i in range(90)], [f"y{i}" for i in range(90)]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a[:-1], "end"])), (3, " ".join([*b[:-1], "end"]))]
+    got = sorted((r.doc_id, r.class_id) for r in minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
 def test_tasks_of_hot_buckets_are_bounded(spark, monkeypatch, tmp_path):
     """Texts of one template under the threshold, with two linked pairs: what a task of a bucket holds does not grow with it."""
     at = str(tmp_path / "rows")

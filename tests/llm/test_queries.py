@@ -86,10 +86,11 @@ def groups(items, linked):
 
 
 def test_near_groups(spark, sf, docs):
-    shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, W.findall(t or "")) for i, t in docs)}
-    ids = sorted(shingles)
-    links = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
-    assert {r.doc_id: r.class_id for r in queries.op8_minhash(spark, sf).collect()} == groups(ids, links)
+    """Every pair of texts that has a word sequence in common, by the exact probability Jaccard."""
+    of = {i: minhash.weighted(minhash.shingle_hashes(W.findall(t or ""))) for i, t in docs}
+    ids = sorted(i for i in of if len(of[i][0]))
+    links = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if minhash.probability_jaccard(of[a], of[b]) >= 0.8]
+    assert {r.doc_id: r.class_id for r in queries.op8_minhash(spark, sf).collect()} == groups(of, links)
 
 
 def test_packing(spark, sf, docs):
