@@ -11,8 +11,8 @@ Exact copies are put together first and only one of them goes on. Buckets are no
 
 1. In each bucket, the likeliest pairs by signature form a spanning forest. Each text's best pair of all buckets is
    verified first, then the pairs of the forests that still join different groups.
-2. Where that leaves a bucket's texts in different groups, every pair of them from different groups is looked at again: in
-   buckets of up to CHUNK texts by its signatures, in larger ones by an exact bound (a prefix of the rarest shingles, in blocks).
+2. Where that leaves a bucket's texts in different groups, every pair of them from different groups is looked at again by its
+   signatures: the texts outside the bucket's largest group meet all of its texts, in tasks of two blocks of CHUNK.
 
 So any link between candidates is either found or joins texts that are joined already. A pair is left out by its signatures only
 where the estimate is MARGIN below the threshold, which a link is with probability under 1e-6.
@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, empty_like, materialise, table, words_of
+from .common import components, materialise, table, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Registers; bands of ROWS registers each. A pair of similarity p shares no band with probability (1 - p^4)^24: 4e-6 for 0.8.
@@ -186,80 +186,27 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a bucket's texts from different groups whose estimate lets a link be possible."""
-    pdf = pdf.sort_values("node")
-    nodes, group, sig = pdf["node"].to_numpy(), pdf["component"].to_numpy(), _registers(pdf["sig"])
-    out = []
-    for a in range(0, len(nodes), 256):
-        hit = (_estimates(sig[a : a + 256], sig) >= THRESHOLD - MARGIN) & (group[a : a + 256, None] != group[None, :])
-        i, j = np.nonzero(hit)
-        keep = i + a < j
-        out.append(pd.DataFrame({"a": nodes[i[keep] + a], "b": nodes[j[keep]]}))
-    return pd.concat(out)
-
-
-def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        if len(batch):
-            same = (_registers(batch["sig_a"]) == _registers(batch["sig_b"])).mean(1)
-            batch = batch[(same - 1 / 256) / (1 - 1 / 256) >= THRESHOLD - MARGIN]
-        yield batch[["a", "b"]]
-
-
-def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shingles with their share of the text's weight."""
-    for batch in batches:
-        for node, text in zip(batch["node"], batch["text"], strict=True):
-            kinds, weight = weighted(shingle_hashes(words_of(text)))
-            yield pd.DataFrame({"node": node, "g": kinds.view(np.int64), "share": weight / weight.sum()}).astype({"node": "int64"})
-
-
-def _prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of a text's shingles in the order of the corpus, the first that weigh over 1 - THRESHOLD of it; those of one text only come before all others."""
-    for batch in batches:
-        for node, g, share in zip(batch["node"], batch["g"], batch["share"], strict=True):
-            share = np.asarray(share, dtype=float)
-            before = 1 - share.sum() + np.concatenate(([0.0], np.cumsum(share)[:-1]))
-            keep = np.asarray(g, dtype=np.int64)[before <= 1 - THRESHOLD + 1e-6]
-            yield pd.DataFrame({"node": node, "g": keep}).astype("int64")
-
-
-def _met(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different groups, of the two blocks of texts of a task (or within its one block), that share a shingle of their prefixes."""
-    p, block = pdf["p"].iloc[0], pdf["block"].to_numpy()
-    within = p == pdf["q"].iloc[0]
-    one, two = np.flatnonzero(block == p), np.arange(len(pdf)) if within else np.flatnonzero(block != p)
-    nodes, group = pdf["node"].to_numpy(), pdf["component"].to_numpy()
-    i, j = np.nonzero(group[one][:, None] != group[two][None, :])
-    x, y = nodes[one[i]], nodes[two[j]]
-    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
-
-
-def _hot_pairs(rest: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts in different groups of a bucket that may be links, for buckets of any size.
-
-    The probability Jaccard of two texts is at most what their weights have in common when either's sum is 1. So the first common shingle, in
-    the order of the counts over all such buckets, is among those of either text before which at most 1 - THRESHOLD of its weight stands."""
-    tokens = materialise(texts.join(rest.select("node").distinct().hint("merge"), "node", "left_semi").mapInPandas(_tokens, "node long, g long, share double"))
-    common = tokens.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = tokens.join(common.hint("merge"), "g").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "g", "share"))).alias("l"))
-    prefix = ranked.select("node", F.col("l.g").alias("g"), F.col("l.share").alias("share")).mapInPandas(_prefixes, "node long, g long")
-    entry = materialise(rest.select("bucket", "node", "component").join(prefix.hint("merge"), "node"))
-    groups = entry.groupBy("bucket", "g").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").drop("x", "y")
-    entry = entry.join(groups.hint("merge"), ["bucket", "g"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    # a task for each pair of blocks
-    entry = entry.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    entry = entry.select("bucket", "g", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "component")
-    return entry.groupBy("bucket", "g", "p", "q").applyInPandas(lambda pdf: _met(pdf), "a long, b long").distinct()
+    """Pairs of a block of a bucket's guests and a block of its texts, from different groups, whose estimate lets a link be possible."""
+    guests, hosts = pdf[pdf["guest"]], pdf[~pdf["guest"]]
+    out = [pd.DataFrame({"a": [], "b": []}).astype("int64")]
+    if len(guests) and len(hosts):
+        one, two = _registers(guests["sig"]), _registers(hosts["sig"])
+        x, y = guests["node"].to_numpy(), hosts["node"].to_numpy()
+        for k in range(0, len(guests), 256):
+            hit = (_estimates(one[k : k + 256], two) >= THRESHOLD - MARGIN) & (guests["component"].to_numpy()[k : k + 256, None] != hosts["component"].to_numpy()[None, :])
+            i, j = np.nonzero(hit)
+            out.append(pd.DataFrame({"a": np.minimum(x[i + k], y[j]), "b": np.maximum(x[i + k], y[j])}))
+    return pd.concat(out).drop_duplicates()
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        kept, known, last = [], None, None
+        kept, known = [], {}
         for a, b, one, two in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
-            if a != last:
-                known, last = weighted(shingle_hashes(words_of(one))), a
-            if probability_jaccard(known, weighted(shingle_hashes(words_of(two)))) >= THRESHOLD - 1e-12:
+            for node, text in ((a, one), (b, two)):
+                if node not in known:
+                    known[node] = weighted(shingle_hashes(words_of(text)))
+            if probability_jaccard(known[a], known[b]) >= THRESHOLD - 1e-12:
                 kept.append((a, b))
         yield pd.DataFrame(kept, columns=["a", "b"]).astype("int64")
 
@@ -313,14 +260,21 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     links = links.unionByName(verified(joining(trees.join(best.hint("merge"), ["a", "b"], "left_anti"), components(links))))
     group = components(links)
 
-    # buckets whose texts are still in more than one group
+    # in buckets whose texts are still in more than one group, those outside the largest group are guests and meet all texts, block by block
     placed = member.where("n > 2").join(group.withColumnRenamed("node", "_n").hint("merge"), F.col("node") == F.col("_n"), "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    rest = materialise(placed.join(mixed.hint("merge"), "bucket"))
-    more = rest.where(F.col("n") <= CHUNK).join(sigs.hint("merge"), "node").groupBy("bucket").applyInPandas(lambda pdf: _across(pdf), "a long, b long").distinct()
-    hot = rest.where(F.col("n") > CHUNK)
-    if not empty_like(hot):
-        more = more.unionByName(_both(_hot_pairs(hot, texts), sigs, "sig").mapInPandas(_likely, "a long, b long")).distinct()
+    by_group = placed.groupBy("bucket", "component").agg(F.count("*").alias("m"))
+    mixed = by_group.groupBy("bucket").agg(F.count("*").alias("groups"), F.sum("m").alias("n"), F.max(F.struct("m", "component")).alias("most")).where("groups > 1")
+    blocks = lambda n: F.ceil(n / CHUNK).cast("int")
+    mixed = mixed.select("bucket", F.col("most.component").alias("main"), blocks(F.col("n")).alias("hosts"), blocks(F.col("n") - F.col("most.m")).alias("guests"))
+    rest = materialise(placed.drop("n").join(mixed.hint("merge"), "bucket").join(sigs.hint("merge"), "node"))
+
+    def side(rows: DataFrame, guest: bool) -> DataFrame:
+        own_block, other, n, m = ("p", "q", "guests", "hosts") if guest else ("q", "p", "hosts", "guests")
+        rows = rows.withColumn(own_block, F.pmod(F.xxhash64("node"), F.col(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1)))
+        return rows.select("bucket", "p", "q", "node", "component", "sig", F.lit(guest).alias("guest"))
+
+    met = side(rest.where("component <> main"), True).unionByName(side(rest, False))
+    more = met.groupBy("bucket", "p", "q").applyInPandas(lambda pdf: _across(pdf), "a long, b long").distinct()
     tried = trees.select("a", "b").hint("merge")
     group = components(links.unionByName(verified(more.join(tried, ["a", "b"], "left_anti"))))
 
