@@ -12,7 +12,8 @@ Exact copies are put together first and only one of them goes on. Buckets are no
 1. In each bucket, the likeliest pairs by signature form a spanning forest. Each text's best pair of all buckets is
    verified first, then the pairs of the forests that still join different groups.
 2. Where that leaves a bucket's texts in different groups, every pair of them from different groups is looked at again by its
-   signatures: the texts outside the bucket's largest group meet all of its texts, in tasks of two blocks of CHUNK.
+   signatures: the texts outside the bucket's largest group meet all of its texts, in tasks of two blocks of CHUNK. Those that may be
+   in a link are compared exactly in such a task, and only links that join groups leave it.
 
 So any link between candidates is either found or joins texts that are joined already. A pair is left out by its signatures only
 where the estimate is MARGIN below the threshold, which a link is with probability under 1e-6.
@@ -42,7 +43,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 REGISTERS, BANDS, ROWS = 256, 24, 4
 #: Nearly five standard deviations of the estimate of a similarity of 0.8 from 256 registers.
 MARGIN = 0.12
-CHUNK = 1024
+#: Texts of a block.
+CHUNK = 512
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -185,18 +187,46 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b", "est"]).astype({"a": "int64", "b": "int64", "est": "float32"})
 
 
+def _possible(guests: pd.DataFrame, hosts: pd.DataFrame) -> np.ndarray:
+    """Which pairs of a guest and a host are in different groups and, by their estimate, may be a link."""
+    if not len(guests) or not len(hosts):
+        return np.zeros((len(guests), len(hosts)), dtype=bool)
+    one, two = _registers(guests["sig"]), _registers(hosts["sig"])
+    hit = guests["component"].to_numpy()[:, None] != hosts["component"].to_numpy()[None, :]
+    for k in range(0, len(guests), 256):
+        hit[k : k + 256] &= _estimates(one[k : k + 256], two) >= THRESHOLD - MARGIN
+    return hit
+
+
+def _alive(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a block of a bucket's guests and a block of its texts that are in a possible link with the other block."""
+    guest = pdf["guest"].to_numpy()
+    hit = _possible(pdf[guest], pdf[~guest])
+    keep = np.zeros(len(pdf), dtype=bool)
+    keep[guest], keep[~guest] = hit.any(1), hit.any(0)
+    return pdf[keep]
+
+
 def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block of a bucket's guests and a block of its texts, from different groups, whose estimate lets a link be possible."""
+    """Links of a task of two blocks, computed exactly; of those found only the ones that join groups not joined yet are returned."""
     guests, hosts = pdf[pdf["guest"]], pdf[~pdf["guest"]]
-    out = [pd.DataFrame({"a": [], "b": []}).astype("int64")]
-    if len(guests) and len(hosts):
-        one, two = _registers(guests["sig"]), _registers(hosts["sig"])
-        x, y = guests["node"].to_numpy(), hosts["node"].to_numpy()
-        for k in range(0, len(guests), 256):
-            hit = (_estimates(one[k : k + 256], two) >= THRESHOLD - MARGIN) & (guests["component"].to_numpy()[k : k + 256, None] != hosts["component"].to_numpy()[None, :])
-            i, j = np.nonzero(hit)
-            out.append(pd.DataFrame({"a": np.minimum(x[i + k], y[j]), "b": np.maximum(x[i + k], y[j])}))
-    return pd.concat(out).drop_duplicates()
+    x, y = ([weighted(shingle_hashes(words_of(t))) for t in rows["text"]] for rows in (guests, hosts))
+    a, b = guests["node"].tolist(), hosts["node"].tolist()
+    now = {c: c for c in pdf["component"].tolist()}  # groups joined here, in chains
+
+    def root(c: int) -> int:
+        while now[c] != c:
+            now[c] = now[now[c]]
+            c = now[c]
+        return c
+
+    one, two = guests["component"].tolist(), hosts["component"].tolist()
+    out = []
+    for i, j in zip(*(k.tolist() for k in np.nonzero(_possible(guests, hosts))), strict=True):
+        if root(one[i]) != root(two[j]) and probability_jaccard(x[i], y[j]) >= THRESHOLD - 1e-12:
+            now[root(one[i])] = root(two[j])
+            out.append((min(a[i], b[j]), max(a[i], b[j])))
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,9 +304,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return rows.select("bucket", "p", "q", "node", "component", "sig", F.lit(guest).alias("guest"))
 
     met = side(rest.where("component <> main"), True).unionByName(side(rest, False))
-    more = met.groupBy("bucket", "p", "q").applyInPandas(lambda pdf: _across(pdf), "a long, b long").distinct()
-    tried = trees.select("a", "b").hint("merge")
-    group = components(links.unionByName(verified(more.join(tried, ["a", "b"], "left_anti"))))
+    alive = met.groupBy("bucket", "p", "q").applyInPandas(lambda pdf: _alive(pdf), met.schema)
+    more = alive.join(texts.hint("merge"), "node").groupBy("bucket", "p", "q").applyInPandas(lambda pdf: _across(pdf), "a long, b long")
+    group = components(links.unionByName(materialise(more.distinct())))
 
     of_text = own.select("h", "id", "node").join(group.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of_text.groupBy("component").agg(F.min("id").alias("class"))

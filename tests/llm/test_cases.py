@@ -249,7 +249,8 @@ def test_tasks_of_hot_buckets_are_bounded(spark, monkeypatch, tmp_path):
         return inner
 
     monkeypatch.setattr(minhash, "CHUNK", 8)
-    monkeypatch.setattr(minhash, "_across", watch(minhash._across))
+    for name in ("_alive", "_across"):
+        monkeypatch.setattr(minhash, name, watch(getattr(minhash, name)))
     rows = [(i, " ".join([f"t{k}" for k in range(90)] + [f"o{i // 2 if i < 4 else i}x{k}" for k in range(30)] + [f"i{i}"])) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in minhash.near_groups(df).collect()}
