@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that canonical names leave out.
-NOISE = "the a an of and in on process concept theory principle method technique approach system model framework structure type form category".split()
+NOISE = "the a an of and in on process concept principle phenomenon theory law effect method system type form kind class category".split()
 
 
 def squeeze(x: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pairs of relation types that contradict each other between the same nodes.
-MUTEX = [("IS_A", "CONTRASTS_WITH"), ("CAUSES", "CAUSED_BY"), ("PART_OF", "CONTAINS"), ("REQUIRES", "PRECEDES")]
+MUTEX = [("IS_A", "CONTRASTS_WITH"), ("PART_OF", "CONTAINS"), ("CAUSES", "CAUSED_BY"), ("EXAMPLE_OF", "CONTRASTS_WITH")]
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -56,28 +56,40 @@ def closed_walks(edges: DataFrame, longest: int = 5) -> DataFrame:
     return found
 
 
+def back_edges(edges: list[tuple[int, int, int]]) -> set[int]:
+    """Ids of the (src, dst, id) that lead back into the path of a depth-first search. Searches start at sources in order of
+    their first edge, and edges are followed in order."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    for src, dst, i in edges:
+        out.setdefault(src, []).append((dst, i))
+    done, path, back = set(), set(), set()
+    for start in out:
+        todo = [] if start in done else [(start, iter(out[start]))]
+        done.add(start)
+        path.update(x for x, _ in todo)
+        while todo:
+            node, left = todo[-1]
+            dst, i = next(left, (None, None))
+            if i is None:
+                path.discard(node)
+                todo.pop()
+            elif dst in path:
+                back.add(i)
+            elif dst not in done:
+                done.add(dst)
+                path.add(dst)
+                todo.append((dst, iter(out.get(dst, ()))))
+    return back
+
+
 def break_cycles(edges: DataFrame, graph_col: str = "graph") -> DataFrame:
-    """J-06, J-07: edges with `kept`. In each graph, edges come in order of edge_id; one that would close a
-    directed cycle of acyclic relations is dropped. A graph is one document's and small, so it is one group."""
+    """J-06, J-07: edges with `kept`. Of each graph's acyclic relations, the back edges of a depth-first search go.
+    A graph is what one document's chunks gave, so a group is bounded by a document."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ahead: dict[int, set[int]] = {}
-        kept = []
-        for src, dst, dag in pdf.sort_values("edge_id")[["src", "dst", "dag"]].itertuples(index=False):
-            ok = True
-            if dag:
-                todo, seen = [dst], set()
-                while todo and ok:
-                    x = todo.pop()
-                    if x == src:
-                        ok = False
-                    elif x not in seen:
-                        seen.add(x)
-                        todo += ahead.get(x, ())
-                if ok:
-                    ahead.setdefault(src, set()).add(dst)
-            kept.append(ok)
-        return pdf.sort_values("edge_id").assign(kept=kept)
+        pdf = pdf.sort_values("edge_id")
+        gone = back_edges(list(pdf[pdf["dag"]][["src", "dst", "edge_id"]].itertuples(index=False, name=None)))
+        return pdf.assign(kept=~pdf["edge_id"].isin(gone))
 
     return edges.groupBy(graph_col).applyInPandas(run, T.StructType([*edges.schema.fields, T.StructField("kept", T.BooleanType())]))
 

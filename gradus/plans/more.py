@@ -49,7 +49,7 @@ def clean_pages(spark, sf_dir) -> DataFrame:
 @query("pseudo_embeddings")
 def pseudo_embeddings(spark, sf_dir) -> DataFrame:
     """H-11 of concept names."""
-    return views.nodes(spark).select("node", chunking.embed("name").alias("v"))
+    return views.nodes(spark, sf_dir).select("node", chunking.embed("name").alias("v"))
 
 
 @query("repetition_cleaning", sql(r"select doc_id, length(regexp_replace(text, '([^\s,]+)(, \1)+', '\1', 'g'))::int as cleaned_chars from (select doc_id, '' as text from documents)"))
@@ -203,15 +203,15 @@ def component_scores(spark, sf_dir) -> DataFrame:
 @query("orphan_links", sql("select o.node as orphan, c.node as target from (select node from nodes where node % 10 = 0) o join (select node, row_number() over (order by node) as r from nodes where node % 10 <> 0) c on r <= 3", "nodes"))
 def orphan_links(spark, sf_dir) -> DataFrame:
     """J-11: candidate links of isolated nodes (here every tenth) to three connected ones; both sides are limited to fifty."""
-    o = views.nodes(spark).where("node % 10 = 0").select(F.col("node").alias("orphan")).limit(50)
-    c = views.nodes(spark).where("node % 10 <> 0").orderBy("node").limit(3).select(F.col("node").alias("target"))
+    o = views.nodes(spark, sf_dir).where("node % 10 = 0").select(F.col("node").alias("orphan")).limit(50)
+    c = views.nodes(spark, sf_dir).where("node % 10 <> 0").orderBy("node").limit(3).select(F.col("node").alias("target"))
     return o.join(F.broadcast(c), F.lit(True))  # three rows
 
 
 @query("resolved_edges", sql("select distinct a.node as src, b.node as dst, rel from edges e join nodes a on lower(a.name) = lower('CONCEPT ' || e.src) join nodes b on lower(b.name) = lower('concept ' || e.dst) where a.node <> b.node", "edges", "nodes"))
 def resolved_edges(spark, sf_dir) -> DataFrame:
     """B-07, C-07, J-17: endpoints resolved by name, case aside."""
-    n = views.nodes(spark).select("node", F.lower("name").alias("key"))
+    n = views.nodes(spark, sf_dir).select("node", F.lower("name").alias("key"))
     e = views.edges(spark, sf_dir).select(F.lower(F.concat(F.lit("CONCEPT "), "src")).alias("ks"), F.lower(F.concat(F.lit("concept "), "dst")).alias("kd"), "rel")
     j = e.join(n.select(F.col("node").alias("src"), F.col("key").alias("ks")), "ks").join(n.select(F.col("node").alias("dst"), F.col("key").alias("kd")), "kd")
     return j.where("src <> dst").select("src", "dst", "rel").distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import chunking
 from ..functions import formulas as M
 from ..functions import text as T
 from ..functions.formulas import half_up
@@ -37,36 +38,73 @@ def chunk_neighbours(spark, sf_dir) -> DataFrame:
     return views.chunks_fixed(spark, sf_dir).select("doc_id", "chunk_index", F.lead("chunk_index").over(w).alias("next_chunk"), (F.count("*").over(w.rangeBetween(-2, 2)) - 1).alias("within_two"))
 
 
-_CONF = "1.0::double - 0.1::double * (not regexp_matches(text, '[.!?]$'))::int - 0.3::double * (length(text) < 100)::int - 0.25::double * (regexp_matches(text, '\\|'))::int - least(0.3::double, case when noise > 0.05 then 4 * noise else 0 end)"
+_Q = {k: getattr(chunking, k).replace("'", "''") for k in ("CAPTION", "TABLE_ROW", "MATH", "ODD")}
+_CONF = f"greatest(0.0::double, floor((1.0::double - 0.1::double * (not regexp_matches(text, '[.!?]$'))::int - 0.3::double * (length(text) < 100)::int - 0.4::double * regexp_matches(text, '{_Q['CAPTION']}')::int - 0.25::double * regexp_matches(text, '{_Q['TABLE_ROW']}')::int - 0.15::double * regexp_matches(text, '{_Q['MATH']}')::int - case when odd > 0.05 then least(0.3::double, 4 * odd) else 0 end) * 100 + 0.5::double) / 100)"
+_ODD_SHARE = f"length(regexp_replace(text, '{_Q['ODD'].replace('[^', '[')}', '', 'g'))::double / greatest(1, length(text))"
 
 
-@query("chunk_confidence_a", sql(f"select doc_id, chunk_index, {r6(_CONF)} as confidence, case when {_CONF} >= 0.7 then 'high' when {_CONF} < 0.5 then 'low' else 'medium' end as tier from (select *, length(regexp_replace(text, '[^#*$%&<>~^]', '', 'g'))::double / length(text) as noise from chunks_fixed)", "chunks_fixed"))
+@query("chunk_confidence_a", sql(f"select doc_id, chunk_index, {_CONF} as confidence, case when {_CONF} >= 0.7 then 'high' when {_CONF} < 0.5 then 'low' else 'medium' end as tier, {_CONF} >= 0.5 as stage2 from (select *, {_ODD_SHARE} as odd from chunks_fixed)", "chunks_fixed"))
 def chunk_confidence_a(spark, sf_dir) -> DataFrame:
-    """K-02, D-19, B-12."""
-    noise = F.length(F.regexp_replace("text", r"[^#*$%&<>~^]", "")) / F.length("text")
+    """K-02, D-19, B-12; a chunk that ends inside a sentence counts as cut."""
+    t, n = F.col("text"), F.length("text")
+    odd = F.regexp_count("text", F.lit(chunking.ODD)) / F.greatest(F.lit(1), n)
     flag = lambda x: F.when(x, 1.0).otherwise(0.0)
-    c = 1.0 - 0.1 * flag(~F.col("text").rlike(r"[.!?]\z")) - 0.3 * flag(F.length("text") < 100) - 0.25 * flag(F.col("text").contains("|")) - F.least(F.lit(0.3), F.when(noise > 0.05, 4 * noise).otherwise(0.0))
-    return views.chunks_fixed(spark, sf_dir).select("doc_id", "chunk_index", half_up(c).alias("confidence"), F.when(c >= 0.7, "high").when(c < 0.5, "low").otherwise("medium").alias("tier"))
+    c = 1.0 - 0.1 * flag(~t.rlike(r"[.!?]\z")) - 0.3 * flag(n < 100) - 0.4 * flag(t.rlike(chunking.CAPTION)) - 0.25 * flag(t.rlike(chunking.TABLE_ROW)) - 0.15 * flag(t.rlike(chunking.MATH)) - F.when(odd > 0.05, F.least(F.lit(0.3), 4 * odd)).otherwise(0.0)
+    c = F.greatest(F.lit(0.0), half_up(c, 2))
+    return views.chunks_fixed(spark, sf_dir).select("doc_id", "chunk_index", c.alias("confidence"), F.when(c >= 0.7, "high").when(c < 0.5, "low").otherwise("medium").alias("tier"), (c >= 0.5).alias("stage2"))
 
 
-@query("extraction_quality", sql(f"""select doc_id, pages::bigint as pages, chars::bigint as chars, empty_pages::bigint as empty_pages, {r6('coverage')} as coverage, {r6('noise')} as noise, case when noise > 0.15 then 'UNREADABLE' when coverage >= 0.95 then 'FULL' when coverage >= 0.6 then 'PARTIAL' else 'POOR' end as verdict from
-  (select doc_id, count(*) as pages, sum(length(text)) as chars, sum((length(text) < 50)::int) as empty_pages, least(1.0::double, sum(length(text))::double / sum(case when ocr_applied then 800 else 1800 end)) as coverage, sum(length(regexp_replace(text, '[^#*$%&<>|~^]', '', 'g')))::double / nullif(sum(length(text)), 0) as noise from doc_pages group by 1)""", "doc_pages"))
+#: Fixed value: characters that are no text, of the page extractor and of chunker B.
+PAGE_ODD = r"[^\x09\x0A\x0D\x20-\x7E\x{00A0}-\x{024F}\x{2000}-\x{206F}\x{20A0}-\x{20CF}]"
+
+_EXTRACTED = f"""pages as (select doc_id, count(*) as pages, sum(length(text)) as chars, sum((length(text) < 50)::int) as empty_pages, sum(ocr_applied::int) as ocr_pages, avg(ocr_confidence) as ocr,
+    least(1.0::double, sum(length(text))::double / sum(case when ocr_applied then 800 else 1800 end)) as cov, sum(length(text) - length(regexp_replace(text, '{PAGE_ODD}', '', 'g')))::double / greatest(1, sum(length(text))) as ns from doc_pages group by 1),
+quality as (select *, {r6('cov', 4)} as coverage, {r6('ns', 4)} as noise, {r6('0.35::double * least(1.0::double, chars::double / pages / 1800) + 0.30::double * greatest(0.0::double, 1 - 20 * ns) + 0.20::double * (1 - empty_pages::double / pages) + 0.15::double * case when ocr_pages = 0 then 1.0::double when ocr is null then 0.5::double else greatest(0.0::double, (ocr - 60) / 40) end', 4)} as score from pages)"""
+
+
+@query("extraction_quality", sql("select doc_id, pages::bigint as pages, chars::bigint as chars, empty_pages::bigint as empty_pages, coverage, noise, case when coverage >= 0.95 then 'COMPLETE' when coverage >= 0.6 then 'PARTIAL' else 'SPARSE' end as verdict, score, case when noise > 0.15 then 'UNREADABLE' when score >= 0.75 then 'HIGH' when score >= 0.45 then 'MEDIUM' when score >= 0.2 then 'LOW' else 'UNREADABLE' end as tier from quality", "doc_pages", more=_EXTRACTED))
 def extraction_quality(spark, sf_dir) -> DataFrame:
-    """K-10: page yield, coverage against expected characters, noise and a verdict."""
+    """K-10: page yield, coverage against expected characters, noise, the weighted score and its tier."""
     n = F.length("text")
-    g = views.doc_pages(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum(n).alias("chars"), F.count_if(n < 50).alias("empty_pages"), F.least(F.lit(1.0), F.sum(n) / F.sum(F.when(F.col("ocr_applied"), 800).otherwise(1800))).alias("cov"), (F.sum(F.length(F.regexp_replace("text", r"[^#*$%&<>|~^]", ""))) / F.nullif(F.sum(n), F.lit(0))).alias("ns"))
-    verdict = F.when(F.col("ns") > 0.15, "UNREADABLE").when(F.col("cov") >= 0.95, "FULL").when(F.col("cov") >= 0.6, "PARTIAL").otherwise("POOR")
-    return g.select("doc_id", "pages", "chars", "empty_pages", half_up(F.col("cov")).alias("coverage"), half_up(F.col("ns")).alias("noise"), verdict.alias("verdict"))
+    g = views.doc_pages(spark, sf_dir).groupBy("doc_id").agg(
+        F.count("*").alias("pages"), F.sum(n).alias("chars"), F.count_if(n < 50).alias("empty_pages"), F.count_if("ocr_applied").alias("ocr_pages"), F.avg("ocr_confidence").alias("ocr"),
+        F.least(F.lit(1.0), F.sum(n) / F.sum(F.when(F.col("ocr_applied"), 800).otherwise(1800))).alias("cov"), (F.sum(F.regexp_count("text", F.lit(PAGE_ODD))) / F.greatest(F.lit(1), F.sum(n))).alias("ns"),
+    )
+    ocr = F.when(F.col("ocr_pages") == 0, 1.0).when(F.col("ocr").isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), (F.col("ocr") - 60) / 40))
+    score = 0.35 * F.least(F.lit(1.0), F.col("chars") / F.col("pages") / 1800) + 0.30 * F.greatest(F.lit(0.0), 1 - 20 * F.col("ns")) + 0.20 * (1 - F.col("empty_pages") / F.col("pages")) + 0.15 * ocr
+    g = g.withColumns({"coverage": half_up(F.col("cov"), 4), "noise": half_up(F.col("ns"), 4), "score": half_up(score, 4)})
+    verdict = F.when(F.col("coverage") >= 0.95, "COMPLETE").when(F.col("coverage") >= 0.6, "PARTIAL").otherwise("SPARSE")
+    s = F.col("score")
+    tier = F.when(F.col("noise") > 0.15, "UNREADABLE").when(s >= 0.75, "HIGH").when(s >= 0.45, "MEDIUM").when(s >= 0.2, "LOW").otherwise("UNREADABLE")
+    return g.select("doc_id", "pages", "chars", "empty_pages", "coverage", "noise", verdict.alias("verdict"), "score", tier.alias("tier"))
+
 
+def blocks(spark, sf_dir) -> DataFrame:
+    """Parts of a text between blank lines."""
+    return views.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"\n\s*\n")).alias("block", "text"))
 
-@query("equation_gaps", sql("""select doc_id, count(*)::bigint as blocks, sum((hits::double / greatest(1, words) > 1)::int)::bigint as high from (select doc_id, len(regexp_extract_all(line, '[=+*/^<>%$#|&]')) as hits, len(regexp_extract_all(line, '[^\\s]+')) as words from (select doc_id, unnest(string_split(text, chr(10))) as line from documents)) where hits >= 3 group by 1"""))
+
+_BLOCKS = r"blocks as (select doc_id, unnest(string_split_regex(text, '\n\s*\n')) as text from documents)"
+
+
+@query("equation_gaps", sql(f"select doc_id, count(*)::bigint as blocks, sum((hits::double / greatest(1, words) > 1)::int)::bigint as high from (select doc_id, len(regexp_extract_all(text, '{_Q['MATH']}')) as hits, len(regexp_extract_all(text, '[^\\s]+')) as words from blocks) where hits >= 3 group by 1", more=_BLOCKS))
 def equation_gaps(spark, sf_dir) -> DataFrame:
-    """K-13: blocks (lines) with at least three mathematical signs."""
-    d = views.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    d = d.select("doc_id", F.regexp_count("line", F.lit(r"[=+*/^<>%$#|&]")).alias("hits"), F.regexp_count("line", F.lit(r"[^\s]+")).alias("words")).where("hits >= 3")
+    """K-13: blocks with at least three mathematical signs; dense ones are of high severity."""
+    d = blocks(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit(chunking.MATH)).alias("hits"), F.regexp_count("text", F.lit(r"[^\s]+")).alias("words")).where("hits >= 3")
     return d.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("hits") / F.greatest(F.lit(1), "words") > 1).alias("high"))
 
 
+@query("table_blocks", sql(r"""select doc_id, count(*)::bigint as tables, sum(rows)::bigint as rows from (select doc_id, len(list_filter(l, lambda x: contains(x, '|') or 2 * len(list_filter(regexp_extract_all(x, '[^\s]+'), lambda w: regexp_full_match(w, '[\d.,%-]+'))) > len(regexp_extract_all(x, '[^\s]+')))) as rows, len(l) as n
+  from (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\s]')) as l from blocks)) where n >= 3 and rows >= 3 and 2 * rows >= n group by 1""", more=_BLOCKS))
+def table_blocks(spark, sf_dir) -> DataFrame:
+    """K-14: blocks of three or more lines of which half at least, and three, are mostly numbers or hold a bar."""
+    words = lambda x: F.regexp_extract_all(x, F.lit(r"[^\s]+"), F.lit(0))
+    data = lambda x: x.contains("|") | (2 * F.size(F.filter(words(x), lambda w: w.rlike(r"\A[\d.,%-]+\z"))) > F.size(words(x)))
+    d = blocks(spark, sf_dir).select("doc_id", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\s]")).alias("l"))
+    d = d.select("doc_id", F.size("l").alias("n"), F.size(F.filter("l", data)).alias("rows")).where("n >= 3 and rows >= 3 and 2 * rows >= n")
+    return d.groupBy("doc_id").agg(F.count("*").alias("tables"), F.sum("rows").cast("long").alias("rows"))
+
+
 @query("hash_keys", sql("select doc_id, sha256(concat_ws('||', lower(lang), upper(source), lower(lang), sha256(trim(text, ' ')))) as triple_hash, 'doc_' || substr(sha256(source || '/' || doc_id), 1, 16) as stable_id from documents"))
 def hash_keys(spark, sf_dir) -> DataFrame:
     """H-08, H-09."""
@@ -203,14 +241,27 @@ def question_sampling(spark, sf_dir) -> DataFrame:
     return e.select("user_id", "event_type", "event_id")
 
 
-@query("question_quality", sql(f"""select conv_id, turn, {r6('grammar')} as grammar, {r6('clarity')} as clarity, {r6('0.5::double * grammar + 0.5::double * clarity')} as overall from (select conv_id, turn, 1.0::double - 0.2::double * (not regexp_matches(text, '^[A-Z]'))::int - 0.3::double * (not ends_with(text, '?'))::int as grammar, 1.0::double - 0.4::double * (n < 4)::int - 0.3::double * (n > 40)::int - 0.2::double * (not regexp_matches(lower(text), '^(what|why|how|when|where|which|who)\\b'))::int as clarity from (select *, len(regexp_extract_all(text, '[^\\s]+')) as n from conversations where role = 'user'))"""))
-def question_quality(spark, sf_dir) -> DataFrame:
-    """L-16, L-18."""
+#: Fixed value: words of which a clear question holds one, anywhere.
+QUESTION_WORDS = "what when where who why how which is are do does".split()
+_GRAMMAR = "greatest(0.0::double, 1.0::double - 0.2::double * (not regexp_matches(text, '^\\p{Lu}'))::int - 0.3::double * (not regexp_matches(text, '\\?\\s*$'))::int - 0.3::double * (n < 3)::int - 0.1::double * (n > 50)::int)"
+_CLARITY = f"greatest(0.0::double, 1.0::double - 0.3::double * (not regexp_matches(lower(text), '{'|'.join(QUESTION_WORDS)}'))::int - 0.2::double * (n < 5)::int - 0.1::double * (n > 30)::int)"
+
+
+def grammar_and_clarity(text: str):
+    """L-16."""
     off = lambda x, w: F.when(x, w).otherwise(0.0)
-    t, n = F.col("text"), F.regexp_count("text", F.lit(r"[^\s]+"))
-    g = 1.0 - off(~t.rlike("^[A-Z]"), 0.2) - off(~t.endswith("?"), 0.3)
-    c = 1.0 - off(n < 4, 0.4) - off(n > 40, 0.3) - off(~F.lower(t).rlike(r"^(what|why|how|when|where|which|who)\b"), 0.2)
-    return views.table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", half_up(g).alias("grammar"), half_up(c).alias("clarity"), half_up(0.5 * g + 0.5 * c).alias("overall"))
+    t, n = F.col(text), F.regexp_count(text, F.lit(r"[^\s]+"))
+    g = 1.0 - off(~t.rlike(r"^\p{Lu}"), 0.2) - off(~t.rlike(r"\?\s*\z"), 0.3) - off(n < 3, 0.3) - off(n > 50, 0.1)
+    c = 1.0 - off(~F.lower(t).rlike("|".join(QUESTION_WORDS)), 0.3) - off(n < 5, 0.2) - off(n > 30, 0.1)
+    blank = n == 0
+    return F.when(blank, 0.0).otherwise(F.greatest(F.lit(0.0), g)), F.when(blank, 0.0).otherwise(F.greatest(F.lit(0.0), c))
+
+
+@query("question_quality", sql(f"select conv_id, turn, {r6('case when n = 0 then 0 else ' + _GRAMMAR + ' end')} as grammar, {r6('case when n = 0 then 0 else ' + _CLARITY + ' end')} as clarity, {r6('case when n = 0 then 0 else (' + _GRAMMAR + ' + ' + _CLARITY + ') / 2 end')} as quality from (select *, len(regexp_extract_all(text, '[^\\s]+')) as n from conversations where role = 'user')"))
+def question_quality(spark, sf_dir) -> DataFrame:
+    """L-16."""
+    g, c = grammar_and_clarity("text")
+    return views.table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", half_up(g).alias("grammar"), half_up(c).alias("clarity"), half_up((g + c) / 2).alias("quality"))
 
 
 @query("answer_bands", sql("select count(*)::bigint as n, sum((confidence >= 0.8)::int)::bigint as excellent, sum((confidence >= 0.6 and confidence < 0.8)::int)::bigint as good, sum((confidence >= 0.4 and confidence < 0.6)::int)::bigint as moderate, sum((confidence < 0.4)::int)::bigint as poor from verifier_gold", "verifier_gold"))

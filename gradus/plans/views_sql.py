@@ -18,15 +18,15 @@ VIEWS = {
       coalesce(avg(case when not is_spaced then correct::int::double end), avg(correct::int::double)) * 100.0::double as score
       from attempts group by all""",
     "predicates": "select * from (values " + ", ".join(f"({i}, '{n}', {a}, {d})" for i, (n, a, d) in enumerate(PREDICATES)) + ") as t(idx, name, asym, dag)",
-    "edges": """select src, dst, name as rel, edge_id, asym, dag from (select l_partkey % 30 as src, l_suppkey % 30 as dst, (l_orderkey // 10) % 25 as idx, min(l_orderkey) as edge_id
-      from lineitem where l_linenumber = 1 and l_orderkey % 10 = 0 and l_orderkey < 15000 group by 1, 2, 3) e join predicates p on p.idx = e.idx""",
-    "nodes": "select i::bigint as node, 'Concept ' || i as name, (i % 3)::bigint as owner from range(30) as r(i)",
+    "edges": """select doc * 20 + s as src, doc * 20 + d as dst, name as rel, born * 10000 + s * 500 + d * 25 + e.idx as edge_id, asym, dag
+      from (select l_orderkey // 16 as doc, l_partkey % 20 as s, l_suppkey % 20 as d, (l_orderkey + l_linenumber * 7) % 25 as idx, min(l_orderkey * 8 + l_linenumber) as born from lineitem group by 1, 2, 3, 4) e join predicates p on p.idx = e.idx""",
+    "nodes": "select (doc * 20 + i)::bigint as node, 'Concept ' || (doc * 20 + i) as name, (doc % 3)::bigint as owner from (select distinct l_orderkey // 16 as doc from lineitem), range(20) as r(i)",
     "verifier_gold": "select doc_id, ['a', 'b', 'c'][doc_id % 3 + 1] as verdict, ((doc_id * 37 % 101) / 100.0)::double as confidence, quality = 1 as human, ['a', 'b', 'c'][(doc_id // 3) % 3 + 1] as human_verdict from labels",
     "chunks_fixed": """select doc_id, i::int as chunk_index, trim(substr(text, (i * 850 + 1)::bigint, 1000), ' ') as text from documents, unnest(range(greatest(0, ceil((length(text) - 1000) / 850.0))::bigint + 1)) as u(i)
       where length(trim(substr(text, (i * 850 + 1)::bigint, 1000), ' ')) >= 50""",
     "doc_pages": """select doc_id, i::int as page_number, substr(text, ((i - 1) * 1800 + 1)::bigint, 1800) as text, i % 4 = 0 as ocr_applied, case when i % 4 = 0 then ((doc_id * 37 + i) % 101)::double end as ocr_confidence
       from documents, unnest(range(1, greatest(1, ceil(length(text) / 1800.0))::bigint + 1)) as u(i)""",
-    "consensus_runs": "select distinct l_orderkey % 50 as chunk, l_linenumber % 3 as run, l_partkey % 20 as item from lineitem where l_linenumber <= 3 and l_orderkey < 2000",
+    "consensus_runs": "select distinct l_orderkey // 16 as chunk, l_linenumber % 3 as run, l_partkey % 20 as item from lineitem",
     "raw_names": "select p_partkey, 0 as pos, 'The ' || p_name || ' system' as name from part union all select p_partkey, 1, p_name from part",
 }
 _NEEDS = {"sessions": ["attempts"], "edges": ["predicates"]}

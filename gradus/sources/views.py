@@ -52,16 +52,30 @@ def predicates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *p) for i, p in enumerate(PREDICATES)], "idx int, name string, asymmetric boolean, dag boolean")
 
 
+#: Orders that make up a document's graph, and concepts of a document.
+DOC_ORDERS, DOC_NODES = 16, 20
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_orderkey % 10 = 0 and l_orderkey < 15000")
-    e = li.select((F.col("l_partkey") % 30).alias("src"), (F.col("l_suppkey") % 30).alias("dst"), ((F.col("l_orderkey") / 10).cast("int") % 25).alias("idx"), "l_orderkey")
-    e = e.groupBy("src", "dst", "idx").agg(F.min("l_orderkey").alias("edge_id"))
-    return e.join(F.broadcast(predicates(spark)), "idx").select("src", "dst", F.col("name").alias("rel"), "edge_id", "asymmetric", "dag")
+    """Every order line is a relation between two concepts of its document; node ids grow with the documents."""
+    n = F.lit(DOC_NODES)
+    li = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / DOC_ORDERS).alias("doc"), (F.col("l_partkey") % n).alias("s"), (F.col("l_suppkey") % n).alias("d"), ((F.col("l_orderkey") + F.col("l_linenumber") * 7) % 25).cast("int").alias("idx"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"))
+    e = li.groupBy("doc", "s", "d", "idx").agg(F.min("at").alias("at"))
+    e = e.join(F.broadcast(predicates(spark)), "idx")  # 25 rows
+    return e.select((F.col("doc") * n + F.col("s")).alias("src"), (F.col("doc") * n + F.col("d")).alias("dst"), F.col("name").alias("rel"), (F.col("at") * 10000 + F.col("s") * 500 + F.col("d") * 25 + F.col("idx")).alias("edge_id"), "asymmetric", "dag")
+
+
+def doc_of(node):
+    """The document of a node."""
+    return F.floor(node / DOC_NODES)
 
 
-def nodes(spark: SparkSession) -> DataFrame:
-    n = spark.range(30).select(F.col("id").alias("node"))
-    return n.select("node", F.concat(F.lit("Concept "), "node").alias("name"), (F.col("node") % 3).alias("owner"))
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The concepts of every document, related or not."""
+    doc = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / DOC_ORDERS).alias("doc")).distinct()
+    n = doc.select("doc", F.explode(F.sequence(F.lit(0), F.lit(DOC_NODES - 1))).alias("i"))
+    n = n.select((F.col("doc") * DOC_NODES + F.col("i")).alias("node"), "doc")
+    return n.select("node", F.concat(F.lit("Concept "), "node").alias("name"), (F.col("doc") % 3).alias("owner"))
 
 
 def verifier_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,8 +100,8 @@ def doc_pages(spark: SparkSession, sf_dir: str, size: int = 1800) -> DataFrame:
 
 
 def consensus_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3 and l_orderkey < 2000")
-    return li.select((F.col("l_orderkey") % 50).alias("chunk"), (F.col("l_linenumber") % 3).alias("run"), (F.col("l_partkey") % 20).alias("item")).distinct()
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.floor(F.col("l_orderkey") / DOC_ORDERS).alias("chunk"), (F.col("l_linenumber") % 3).alias("run"), (F.col("l_partkey") % 20).alias("item")).distinct()
 
 
 def raw_names(spark: SparkSession, sf_dir: str) -> DataFrame:
