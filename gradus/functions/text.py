@@ -38,3 +38,14 @@ def cosine(a: str, b: str) -> Column:
     dot = F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, v) -> s + v)")
     norm = F.sqrt(F.expr(f"aggregate(transform({a}, x -> x * x), 0D, (s, v) -> s + v)")) * F.sqrt(F.expr(f"aggregate(transform({b}, x -> x * x), 0D, (s, v) -> s + v)"))
     return F.when(norm > 0, dot / norm).otherwise(F.lit(0.0))
+
+
+def character_pairs(text: Column) -> Column:
+    """H-10: the pairs of neighbouring characters of a text's lower-case letters, digits and blanks."""
+    return F.regexp_extract_all(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", ""), F.lit("(?=(..))"), F.lit(1))
+
+
+def pair_cosine(a: Column, b: Column) -> Column:
+    """Cosine of the counts of two arrays of character pairs; 0 where either has none."""
+    count = lambda x, y: F.aggregate(x, F.lit(0), lambda s, g: s + F.size(F.filter(y, lambda h: h == g))).cast("double")
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), count(a, b) / F.sqrt(count(a, a) * count(b, b))).otherwise(F.lit(0.0))

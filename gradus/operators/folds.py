@@ -3,6 +3,7 @@ higher-order function. Only the order key and the fields the fold reads are coll
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,12 +80,17 @@ def fsrs_state(attempts: DataFrame) -> DataFrame:
     return h.select("user_id", "concept_id", F.col("end.s").alias("stability"), F.col("end.d").alias("difficulty"), half_up(9 * F.col("end.s") * (1 / 0.9 - 1), 1).alias("next_review_days"))
 
 
-def mastery_fold(attempts: DataFrame) -> DataFrame:
-    """I-21, I-38, N-01: mastery and stage over a learner's sessions of a concept. A diagnostic session
-    sets the mastery to its score; others start from the decayed mastery and fold their answers."""
-    per = attempts.groupBy("user_id", "concept_id", "session_no", "mode").agg(F.max("created_at").alias("at"), F.sort_array(F.collect_list(F.struct("created_at", "attempt_id", "correct"))).alias("answers"), F.avg(F.col("correct").cast("double")).alias("mean"))
+def mastery_steps(attempts: DataFrame, use: Column | None = None) -> DataFrame:
+    """I-21, I-38, N-01: the state after each of a learner's sessions of a concept, and the decayed mastery before it. A diagnostic session
+    sets the mastery to its score; others start from the decayed mastery and fold their answers (those of `use`, where given)."""
+    answer = F.struct("created_at", "attempt_id", "correct")
+    folded = F.collect_list(answer if use is None else F.when(use, answer))
+    right = F.col("correct").cast("double")
+    mean = F.avg(right) if use is None else F.coalesce(F.avg(F.when(use, right)), F.avg(right))
+    per = attempts.groupBy("user_id", "concept_id", "session_no", "mode").agg(F.max("created_at").alias("at"), F.sort_array(folded).alias("answers"), mean.alias("mean"))
     h = history(per, ["user_id", "concept_id"], ["session_no"], ["at", "mode", "mean", "answers"])
-    start = F.struct(F.lit(0.0).alias("mastery"), F.lit("diagnostic").alias("stage"), F.lit(None).cast("long").alias("at"))
+    state = "struct<mastery:double,stage:string,at:bigint,before:double>"
+    start = F.struct(F.lit(0.0).alias("mastery"), F.lit("diagnostic").alias("stage"), F.lit(None).cast("long").alias("at"), F.lit(0.0).alias("before"))
     place = lambda s: F.array_position(F.lit([*M.STAGES]), s).cast("int") - 1  # noqa: E731  "complete" stands at -1
 
     def step(acc: Column, x: Column) -> Column:
@@ -95,9 +101,17 @@ def mastery_fold(attempts: DataFrame) -> DataFrame:
         after = F.floor(F.when(x["mode"] == "diagnostic", x["mean"] * 100.0).otherwise(p * 100.0) + 0.5).cast("double")
         passed = (x["mean"] * 100.0 >= M.PASS) & (place(x["mode"]) <= place(acc["stage"]) + 1)
         stage = F.when(passed, F.element_at(F.lit([*M.STAGES[1:], "complete"]), place(x["mode"]) + 1)).otherwise(acc["stage"])
-        return F.struct(after.alias("mastery"), stage.alias("stage"), now.alias("at"))
+        return F.struct(after.alias("mastery"), stage.alias("stage"), now.alias("at"), before.alias("before"))
 
-    h = h.withColumn("end", F.aggregate("steps", start, step))
+    def add(seen: Column, x: Column) -> Column:
+        return F.concat(seen, F.array(step(F.coalesce(F.try_element_at(seen, F.lit(-1)), start.cast(state)), x).cast(state)))
+
+    return h.select("user_id", "concept_id", "steps", F.aggregate("steps", F.array().cast(f"array<{state}>"), add).alias("states"))
+
+
+def mastery_fold(attempts: DataFrame) -> DataFrame:
+    """The state after all sessions."""
+    h = mastery_steps(attempts).withColumn("end", F.element_at("states", -1))
     return h.select("user_id", "concept_id", F.size("steps").cast("long").alias("sessions"), F.col("end.mastery").alias("mastery"), F.col("end.stage").alias("stage"), F.timestamp_micros("end.at").cast("timestamp_ntz").alias("last_updated"))
 
 
@@ -111,34 +125,65 @@ def grid() -> np.ndarray:
 
 
 def bkt_partial(attempts: DataFrame) -> DataFrame:
-    """Log-likelihood of every tuple of the grid for blocks of learners: rows (concept_id, block, n, m, ll array).
-    Learners of a concept are spread over blocks, so a concept with very many is no single task."""
+    """Log-likelihood of every tuple of the grid for blocks of learners: rows (concept_id, students, attempts, ll array).
+    Equal answer sequences are one row with a count; they are dealt over all tasks, so a concept with very many is no single task.
+    A task folds its sequences side by side, in blocks of 32: a matrix of sequences and tuples, one position at a time."""
     h = history(attempts, ["user_id", "concept_id"], ["created_at", "attempt_id"], ["correct"]).where(F.size("steps") >= 2)
-    h = h.select("user_id", "concept_id", F.transform("steps", lambda s: s["correct"].cast("int")).alias("y"))
+    h = h.groupBy("concept_id", F.transform("steps", lambda s: s["correct"]).alias("y")).agg(F.count("*").alias("n"))
+    h = h.repartition(int(attempts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     tuples = grid()
 
+    def block(ys: list, n: np.ndarray) -> np.ndarray:
+        l0, t, s, g = tuples.T.astype(np.float64)
+        order = np.argsort([-len(y) for y in ys], kind="stable")
+        long = np.array([len(ys[i]) for i in order])
+        p, seen, ll = np.tile(l0, (len(ys), 1)), np.ones((len(ys), len(tuples))), np.zeros(len(tuples))
+        weight = n[order].astype(float)
+        for k in range(long[0]):
+            m = int((long > k).sum())  # the sequences that go on
+            right = np.array([bool(ys[i][k]) for i in order[:m]])[:, None]
+            q = p[:m]
+            at = q * np.where(right, 1 - s, s)
+            chance = at + (1 - q) * np.where(right, g, 1 - g)
+            seen[:m] *= np.maximum(chance, 1e-10)
+            q = at / chance
+            p[:m] = q + (1 - q) * t
+            if k % 16 == 15:  # long before products get too small
+                ll += weight[:m] @ np.log(seen[:m])
+                seen[:m] = 1
+        return ll + weight @ np.log(seen)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        l0, t, s, g = tuples.T
         sums: dict[int, list] = {}
         for batch in batches:
-            for concept, y in zip(batch["concept_id"], batch["y"], strict=True):
-                p, ll = l0.copy(), np.zeros(len(tuples))
-                for right in y:
-                    seen = p * (1 - s) + (1 - p) * g
-                    if right:
-                        ll += np.log(np.maximum(seen, 1e-10))
-                        post = p * (1 - s) / seen
-                    else:
-                        ll += np.log(np.maximum(1 - seen, 1e-10))
-                        post = p * s / (1 - seen)
-                    p = np.clip(post + (1 - post) * t, 0, 1)
+            for concept, rows in batch.groupby("concept_id"):
                 own = sums.setdefault(concept, [0, 0, np.zeros(len(tuples))])
-                own[0] += 1
-                own[1] += len(y)
-                own[2] += ll
+                ys, n = rows["y"].tolist(), rows["n"].to_numpy()
+                own[0] += int(n.sum())
+                own[1] += int(sum(len(y) * c for y, c in zip(ys, n, strict=True)))
+                for i in range(0, len(ys), 32):
+                    own[2] += block(ys[i : i + 32], n[i : i + 32])
         yield pd.DataFrame([(c, n, m, ll.tolist()) for c, (n, m, ll) in sums.items()], columns=["concept_id", "students", "attempts", "ll"])
 
-    return h.select("concept_id", "y").mapInPandas(run, "concept_id int, students long, attempts long, ll array<double>")
+    return h.select("concept_id", "y", "n").mapInPandas(run, "concept_id int, students long, attempts long, ll array<double>")
+
+
+# Readings of fitted parameters, each up to its bound, and what holds beyond.
+READINGS = {
+    "prior_knowledge": [(0.15, "Very low — students are starting fresh"), (0.35, "Low to moderate — some prior exposure likely"), (None, "High — students have significant prior knowledge")],
+    "learning_rate": [(0.08, "Slow — concept requires many exposures"), (0.18, "Moderate — typical factual learning rate"), (None, "Fast — concept is easily acquired per attempt")],
+    "slip_rate": [(0.05, "Very low — students who know it almost never slip"), (0.15, "Normal — occasional careless errors"), (None, "High — consider reviewing question clarity")],
+    "guess_rate": [(0.15, "Below MCQ floor — verify question difficulty"), (0.30, "Normal for 4-option MCQ"), (None, "High — distractors may be too easy to eliminate")],
+    "identifiability": [(0.5, "Good — parameters are identifiable"), (None, "Warning — p_s + p_g is high, model may be poorly identified")],
+}
+
+
+def reading(name: str, value: Column) -> Column:
+    """I-06."""
+    out = F.when(F.lit(False), F.lit(""))
+    for bound, label in READINGS[name]:
+        out = out.when(value < bound, F.lit(label)) if bound is not None else out.otherwise(F.lit(label))
+    return out
 
 
 def bkt_fit(attempts: DataFrame, least_attempts: int = 30, least_students: int = 3) -> DataFrame:
@@ -148,7 +193,9 @@ def bkt_fit(attempts: DataFrame, least_attempts: int = 30, least_students: int =
     size = parts.groupBy("concept_id").agg(F.sum("students").alias("students"), F.sum("attempts").alias("attempts"))
     ll = parts.select("concept_id", F.posexplode("ll").alias("i", "v")).groupBy("concept_id", "i").agg(F.sum("v").alias("ll"))
     best = ll.groupBy("concept_id").agg(F.max_by(F.struct("i", "ll"), F.struct(half_up(F.col("ll"), 9), -F.col("i"))).alias("b"))
-    names = F.lit([[float(v) for v in row] for row in grid()])
-    at = F.element_at(names, F.col("b.i") + 1)
-    label = F.when(at[1] >= 0.25, "fast learning").when(at[1] >= 0.15, "steady learning").when(at[2] >= 0.2, "many slips").when(at[3] >= 0.25, "much guessing").otherwise("slow learning")
-    return best.join(size, "concept_id").where((F.col("students") >= least_students) & (F.col("attempts") >= least_attempts)).select("concept_id", *[at[i].alias(n) for i, n in enumerate(("p_l0", "p_t", "p_s", "p_g"))], half_up(F.col("b.ll"), 3).alias("log_likelihood"), "students", "attempts", label.alias("reading"))
+    at, span = [], math.prod(n for _, n in GRID.values())
+    for low, n in GRID.values():  # a tuple's values by its place in the grid
+        span //= n
+        at.append(half_up(low + 0.05 * (F.floor(F.col("b.i") / span) % n), 2))
+    read = dict(zip(READINGS, (at[0], at[1], at[2], at[3], at[2] + at[3]), strict=True))
+    return best.join(size, "concept_id").where((F.col("students") >= least_students) & (F.col("attempts") >= least_attempts)).select("concept_id", *[at[i].alias(n) for i, n in enumerate(("p_l0", "p_t", "p_s", "p_g"))], half_up(F.col("b.ll"), 3).alias("log_likelihood"), "students", "attempts", *[reading(k, v).alias(k) for k, v in read.items()])

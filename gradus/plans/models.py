@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formulas as M
 from ..functions.formulas import half_up
-from ..operators import folds
+from ..operators import folds, metrics
 from ..sources import views
 from .views_sql import r6, sql
 
@@ -160,16 +160,68 @@ def sai(spark, sf_dir) -> DataFrame:
 
 @query("bkt_fit")
 def bkt_fit(spark, sf_dir) -> DataFrame:
-    """I-05, C-14. The full grid is compared with a plain search in the tests; the reduced grid below with SQL."""
+    """I-05, C-14. I-06; compared with a plain search of the grid in the tests."""
     return folds.bkt_fit(views.attempts(spark, sf_dir))
 
 
-@query("question_plan", sql("""select session_id, least(greatest(2 * ceil(sqrt(total))::int, case mode when 'diagnostic' then 5 else 5 end), case mode when 'diagnostic' then 5 when 'practice' then 7 else 8 end)::int as questions from (select session_id, any_value(mode) as mode, count(*) as total from attempts group by 1)""", "attempts"))
+# Least and greatest number of questions of a mode.
+QUESTION_LIMITS = {"diagnostic": (5, 5), "practice": (5, 7), "mastery": (5, 8)}
+_U = "('0x' || substr(md5(session_id || '|' || i || '|{k}'), 1, 8))::bigint / 4294967296.0::double"
+
+
+@query("question_plan", sql(f"""select session_id, i::int as i, ['recall', 'conceptual', 'application', 'reasoning', 'analytical'][i % 5 + 1] as type, (case when mode = 'diagnostic' then case when i < n / 3.0::double then 1 when i < n * 2 / 3.0::double then 2 else 3 end else case when d = 1 and mode = 'mastery' and {_U.format(k=1)} > 0.4 then 2 else d end end)::int as difficulty from
+  (select *, case when u < e / (e + m + h) then 1 when u < (e + m) / (e + m + h) then 2 else 3 end as d from (select *, {_U.format(k=0)} as u, greatest(0.0::double, 0.7::double - 0.006::double * s) as e, 0.3::double + 0.002::double * s as m, greatest(0.0::double, 1.0::double - greatest(0.0::double, 0.7::double - 0.006::double * s) - (0.3::double + 0.002::double * s)) as h from
+  (select session_id, mode, s, n, unnest(range(n)) as i from (select session_id, mode, 100.0::double * avg(correct::int::double) as s, greatest(5, least(2 * count(distinct cognitive_level), case mode when 'diagnostic' then 5 when 'practice' then 7 else 8 end)) as n from attempts group by 1, 2))))""", "attempts"))
 def question_plan(spark, sf_dir) -> DataFrame:
-    """I-44: number of questions for the concepts at hand, within the limits of the mode."""
-    most = M.case_map(F.col("mode"), {"diagnostic": 5, "practice": 7}, 8)
-    s = views.attempts(spark, sf_dir).groupBy("session_id", "mode").agg(F.count("*").alias("total"))
-    return s.select("session_id", F.least(F.greatest(2 * F.ceil(F.sqrt("total")).cast("int"), F.lit(5)), most).alias("questions"))
+    """I-44, F-09: twice as many questions as the context, a JSON array, has concepts (here the session's cognitive levels), within the limits of the mode; types in turn;
+    diagnostic difficulties in thirds, others drawn from the distribution at the learner's mastery with a seeded uniform number."""
+    s = views.attempts(spark, sf_dir).groupBy("session_id", "mode").agg((100.0 * F.avg(F.col("correct").cast("double"))).alias("s"), F.to_json(F.collect_set("cognitive_level")).alias("context"))
+    concepts = F.greatest(F.lit(1), F.coalesce(F.size(F.from_json("context", "array<string>")), F.lit(1)))
+    low, high = (M.case_map(F.col("mode"), {m: v[i] for m, v in QUESTION_LIMITS.items()}, (5, 10)[i]) for i in (0, 1))
+    s = s.withColumn("n", F.greatest(low, F.least(2 * concepts, high)))
+    s = s.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    u = lambda k: F.conv(F.substr(F.md5(F.concat_ws("|", "session_id", "i", F.lit(k))), F.lit(1), F.lit(8)), 16, 10).cast("double") / 4294967296.0
+    easy, medium, _ = M.difficulty_shares(F.col("s"))
+    drawn = F.when(u(0) < easy, 1).when(u(0) < easy + medium, 2).otherwise(3)
+    drawn = F.when((F.col("mode") == "mastery") & (drawn == 1) & (u(1) > 0.4), 2).otherwise(drawn)
+    thirds = F.when(F.col("i") < F.col("n") / 3, 1).when(F.col("i") < F.col("n") * 2 / 3, 2).otherwise(3)
+    return s.select("session_id", "i", F.element_at(F.lit(M.TYPES), F.col("i") % 5 + 1).alias("type"), F.when(F.col("mode") == "diagnostic", thirds).otherwise(drawn).alias("difficulty"))
+
+
+@query("session_evaluation")
+def session_evaluation(spark, sf_dir) -> DataFrame:
+    """I-39, I-47: every session evaluated as it is submitted. Spaced rows are left out (unless there are no others); the score decides passing and the
+    recommended path; mastery before (decayed) and after, and the next stage, come from the fold over the learner's sessions; the gain is against the first diagnostic
+    score (none yet: 0); metrics are those of the session. Compared with a plain fold in the tests."""
+    a = views.attempts(spark, sf_dir)
+    h = folds.mastery_steps(a, ~F.col("is_spaced")).select("user_id", "concept_id", F.explode(F.arrays_zip("steps", "states")).alias("z"))
+    h = h.select("user_id", "concept_id", F.col("z.steps.session_no").alias("session_no"), F.col("z.steps.mode").alias("mode"), F.col("z.steps.at").alias("created_at"), (F.col("z.steps.mean") * 100.0).alias("score"), F.col("z.states.before").alias("pre_mastery"), F.col("z.states.mastery").alias("post_mastery"), F.col("z.states.stage").alias("next_stage"))
+    w = Window.partitionBy("user_id", "concept_id").orderBy("session_no").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.coalesce(F.first(F.when(F.col("mode") == "diagnostic", F.col("score")), ignorenulls=True).over(w), F.first("score").over(w))
+    h = h.withColumn("baseline", base).withColumn("nlg", M.learning_gain(F.coalesce("baseline", "post_mastery"), F.col("post_mastery")))
+    h = h.withColumn("session_id", F.concat_ws("-", "user_id", "concept_id", "session_no"))
+    m = metrics.session_metrics(a).select("session_id", "fas", "wbs", "ccms", "mss", "lip", "rci_avg", "calibration_error", "brier_score", "ece", "log_loss")
+    passed = F.col("score") >= M.PASS
+    return h.join(m, "session_id").select(*m.columns, "mode", F.floor(F.col("score") + 0.5).alias("score"), passed.alias("passed"), F.when(passed, "test_it").otherwise("learn_it").alias("path"), "pre_mastery", "post_mastery", "next_stage", half_up(F.col("nlg"), 4).alias("nlg"))
+
+
+@query("spaced_update", sql(f"""select session_id, target, n::bigint as n, {r6('p')} as p_known, floor(p * 100 + 0.5::double)::bigint as mastery from (select session_id, target, max(k) as n, max_by(p, k) as p from s group by 1, 2)""", "attempts", more=f"""o as (select *, (concept_id + 1) % 5 as target, row_number() over (partition by session_id order by created_at, attempt_id) as k from attempts where is_spaced),
+s as (select session_id, target, k, {_bkt('0.5::double', 'correct')} as p from o where k = 1 union all select o.session_id, o.target, o.k, {_bkt('s.p', 'o.correct')} from s join o on o.session_id = s.session_id and o.k = s.k + 1)"""))
+def spaced_update(spark, sf_dir) -> DataFrame:
+    """I-40, I-03: spaced answers strengthen or weaken an older concept (here the next one, known at 50 %), whatever the session's mode."""
+    a = views.attempts(spark, sf_dir).where("is_spaced").withColumn("target", (F.col("concept_id") + 1) % 5)
+    h = folds.history(a, ["session_id", "target"], ["created_at", "attempt_id"], ["correct"])
+    p = F.aggregate("steps", F.lit(0.5), lambda q, x: M.bkt_step(q, x["correct"]))
+    return h.select("session_id", "target", F.size("steps").cast("long").alias("n"), half_up(p).alias("p_known"), F.floor(p * 100 + 0.5).alias("mastery"))
+
+
+@query("attempt_defaults", sql("select question_type, cognitive_level::int as cognitive_level, difficulty::int as difficulty, count(*)::bigint as n, sum(time_taken)::bigint as seconds, sum(confidence) as confidence from (select coalesce(case when attempt_id % 5 <> 0 then question_type end, 'recall') as question_type, coalesce(case when attempt_id % 7 <> 0 then cognitive_level end, 1) as cognitive_level, coalesce(case when attempt_id % 3 <> 0 then difficulty end, 1) as difficulty, coalesce(case when attempt_id % 2 <> 0 then time_taken end, 0) as time_taken, coalesce(case when attempt_id % 4 <> 0 then confidence end, 0.5::double) as confidence from attempts) group by 1, 2, 3".replace("sum(confidence) as", r6("sum(confidence)", 4) + " as"), "attempts"))
+def attempt_defaults(spark, sf_dir) -> DataFrame:
+    """B-06: what stands for missing values; here some of each column are missing."""
+    gone = lambda c, k: F.when(F.col("attempt_id") % k != 0, F.col(c))
+    a = views.attempts(spark, sf_dir)
+    a = a.select(F.coalesce(gone("question_type", 5), F.lit("recall")).alias("question_type"), F.coalesce(gone("cognitive_level", 7), F.lit(1)).alias("cognitive_level"), F.coalesce(gone("difficulty", 3), F.lit(1)).alias("difficulty"), F.coalesce(gone("time_taken", 2), F.lit(0)).alias("t"), F.coalesce(gone("confidence", 4), F.lit(0.5)).alias("c"))
+    return a.groupBy("question_type", "cognitive_level", "difficulty").agg(F.count("*").alias("n"), F.sum("t").alias("seconds"), half_up(F.sum("c"), 4).alias("confidence"))
 
 
 @query("spaced_candidates", sql(f"""select user_id, concept_id, peer, urgency from (select a.user_id, a.concept_id, b.concept_id as peer, {r6('b.urgency')} as urgency, row_number() over (partition by a.user_id, a.concept_id order by {r6('b.urgency')} desc, b.concept_id) as r from due a join due b on a.user_id = b.user_id and a.concept_id % 2 = b.concept_id % 2 and a.concept_id <> b.concept_id where b.now_mastery < 70) where r <= 2""", "attempts", more=_MASTERY + ",\n" + _DECAY))

@@ -83,40 +83,6 @@ def near_duplicate_chunks(spark, sf_dir) -> DataFrame:
     return j.select("a", "b", jac.alias("j")).where("j >= 0.85").select("a", "b", half_up(F.col("j")).alias("jaccard"))
 
 
-_DOMAINS = [("Physics", ["force", "energy", "motion"]), ("Mathematics", ["number", "algebra", "equation"]), ("Biology", ["cell", "organ", "plant"]), ("Chemistry", ["acid", "metal", "atom"]), ("Computer Science", ["data", "code", "network"]), ("Geography", ["river", "climate", "region"])]
-
-
-@query("domain_anchor", sql("""select p_partkey, coalesce(domain, 'General Knowledge') as domain from part left join (select p_partkey, domain, row_number() over (partition by p_partkey order by hits desc, i) as r from (select p_partkey, domain, any_value(i) as i, count(*) as hits from part, kw where contains(lower(p_name), word) group by 1, 2)) d using (p_partkey) where coalesce(r, 1) = 1""", more="kw as (select * from (values " + ", ".join(f"({i}, '{d}', '{w}')" for i, (d, ws) in enumerate(_DOMAINS) for w in ws) + ") as t(i, domain, word))"))
-def domain_anchor(spark, sf_dir) -> DataFrame:
-    """H-21, J-12: the domain with most keyword hits, the first listed of equals. The keyword table is fixed and small, so the
-    hits are counted as columns."""
-    low = F.lower("p_name")
-    hits = [sum((F.when(low.contains(w), 1).otherwise(0) for w in ws), F.lit(0)) for _, ws in _DOMAINS]
-    best = F.array_max(F.array(*[F.struct(h.alias("h"), F.lit(-i).alias("i"), F.lit(d).alias("d")) for i, ((d, _), h) in enumerate(zip(_DOMAINS, hits, strict=True))]))
-    return views.table(spark, sf_dir, "part").select("p_partkey", F.when(best["h"] > 0, best["d"]).otherwise("General Knowledge").alias("domain"))
-
-
-@query("triple_scores", sql(f"""select src, dst, rel, {r6('0.34::double * sc + 0.22::double * oc + 0.24::double * support + 0.20::double * asym::int', 4)} as score from (select e.*, a.m::double / t.top as sc, b.m::double / t.top as oc, least(1.0::double, count(*) over (partition by e.src, e.dst) / 3.0::double) as support from edges e join mentions a on a.node = e.src join mentions b on b.node = e.dst, (select max(m) as top from mentions) t)""", "edges", more="mentions as (select node, count(*) as m from (select src as node from edges union all select dst from edges) group by 1)"))
-def triple_scores(spark, sf_dir) -> DataFrame:
-    """J-15: value of a triple by the centrality of its ends, its support and the weight of its relation."""
-    e = views.edges(spark, sf_dir)
-    m = e.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("m"))
-    top = m.agg(F.max("m").alias("top"))
-    support = F.least(F.lit(1.0), F.count("*").over(Window.partitionBy("src", "dst")) / 3.0)
-    j = e.withColumn("support", support).join(m.select(F.col("node").alias("src"), F.col("m").alias("ms")), "src").join(m.select(F.col("node").alias("dst"), F.col("m").alias("md")), "dst").crossJoin(F.broadcast(top))  # one row
-    return j.select("src", "dst", "rel", half_up(0.34 * F.col("ms") / F.col("top") + 0.22 * F.col("md") / F.col("top") + 0.24 * F.col("support") + 0.20 * F.col("asymmetric").cast("int"), 4).alias("score"))
-
-
-_SCORES = "mentions as (select node, count(*) as m from (select src as node from edges union all select dst from edges) group by 1), scored as (" + SQL["triple_scores"][SQL["triple_scores"].index("select src, dst, rel, (floor") :] + ")"
-
-
-@query("best_triples", sql("select src, dst, rel, score from (select *, row_number() over (partition by src order by score desc, dst, rel) as r from scored) where r = 1", "edges", more=_SCORES))
-def best_triples(spark, sf_dir) -> DataFrame:
-    """E-11, J-16: the best triple of each subject."""
-    best = F.min_by(F.struct("dst", "rel", "score"), F.struct(-F.col("score"), "dst", "rel"))
-    return triple_scores(spark, sf_dir).groupBy("src").agg(best.alias("b")).select("src", "b.dst", "b.rel", "b.score")
-
-
 @query("question_lookup", sql("select event_id, user_id, event_type from events where user_id = 17 and event_type <> 'error' and event_type in (select distinct event_type from events where value > 100) and props is not null order by ts desc, event_id limit 20"))
 def question_lookup(spark, sf_dir) -> DataFrame:
     """A-01, A-14, A-18, B-01 to B-05, F-01: equality, inequality, not null and IN filters, then the newest rows."""
@@ -139,14 +105,6 @@ def triple_validity(spark, sf_dir) -> DataFrame:
     return views.table(spark, sf_dir, "documents").select("doc_id", ok.alias("valid"), F.upper(F.regexp_replace(F.btrim("source"), "[^a-zA-Z0-9_]+", "_")).alias("relation"))
 
 
-@query("direction_check", sql("select g.doc_id, g.kept, coalesce(h.kept and h.verdict = 'a' and h.confidence >= 0.9, false) as reversed_holds from (select *, verdict = 'a' and confidence >= 0.9 as kept from verifier_gold) g left join (select *, verdict = 'a' and confidence >= 0.9 as kept from verifier_gold) h on h.doc_id = g.doc_id + 3 where g.kept", "verifier_gold"))
-def direction_check(spark, sf_dir) -> DataFrame:
-    """L-21: strong verdicts and whether the reversed triple (here three ids on) holds as strongly."""
-    g = views.verifier_gold(spark, sf_dir).withColumn("kept", (F.col("verdict") == "a") & (F.col("confidence") >= 0.9))
-    back = g.where("kept").select((F.col("doc_id") - 3).alias("doc_id"), F.lit(True).alias("r"))
-    return g.where("kept").join(back, "doc_id", "left").select("doc_id", "kept", F.coalesce("r", F.lit(False)).alias("reversed_holds"))
-
-
 @query("entity_coverage", sql(f"""select lang, candidates::bigint as candidates, matched::bigint as matched, {r6('matched::double / candidates')} as coverage, matched::double / candidates >= 0.6 as passed from (select lang, count(*) as candidates, sum(hit) as matched from (select lang, e, max((e in (select word from known))::int) as hit from (select distinct lang, e from (select lang, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) as e from documents)) group by 1, 2) group by 1)""", more="known as (select lower(w) as lw, w as word from (select distinct unnest(regexp_extract_all(text, '[A-Z][a-z]+')) as w from benchmark))"))
 def entity_coverage(spark, sf_dir) -> DataFrame:
     """L-12, K-17, C-11: capitalised candidates of each language that the concept index (here the benchmark's words) has; the equality part."""
@@ -200,14 +158,6 @@ def component_scores(spark, sf_dir) -> DataFrame:
     return views.attempts(spark, sf_dir).groupBy("session_id").agg(half_up(F.avg(F.col("cognitive_level") / 2.5)).alias("depth"), half_up(F.avg(F.col("difficulty") / 3.0)).alias("difficulty"), half_up(F.avg(F.least(F.lit(1.0), expected / F.col("time_taken")))).alias("speed"), half_up(F.avg(1 - F.abs(y - F.col("confidence")))).alias("calibration"), half_up(spaced).alias("spaced"))
 
 
-@query("orphan_links", sql("select o.node as orphan, c.node as target from (select node from nodes where node % 10 = 0) o join (select node, row_number() over (order by node) as r from nodes where node % 10 <> 0) c on r <= 3", "nodes"))
-def orphan_links(spark, sf_dir) -> DataFrame:
-    """J-11: candidate links of isolated nodes (here every tenth) to three connected ones; both sides are limited to fifty."""
-    o = views.nodes(spark, sf_dir).where("node % 10 = 0").select(F.col("node").alias("orphan")).limit(50)
-    c = views.nodes(spark, sf_dir).where("node % 10 <> 0").orderBy("node").limit(3).select(F.col("node").alias("target"))
-    return o.join(F.broadcast(c), F.lit(True))  # three rows
-
-
 @query("resolved_edges", sql("select distinct a.node as src, b.node as dst, rel from edges e join nodes a on lower(a.name) = lower('CONCEPT ' || e.src) join nodes b on lower(b.name) = lower('concept ' || e.dst) where a.node <> b.node", "edges", "nodes"))
 def resolved_edges(spark, sf_dir) -> DataFrame:
     """B-07, C-07, J-17: endpoints resolved by name, case aside."""
