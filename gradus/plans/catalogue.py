@@ -1,7 +1,7 @@
 """Registered queries and the SQL that each is compared with."""
 
-from . import graphs, learner, models, more, streams, texts, triples
+from . import graphs, intake, learner, models, more, streams, texts, triples
 
-_PARTS = (learner, models, graphs, texts, triples, more, streams)
+_PARTS = (learner, models, graphs, texts, triples, intake, more, streams)
 QUERIES: dict = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 ORACLE_SQL: dict = {k: s for part in _PARTS for k, s in part.SQL.items()}

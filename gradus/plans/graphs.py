@@ -30,7 +30,7 @@ _HOPS = """hops as (select a as start, b as node, 1 as dist from {t} where a <>
 
 @query("khop", sql("select start, node, min(dist)::int as dist from (select distinct * from hops) group by 1, 2", "edges", more=_PAIRS + ",\n" + _HOPS.format(t="pairs", d=3).replace("union all select h.", "union select h.")))
 def khop(spark, sf_dir) -> DataFrame:
-    """J-01 for every node; J-03 is its list of distances."""
+    """J-01 for every node."""
     return graph.k_hop(graph.undirected(views.edges(spark, sf_dir)), 3)
 
 

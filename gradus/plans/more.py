@@ -29,7 +29,7 @@ def query(name: str, statement: str | None = None):
 
 @query("chunk_a")
 def chunk_a(spark, sf_dir) -> DataFrame:
-    """K-01; compared with its properties in the tests."""
+    """K-01; compared with hand-made texts in the tests."""
     return chunking.chunk(views.table(spark, sf_dir, "documents"), chunking.natural_chunks)
 
 
@@ -52,35 +52,42 @@ def pseudo_embeddings(spark, sf_dir) -> DataFrame:
     return views.nodes(spark, sf_dir).select("node", chunking.embed("name").alias("v"))
 
 
-@query("repetition_cleaning", sql(r"select doc_id, length(regexp_replace(text, '([^\s,]+)(, \1)+', '\1', 'g'))::int as cleaned_chars from (select doc_id, '' as text from documents)"))
+@query("repetition_cleaning")
 def repetition_cleaning(spark, sf_dir) -> DataFrame:
-    """K-07: repeated words and runs of one character are shortened; back-references have no SQL counterpart, see the tests."""
+    """K-07: repeated words and runs of one character are shortened; back-references have no SQL counterpart, compared with Python in the tests."""
     x = F.regexp_replace("text", r"(\b[^\s,]+)(, \1\b)+", "$1")
     x = F.regexp_replace(F.regexp_replace(x, r"(\b\S+)( \1\b)+", "$1"), r"(.)\1{3,}", "$1")
     return views.table(spark, sf_dir, "documents").select("doc_id", F.length(x).alias("cleaned_chars"))
 
 
-del SQL["repetition_cleaning"]
+_SETS = """grams as (select distinct doc_id, chunk_index, array_to_string(w[i:i + 4], ' ') as g from (select doc_id, chunk_index, regexp_extract_all(lower(text), '[a-z0-9]+') as w from chunks_fixed), unnest(range(1, len(w) - 3)) as u(i)),
+sets as (select doc_id, chunk_index, md5(string_agg(g, '|' order by g)) as k, count(*) as n from grams group by 1, 2), reps as (select k, any_value(n) as n, min_by(doc_id, (doc_id, chunk_index)) as rd, min_by(chunk_index, (doc_id, chunk_index)) as rc from sets group by 1),
+own as (select r.rd, r.rc, r.n, g.g from reps r join grams g on g.doc_id = r.rd and g.chunk_index = r.rc)"""
 
 
-@query("near_duplicate_chunks", sql(f"""select a, b, {r6('common::double / (na + nb - common)')} as jaccard from (select x.id as a, y.id as b, count(*) as common, any_value(x.n) as na, any_value(y.n) as nb from sets x join sets y on x.g = y.g and x.id < y.id group by 1, 2) where common::double / (na + nb - common) >= 0.85::double""", "chunks_fixed", more="""grams as (select distinct doc_id * 1000 + chunk_index as id, array_to_string(w[i:i + 4], ' ') as g from (select doc_id, chunk_index, regexp_extract_all(lower(text), '[a-z0-9]+') as w from chunks_fixed), unnest(range(1, len(w) - 3)) as u(i)), sets as (select *, count(*) over (partition by id) as n from grams)"""))
+@query("near_duplicate_chunks", sql(f"""select 'copy' as kind, s.doc_id as doc_a, s.chunk_index as chunk_a, rd as doc_b, rc as chunk_b, 1.0::double as jaccard from sets s join reps r using (k) where (s.doc_id, s.chunk_index) <> (rd, rc)
+  union all select 'pair', ad, ac, bd, bc, {r6('common::double / (na + nb - common)')} from (select x.rd as ad, x.rc as ac, y.rd as bd, y.rc as bc, count(*) as common, any_value(x.n) as na, any_value(y.n) as nb from own x join own y on x.g = y.g and (x.rd, x.rc) < (y.rd, y.rc) group by 1, 2, 3, 4) where common::double / (na + nb - common) >= 0.85::double""", "chunks_fixed", more=_SETS))
 def near_duplicate_chunks(spark, sf_dir) -> DataFrame:
-    """C-12: pairs of chunks with Jaccard >= 0.85 of their 5-word shingles. A pair at that level must share one of
-    the rarest 15 % of the smaller set, so only those shingles are joined. Chunks from the thousandth of a document on get
-    negative ids, as doc_id * 1000 + chunk_index (that of the SQL) is a chunk of the next document there."""
-    d, i = F.col("doc_id"), F.col("chunk_index")
+    """C-12: chunks with the same 5-word shingles as copies of their first, and pairs of such firsts with Jaccard >= 0.85. A pair at that
+    level must share one of the rarest 15 % of the smaller set, so only those shingles are joined."""
     c = views.chunks_fixed(spark, sf_dir)
     w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    c = c.select(F.when(i < 1000, d * 1000 + i).otherwise(-(d * 2**22 + i)).alias("id"), w.alias("w")).where("size(w) >= 5")
-    c = c.select("id", F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " ")))).alias("s"))
-    g = c.select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
+    c = c.select(F.struct("doc_id", "chunk_index").alias("id"), w.alias("w")).where("size(w) >= 5")
+    c = c.select("id", F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " "))))).alias("s"))
+    key = F.md5(F.array_join(F.transform("s", lambda x: x.cast("string")), "|"))
+    keyed = c.withColumn("k", key)
+    reps = keyed.groupBy("k").agg(F.min("id").alias("rep"))
+    copies = keyed.select("id", "k").join(reps, "k").where("id <> rep").select(F.lit("copy").alias("kind"), F.col("id").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard"))
+    own = keyed.join(reps, "k").where("id = rep").select("id", "s")
+    g = own.select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
     df = g.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
     rare = g.join(df, "g").withColumn("r", rank).where("r <= n - ceil(0.85 * n) + 1").select("id", "g")
     pair = rare.select(F.col("id").alias("a"), "g").join(rare.select(F.col("id").alias("b"), "g"), "g").where("a < b").select("a", "b").distinct()
-    j = pair.join(c.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(c.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    j = pair.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
     jac = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
-    return j.select("a", "b", jac.alias("j")).where("j >= 0.85").select("a", "b", half_up(F.col("j")).alias("jaccard"))
+    pairs = j.select(F.lit("pair").alias("kind"), "a", "b", jac.alias("j")).where("j >= 0.85").withColumn("jaccard", half_up(F.col("j"))).drop("j")
+    return copies.unionByName(pairs).select("kind", F.col("a.doc_id").alias("doc_a"), F.col("a.chunk_index").alias("chunk_a"), F.col("b.doc_id").alias("doc_b"), F.col("b.chunk_index").alias("chunk_b"), "jaccard")
 
 
 @query("question_lookup", sql("select event_id, user_id, event_type from events where user_id = 17 and event_type <> 'error' and event_type in (select distinct event_type from events where value > 100) and props is not null order by ts desc, event_id limit 20"))
@@ -93,28 +100,18 @@ def question_lookup(spark, sf_dir) -> DataFrame:
 
 @query("upload_checks", sql(r"""select doc_id, concat_ws(',', case when length(text) = 0 then 'empty' end, case when n < 500 then 'short' end) as warnings, n::bigint as words from (select doc_id, text, len(regexp_extract_all(text, '[^\s]+')) as n from documents)"""))
 def upload_checks(spark, sf_dir) -> DataFrame:
-    """A-03, A-04, A-17, H-13."""
+    """A-03, H-13."""
     n = F.regexp_count("text", F.lit(r"[^\s]+"))
     return views.table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(",", F.when(F.length("text") == 0, "empty"), F.when(n < 500, "short")).alias("warnings"), n.cast("long").alias("words"))
 
 
 @query("triple_validity", sql("select doc_id, length(lang) > 0 and lower(lang) <> lower(source) and length(lang) <= 120 and length(source) <= 120 as valid, upper(regexp_replace(trim(source, ' '), '[^a-zA-Z0-9_]+', '_', 'g')) as relation from documents"))
 def triple_validity(spark, sf_dir) -> DataFrame:
-    """B-11, B-13, H-04."""
+    """B-11, H-04."""
     ok = (F.length("lang") > 0) & (F.lower("lang") != F.lower("source")) & (F.length("lang") <= 120) & (F.length("source") <= 120)
     return views.table(spark, sf_dir, "documents").select("doc_id", ok.alias("valid"), F.upper(F.regexp_replace(F.btrim("source"), "[^a-zA-Z0-9_]+", "_")).alias("relation"))
 
 
-@query("entity_coverage", sql(f"""select lang, candidates::bigint as candidates, matched::bigint as matched, {r6('matched::double / candidates')} as coverage, matched::double / candidates >= 0.6 as passed from (select lang, count(*) as candidates, sum(hit) as matched from (select lang, e, max((e in (select word from known))::int) as hit from (select distinct lang, e from (select lang, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) as e from documents)) group by 1, 2) group by 1)""", more="known as (select lower(w) as lw, w as word from (select distinct unnest(regexp_extract_all(text, '[A-Z][a-z]+')) as w from benchmark))"))
-def entity_coverage(spark, sf_dir) -> DataFrame:
-    """L-12, K-17, C-11: capitalised candidates of each language that the concept index (here the benchmark's words) has; the equality part."""
-    word = F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("e")
-    c = views.table(spark, sf_dir, "documents").select("lang", word).distinct()
-    known = views.table(spark, sf_dir, "benchmark").select(word).distinct().withColumn("hit", F.lit(1))
-    g = c.join(known, "e", "left").groupBy("lang").agg(F.count("*").alias("candidates"), F.count("hit").alias("matched"))
-    return g.select("lang", "candidates", "matched", half_up(F.col("matched") / F.col("candidates")).alias("coverage"), (F.col("matched") / F.col("candidates") >= 0.6).alias("passed"))
-
-
 @query("five_check_quality", sql(f"""select doc_id, {r6('score')} as score, score >= 0.7 as passed, case when y < 0.5 then 'yield' when loss > 0.5 then 'page_loss' when d < 0.3 then 'density' when gib > 0.3 then 'gibberish' else '' end as reason from (select *, 0.15::double * y + 0.20::double * (1 - loss) + 0.25::double * d + 0.25::double * (1 - least(1.0::double, gib)) + 0.15::double * wr as score from
   (select doc_id, least(1.0::double, sum(length(text)) / 500.0::double) as y, avg((length(text) < 50)::int::double) as loss, least(1.0::double, avg(length(text)) / 1200.0::double) as d, 4 * sum(length(regexp_replace(text, '[^#*$%&<>|~^]', '', 'g')))::double / nullif(sum(length(text)), 0) as gib, least(1.0::double, sum(len(regexp_extract_all(text, '[^\\s]+')))::double / (sum(length(text)) / 8.0::double)) as wr from doc_pages group by 1))""", "doc_pages"))
 def five_check_quality(spark, sf_dir) -> DataFrame:
@@ -160,7 +157,7 @@ def component_scores(spark, sf_dir) -> DataFrame:
 
 @query("resolved_edges", sql("select distinct a.node as src, b.node as dst, rel from edges e join nodes a on lower(a.name) = lower('CONCEPT ' || e.src) join nodes b on lower(b.name) = lower('concept ' || e.dst) where a.node <> b.node", "edges", "nodes"))
 def resolved_edges(spark, sf_dir) -> DataFrame:
-    """B-07, C-07, J-17: endpoints resolved by name, case aside."""
+    """B-07, C-07: endpoints resolved by name, case aside."""
     n = views.nodes(spark, sf_dir).select("node", F.lower("name").alias("key"))
     e = views.edges(spark, sf_dir).select(F.lower(F.concat(F.lit("CONCEPT "), "src")).alias("ks"), F.lower(F.concat(F.lit("concept "), "dst")).alias("kd"), "rel")
     j = e.join(n.select(F.col("node").alias("src"), F.col("key").alias("ks")), "ks").join(n.select(F.col("node").alias("dst"), F.col("key").alias("kd")), "kd")
