@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: the word pattern of the text contracts (white space is blank, tab to carriage return).
@@ -23,6 +23,11 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text) if _OTHER_SPACE.search(text) else text.split()
 
 
+def text_key(text: Column) -> Column:
+    """128 bits of a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts are long: at most so many rows go to a Python worker at a time, which bounds its memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

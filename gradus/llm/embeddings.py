@@ -12,9 +12,9 @@ are decided by their cosine in double precision. So every pair at or over the th
 A task returns the number of links of each vector and a spanning forest of the links, never all pairs.
 Components are then found on the forests' edges.
 
-Defined results: null labels, null or zero vectors, vectors with null or non-finite components, and
-vectors of another length link with nothing and form their own component. Rows without an id keep a
-null component, link with nothing and are kept. Repeated rows of one id are one vector. Other columns are ignored.
+Defined results: null labels, null or zero vectors, and vectors with null or non-finite components
+link with nothing and form their own component; vectors of different lengths do not link. Rows without an id keep a
+null component, link with nothing and are kept. Repeated rows of one id are one vector, the least by label and components. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 from .common import components, materialise, table
 
 COSINE = 0.93
-#: Vectors sampled over the whole table for the upper levels, centres of a label, and vectors of a block.
+#: Vectors sampled (about so many, by a hash) over the whole table for the upper levels, centres of a label, and vectors of a block.
 SAMPLE, CENTRES, BLOCK = 8192, 32, 2048
 #: Slack on bounds; decisions are made by the cosine itself.
 SLACK = 1e-9
 
 
 def unit(rows) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision and which rows are valid. The length of most rows is the table's."""
+    """Unit vectors in double precision and which rows are valid; rows are of one length, or else only the longest are."""
     wide = max((len(v) for v in rows if v is not None), default=0)
     x, good = np.zeros((len(rows), wide)), np.zeros(len(rows), dtype=bool)
     for i, v in enumerate(rows):
@@ -187,8 +187,9 @@ def dual_traversal(x: np.ndarray, y: np.ndarray, cosine: float, same: bool) -> t
 
 def _valid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        x, good = unit(list(batch["v"]))
-        yield pd.DataFrame({"id": batch["id"][good], "label": batch["label"][good], "v": [r.tolist() for r in x[good]]})
+        for _, rows in batch.groupby("label"):  # of one length
+            x, good = unit(list(rows["v"]))
+            yield pd.DataFrame({"id": rows["id"][good], "label": rows["label"][good], "v": [r.tolist() for r in x[good]]})
 
 
 def upper_levels(x: np.ndarray, most: int = CENTRES) -> np.ndarray:
@@ -209,17 +210,19 @@ def upper_levels(x: np.ndarray, most: int = CENTRES) -> np.ndarray:
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """One row per vector: id, n_links, component_id and kept."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v"))
-    good = rows.where("id is not null and label is not null and v is not null").dropDuplicates(["id"])
-    # the length that most vectors have is the table's
-    lengths = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    wide = lengths[0]["n"] if lengths else 0
-    good = materialise(good.where(F.size("v") == wide).mapInPandas(_valid, "id long, label string, v array<double>"))
-
-    some = good.orderBy(F.xxhash64("id"), "id").limit(sample).select("label", "v").collect()
+    # of rows that repeat an id the least (label, vector) stands; vectors of different lengths are never compared, so the length is part of the label
+    good = rows.where("id is not null and label is not null and v is not null").groupBy("id").agg(F.min(F.struct("label", F.col("v").cast("array<double>").alias("v"))).alias("x"))
+    good = good.select("id", F.concat_ws("|", F.size("x.v"), "x.label").alias("label"), "x.v")
+    good = materialise(good.mapInPandas(_valid, "id long, label string, v array<double>"))
+
+    # by a threshold on a hash, so that no more than the sample leaves the executors
+    part = min(1.0, sample / max(1, good.count()))
+    some = good.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < math.ceil(part * (1 << 20))).select("id", "label", "v").collect()
+    some.sort(key=lambda r: r["id"])
     by_label: dict[str, list] = {}
     for r in some:
         by_label.setdefault(r["label"], []).append(r["v"])
-    nets = {label: upper_levels(np.array(v)) for label, v in by_label.items()}  # at most `sample` vectors in all
+    nets = {label: upper_levels(np.array(v)) for label, v in by_label.items()}  # about `sample` vectors in all
 
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

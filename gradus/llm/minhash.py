@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, table, words_of
+from .common import components, materialise, table, text_key, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Registers; bands of ROWS registers each. A pair of similarity p shares no band with probability (1 - p^4)^24: 4e-6 for 0.8.
@@ -247,11 +247,6 @@ def _both(pairs: DataFrame, of: DataFrame, col: str) -> DataFrame:
     return one.join(of.select(F.col("node").alias("a"), F.col(col).alias(f"{col}_a")).hint("merge"), "a")
 
 
-def text_key(text: Column) -> Column:
-    """128 bits of a text; null counts as empty."""
-    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
-
-
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per input row: id, the key of its text, and class_id."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", text_key(F.col("text")))

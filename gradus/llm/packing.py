@@ -2,10 +2,10 @@
 
 Several sequence lengths are permitted, each with a cost. Every partition of the input packs its own
 documents in blocks of BLOCK pieces, longest first. A piece goes to the open bin that it fills best; if
-none can hold it, a bin is opened. Which of the permitted lengths to open is optimised jointly: each
-block is packed under every opening rule (always at least a given length), the bins are downsized to
-the least length that holds their contents, and the rule of least total cost is taken. Bins of a block
-that are still far from full stay open for the next block. In the end every bin is downsized.
+none can hold it, a bin is opened: of the least cost for each word that it and the pieces still to come can fill it with,
+or of a given least length. Which rule serves is optimised jointly: each block is packed under all of them, the bins are downsized to
+the least length that holds their contents, and the packing of least total cost is taken. Of a block's bins, the FEWEST least full
+that are under CLOSE full stay open for the next block; others are closed, which costs fill but loses no piece. In the end every bin is downsized.
 
 There is no shuffle and no driver work; memory is bounded by the block and the open bins of a task.
 Texts longer than the greatest length are cut into pieces of that length, so no word is lost.
@@ -29,6 +29,8 @@ from .common import bounded_batches, table, words_of
 #: Permitted lengths in words and what a sequence of each costs: its words plus a share that grows with their square.
 LENGTHS = (512, 1024, 2048, 4096)
 BLOCK = 4096
+#: Bins that a task carries from block to block at most, and the fill from which a bin is closed.
+FEWEST, CLOSE = 256, 0.9
 
 
 def cost(length: int) -> float:
@@ -46,20 +48,27 @@ class Bin:
         self.capacity, self.used, self.items = capacity, 0, []
 
 
-def best_fit(pieces: list[tuple[int, object]], open_bins: list[Bin], least: int, lengths=LENGTHS) -> list[Bin]:
-    """Best-fit decreasing of (length, item) into copies of the open bins and new ones of `least` words or more."""
+def cheapest(n: int, left: int, lengths=LENGTHS) -> int:
+    """The length to open for a piece of n words: least cost a word of what fills it, `left` words being still to come."""
+    return min((c for c in lengths if c >= n), key=lambda c: (cost(c) / min(c, n + left), c))
+
+
+def best_fit(pieces: list[tuple[int, object]], open_bins: list[Bin], least: int | None, lengths=LENGTHS) -> list[Bin]:
+    """Best-fit decreasing of (length, item) into copies of the open bins and new ones of `least` words or more, or of the cheapest length."""
+    left = sum(n for n, _ in pieces)
     bins = []
     for b in open_bins:
         bins.append(c := Bin(b.capacity))
         c.used, c.items = b.used, list(b.items)
     free = sorted((b.capacity - b.used, i) for i, b in enumerate(bins))
     for n, item in sorted(pieces, key=lambda p: -p[0]):
+        left -= n
         at = bisect_left(free, (n, -1))
         if at < len(free):
             room, i = free.pop(at)
         else:
             i = len(bins)
-            bins.append(Bin(max(least, downsized(n, lengths))))
+            bins.append(Bin(cheapest(n, left, lengths) if least is None else max(least, downsized(n, lengths))))
             room = bins[i].capacity
         bins[i].used += n
         bins[i].items.append((n, item))
@@ -70,7 +79,7 @@ def best_fit(pieces: list[tuple[int, object]], open_bins: list[Bin], least: int,
 
 def pack_block(pieces, open_bins, lengths=LENGTHS) -> list[Bin]:
     """The cheapest of the packings under each opening rule, judged after downsizing."""
-    return min((best_fit(pieces, open_bins, least, lengths) for least in lengths), key=lambda bins: sum(cost(downsized(b.used, lengths)) for b in bins))
+    return min((best_fit(pieces, open_bins, least, lengths) for least in (None, *lengths)), key=lambda bins: sum(cost(downsized(b.used, lengths)) for b in bins))
 
 
 def _pack(lengths, block: int, with_text: bool):
@@ -104,7 +113,7 @@ def _pack(lengths, block: int, with_text: bool):
                 held.append(piece)
                 if len(held) >= block:
                     bins, held = pack_block(held, open_bins, lengths), []
-                    open_bins = sorted((b for b in bins if b.used < 0.9 * b.capacity), key=lambda b: b.used)[:256]
+                    open_bins = sorted((b for b in bins if b.used < CLOSE * b.capacity), key=lambda b: b.used)[:FEWEST]
                     stay = set(map(id, open_bins))
                     yield close([b for b in bins if id(b) not in stay])
         yield close(pack_block(held, open_bins, lengths))

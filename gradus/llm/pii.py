@@ -15,15 +15,15 @@ each row; null ids stay; other columns are ignored; an empty table gives no rows
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, table, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of spans that learned patterns add, in the order of KINDS.
@@ -37,6 +37,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ODD = re.compile(r"[\x20-]")
 _SLOT = re.compile(r"[^\x20\x09-\x0D]+")
 _STRIP = ".,;:!?\"'()[]{}<>"
+#: Characters that make a word without digits look like a handle or an address.
+_JOINERS = "@_"
 
 
 def luhn(digits: str) -> bool:
@@ -85,29 +87,32 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, str | None, int, int]]:
     """(pattern, instance, seed kind or None, start, end): the two words before an identifier-like token
-    or a base entity. Tokens like identifiers hold a digit and five characters at least."""
+    or a base entity. Tokens like identifiers have five characters at least, of which one is a digit or joins names."""
     out = []
     taken = [(a, b) for _, a, b in spans]
 
+    tokens = [(m.start(), m.end()) for m in _SLOT.finditer(text)] if spans or any(c.isdigit() or c in _JOINERS for c in text) else []
+    starts = [a for a, _ in tokens]
+
     def before(start: int) -> str | None:
-        head = text[max(0, start - 60) : start]
-        if "\n" in head[-2:]:
+        if "\n" in text[max(0, start - 2) : start]:
             return None
-        words = [w.strip(_STRIP).lower() for w in head.split()]
-        if start > 60 and head[:1].strip():
-            words = words[1:]  # its beginning may be cut off
-        words = [w for w in words if w][-2:]
-        return " ".join(words) if len(words) == 2 and not any(c.isdigit() for w in words for c in w) else None
+        words, k = [], bisect_left(starts, start) - 1
+        while k >= 0 and len(words) < 2:
+            a, b = tokens[k]
+            if w := text[a : min(b, start)].strip(_STRIP).lower():
+                words.append(w)
+            k -= 1
+        return " ".join(reversed(words)) if len(words) == 2 and not any(c.isdigit() for w in words for c in w) else None
 
     for kind, a, b in spans:
         if p := before(a):
             out.append((p, text[a:b], kind, a, b))
-    for m in _SLOT.finditer(text) if any(c.isdigit() for c in text) else ():
-        token = m.group()
-        if len(token) < 5 or not any(c.isdigit() for c in token):
+    for a, b in tokens:
+        token = text[a:b]
+        if len(token) < 5 or not any(c.isdigit() or c in _JOINERS for c in token):
             continue
-        a = m.start() + len(token) - len(token.lstrip(_STRIP))
-        b = m.end() - (len(token) - len(token.rstrip(_STRIP)))
+        a, b = a + len(token) - len(token.lstrip(_STRIP)), b - (len(token) - len(token.rstrip(_STRIP)))
         if b - a >= 5 and not any(x < b and a < y for x, y in taken) and (p := before(a)):
             out.append((p, text[a:b], None, a, b))
     return out
@@ -144,10 +149,10 @@ def score_patterns(slots: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """One row per input row: id, n_email, n_ip, n_card, n_phone, base (array of spans) and spans (all of them)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", text_key(F.col("text")))
     kind = rows.schema["id"].dataType.simpleString()
-    found = materialise(rows.mapInPandas(_extract, f"id {kind}, h long, spans array<{_SPAN}>, slots array<struct<pattern:string,instance:string,kind:string,start:int,end:int>>"))
-    slots = found.select("h", F.explode("slots").alias("s")).select("h", "s.*").dropDuplicates(["h", "start", "end"])
+    found = materialise(rows.mapInPandas(_extract, f"id {kind}, h binary, spans array<{_SPAN}>, slots array<struct<pattern:string,instance:string,kind:string,start:int,end:int>>"))
+    slots = found.select("h", F.explode("slots").alias("s")).select("h", "s.*").groupBy("h", "start", "end").agg(F.min_by(F.struct("pattern", "instance", "kind"), F.struct(F.array_position(F.lit(list(KINDS)), F.coalesce("kind", F.lit(""))), "pattern")).alias("s")).select("h", "start", "end", "s.*")
     patterns = score_patterns(slots.select("pattern", "instance", "kind")).where((F.col("score") >= min_score) & (F.col("seeds") >= min_seeds))
     new = slots.where("kind is null").drop("kind").join(patterns, "pattern")
     new = new.groupBy("h", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
@@ -180,7 +185,7 @@ def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every personal span in text_col replaced; n_chars, where there is one, is made anew."""
     columns, schema = docs.columns, docs.schema
     spans = pii(docs.select(F.lit(0).alias("doc_id"), text_col), text_col=text_col).where(F.size("spans") > 0).select("text_hash", "spans").dropDuplicates(["text_hash"])
-    joined = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(spans, F.col("_h") == F.col("text_hash"), "left").drop("_h", "text_hash")
+    joined = docs.withColumn("_h", text_key(F.col(text_col))).join(spans, F.col("_h") == F.col("text_hash"), "left").drop("_h", "text_hash")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

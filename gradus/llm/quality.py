@@ -2,7 +2,7 @@
 
 Every line of a text gets features; Viterbi decoding marks it content or boilerplate, and the share
 of a text's words that stand in content lines decides whether it stays. The field is trained on at
-most MAX_FIT labelled rows chosen by a hash (of those, on their first TRAIN_LINES lines): the lines
+most MAX_FIT labelled rows chosen by a hash, on all of their lines (long texts in pieces of PIECE lines): the lines
 of a text share its quality label. Base counts and base rules are those of the contract.
 
 Defined results: null texts have no words and fail the base rule, as all texts under 50 words do;
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import table, words_of
 
-MAX_FIT, TRAIN_LINES = 3000, 48
+#: Bound on labelled rows; lines of a piece that a long text is cut into for training, so that padding stays bounded.
+MAX_FIT, PIECE = 3000, 48
 #: Least share of words in content lines.
 MIN_SHARE = 0.5
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
@@ -107,15 +108,17 @@ def content_share(text: str | None, model=DEFAULT) -> float:
     return float((viterbi(np.stack([-score / 2, score / 2], axis=1), model[1]) * sizes).sum() / sizes.sum())
 
 
-def train(sequences: list[np.ndarray], labels: list[int], rounds: int = 150, rate: float = 0.2, ridge: float = 0.002):
-    """Maximum-likelihood training of emission and transition weights by forward-backward on padded sequences."""
+def train(sequences: list[np.ndarray], labels: list[int], shares: list[float], rounds: int = 150, rate: float = 0.2, ridge: float = 0.002):
+    """Maximum-likelihood training of emission and transition weights by forward-backward on padded sequences; shares: what part of its text a sequence is."""
     longest = max(map(len, sequences))
     x = np.zeros((len(sequences), longest, len(FEATURES)))
     mask = np.zeros((len(sequences), longest), dtype=bool)
     for i, s in enumerate(sequences):
         x[i, : len(s)], mask[i, : len(s)] = s, True
     y = np.array(labels)[:, None] * np.ones(longest, dtype=int)
-    weight = np.where(np.array(labels) == 1, 0.5 / max(1, sum(labels)), 0.5 / max(1, len(labels) - sum(labels)))[:, None] / mask.sum(1, keepdims=True)
+    kind, part = np.array(labels), np.array(shares)
+    of_kind = np.where(kind == 1, part[kind == 1].sum(), part[kind == 0].sum())  # texts of the same label
+    weight = (0.5 * part / np.maximum(1.0, of_kind))[:, None] / mask.sum(1, keepdims=True)
     w, move = DEFAULT[0].copy(), DEFAULT[1].copy()
     first, second = [np.zeros_like(w), np.zeros_like(move)], [np.zeros_like(w), np.zeros_like(move)]
     for step in range(1, rounds + 1):
@@ -152,13 +155,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"y": batch["y"], "x": [line_features(t)[0][:TRAIN_LINES].ravel().tolist() for t in batch["text"]]})
+            yield pd.DataFrame({"y": batch["y"], "x": [line_features(t)[0].ravel().tolist() for t in batch["text"]]})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id").mapInPandas(run, "y int, x array<double>").collect()
     rows = [(np.array(r["x"]).reshape(-1, len(FEATURES)), r["y"]) for r in rows if r["x"]]
     if len({y for _, y in rows}) < 2:
         return DEFAULT
-    return train([x for x, _ in rows], [y for _, y in rows])
+    pieces = [(x[a : a + PIECE], y, min(PIECE, len(x) - a) / len(x)) for x, y in rows for a in range(0, len(x), PIECE)]
+    return train(*(list(v) for v in zip(*pieces, strict=True)))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_share: float = MIN_SHARE, max_fit: int = MAX_FIT) -> DataFrame:

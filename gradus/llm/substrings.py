@@ -60,13 +60,16 @@ def super_kmers(words: list[str], window: int = WINDOW, mer: int = MER) -> list[
 def _minimisers(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, ids, texts = [], [], []
+            keys, ids, texts, counts = [], [], [], []
             for i, h, text in zip(batch["id"], batch["h"], batch["text"], strict=True):
-                own = {k for k, _, _ in super_kmers(words_of(text), window)}
+                words, own = words_of(text), {}
+                for k, a, n in super_kmers(words, window):
+                    own.setdefault(k, []).append((a, n))
                 keys += own
                 ids += [i] * len(own)
                 texts += [h] * len(own)
-            yield pd.DataFrame({"key": np.array(keys, dtype=np.int64), "id": np.array(ids, dtype=np.int64), "h": np.array(texts, dtype=np.int64)})
+                counts += [len(at) if len(at) == 1 else len({" ".join(words[a : a + n]) for a, n in at}) for at in own.values()]
+            yield pd.DataFrame({"key": np.array(keys, dtype=np.int64), "id": np.array(ids, dtype=np.int64), "h": np.array(texts, dtype=np.int64), "n": np.array(counts, dtype=np.int64)})
 
     return run
 
@@ -171,8 +174,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    met = materialise(rows.where("id is not null").mapInPandas(_minimisers(window), "key long, id long, h long"))
-    shared = met.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("size")).where("a < b").select("key", "size")
+    met = materialise(rows.where("id is not null").mapInPandas(_minimisers(window), "key long, id long, h long, n long"))
+    shared = met.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.sum("n").alias("size")).where("a < b").select("key", "size")
     wanted = met.join(shared, "key").groupBy("id", "h").agg(F.collect_list("key").alias("keys"), F.collect_list("size").alias("sizes"))
     packed = rows.join(wanted, ["id", "h"]).select("id", "h", "text", "keys", "sizes").mapInPandas(_packed(window), "key long, size long, id long, h long, starts array<int>, packed string")
     packed = materialise(packed)

@@ -1,11 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Texts are cut into clauses. Five small transducers read a clause's tokens and are composed into one
-weighted path score: insult (a weighted lexicon), threat (verb plus target), target (second or third
-person near an insult), negation (scope of a few function words before the insult) and reported
-speech (a verb of saying at the clause's start). A clause's score is what its paths weigh; a text's
-features are taken from its matched clauses, not from isolated words, and a logistic model over them
-gives the score.
+Texts are cut into clauses, and a clause's tokens become symbols: insults (a weighted lexicon), threat verbs, targets, negators, verbs of
+saying, and function words, in four languages. Small weighted transducers read the symbols: negation (its scope passes through function
+words), reported speech (what follows a verb of saying at the clause's start), targets before and after, and the frame of a threat. They are composed
+by multiplying what they write at a place; a clause scores the weights of its insults and threats so composed. A text's features are of its
+matched clauses only, and a logistic model over them gives the score.
 
 Lexicon weights and the logistic model are learned from labelled rows of the training fold only
 (crc32 of the id as text, mod 4, not 2), from at most MAX_FIT rows chosen by a hash. Term
@@ -25,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 #: Bound on labelled rows that the model is fitted on, and on learned lexicon terms.
 MAX_FIT, MAX_TERMS, MIN_SUPPORT = 12_000, 400, 3
@@ -37,20 +36,55 @@ STEM = (4, 9)
 CUT = 0.3
 #: Seed insults with weights, and the closed word classes of the grammar.
 SEED_INSULTS = {w: 2.0 for w in "idiot idiots moron morons scum loser losers trash clown clowns worthless pathetic disgusting stupid imbecile jerk bastard dumbass retard vermin filth".split()}
-TARGETS = frozenset("you your youre u he she they them this that these those him her all such du ihr tu vous eres".split())
-THREAT_VERBS = frozenset("kill hurt destroy beat shoot stab punch smash burn attack".split())
-WILL = frozenset("will shall gonna ll should must".split())
-NEGATORS = frozenset("not never no isnt arent wasnt dont doesnt hardly".split())
-GLUE = frozenset("a an the so very really such is be being been at all".split())
-SAYING = frozenset("said says say claimed claims reported reports wrote writes called quoted quotes according alleged".split())
-LIKE_FRAMES = frozenset("like as".split())
+TARGETS = frozenset("you your youre u he she they them this that these those him her all such du ihr dich dir dein sie tu tus vous eres usted ustedes toi ton te".split())
+THREAT_VERBS = frozenset("kill hurt destroy beat shoot stab punch smash burn attack töten umbringen schlagen zerstören matar golpear destruir tuer frapper détruire".split())
+WILL = frozenset("will shall gonna ll should must werde werden wird voy vamos va vais vas vont allons".split())
+NEGATORS = frozenset("not never no isnt arent wasnt dont doesnt hardly nicht kein keine nie nunca jamás ningún pas jamais aucun".split())
+GLUE = frozenset("a an the so very really such is be being been at all ein eine der die das sehr so ist un una el la muy es une le les très est ne".split())
+SAYING = frozenset("said says say claimed claims reported reports wrote writes called quoted quotes according alleged sagte sagt behauptete schrieb nannte dijo dice afirmó escribió llamó dit disait affirme écrit appelé".split())
 TOKEN = re.compile(r"[^\W\d_]+")
 CLAUSE_END = re.compile(r"[.!?;:\n]+")
 N_FEATURES = 6
 
 
+class Transducer:
+    """A weighted finite-state transducer over a clause's symbols. Its states are 0 ... n - 1 and `arcs[state][symbol]` is the next state ('*' for
+    other symbols). It writes, for each symbol, the weight of the state it is read in."""
+
+    def __init__(self, arcs: list[dict[str, int]], weights: list[float], backwards: bool = False):
+        self.arcs, self.weights, self.backwards = arcs, weights, backwards
+
+    def run(self, symbols: list[str]) -> list[float]:
+        state, out = 0, []
+        for s in reversed(symbols) if self.backwards else symbols:
+            out.append(self.weights[state])
+            arc = self.arcs[state]
+            state = arc.get(s, arc["*"])
+        return out[::-1] if self.backwards else out
+
+
+def _after(symbol: str, reach: int, weight: float, backwards: bool = False, through: str | None = None) -> Transducer:
+    """Weighs what stands within `reach` places of a symbol; with `through`, only symbols of that class may stand between."""
+    arcs = [{symbol: reach, "*": 0}]
+    for left in range(1, reach + 1):
+        arcs.append({symbol: reach, "*": left - 1} if through is None else {symbol: reach, through: left - 1, "*": 0})
+    return Transducer(arcs, [1.0] + [weight] * reach, backwards)
+
+
+def _reported(places: int, weight: float) -> Transducer:
+    """Weighs all that follows a verb of saying among the first places."""
+    said, late = places, places + 1
+    arcs = [{"SAY": said, "*": k + 1 if k + 1 < places else late} for k in range(places)]
+    return Transducer([*arcs, {"*": said}, {"*": late}], [1.0] * places + [weight, 1.0])
+
+
+NEGATION, REPORTED = _after("NEG", 4, 0.4, through="GLUE"), _reported(6, 0.6)
+TARGET_BEFORE, TARGET_AFTER = _after("TARGET", 5, 1.25), _after("TARGET", 2, 1.25, backwards=True)
+WILL_BEFORE, VICTIM_AFTER = _after("WILL", 4, 2.0), _after("TARGET", 3, 2.0, backwards=True)
+
+
 class Grammar:
-    """The composed transducer: one pass over a clause's tokens with a small state."""
+    """The composition: insult and threat symbols are weighed by what every other transducer writes at their place."""
 
     def __init__(self, terms: dict[str, float]):
         """terms: weights of whole words (marked $) and of stems."""
@@ -59,47 +93,29 @@ class Grammar:
         self.lengths = sorted({len(t) for t in self.stems}, reverse=True)
 
     def weight(self, token: str) -> float | None:
-        """The insult transducer: the word itself, or its heaviest stem."""
+        """The insult lexicon: the word itself, or its heaviest stem."""
         found = [w for w in (self.words.get(token), *(self.stems.get(token[:k]) for k in self.lengths)) if w is not None]
         return max(found, default=None)
 
-    def clause(self, tokens: list[str], weights: dict[str, float]) -> tuple[float, int, int, int]:
-        """Score, insults at full weight, insults under negation or in reported speech, threats."""
-        reported = any(t in SAYING for t in tokens[:6])
-        negated = 0  # tokens that the scope of a negator still reaches
-        since_target = since_will = 99
-        score, plain, damped, threats = 0.0, 0, 0, 0
-        near = [i for i, t in enumerate(tokens) if t in TARGETS]
-        for i, t in enumerate(tokens):
-            if t in NEGATORS:
-                negated = 4
-                continue
-            weight = weights.get(t)
-            if weight is not None:
-                factor = 1.0
-                if since_target <= 4 or any(0 < j - i <= 2 for j in near):
-                    factor *= 1.25
-                if negated:
-                    factor *= 0.4
-                if reported:
-                    factor *= 0.6
-                damped += factor < 1
-                plain += factor >= 1
-                score += weight * factor
-                negated = 0
-            elif t in THREAT_VERBS and since_will <= 3:
-                if any(0 < j - i <= 3 for j in near):
-                    score += 1.5 * (0.4 if negated else 1.0) * (0.6 if reported else 1.0)
-                    threats += 1
-            elif negated and t not in GLUE:
-                negated = 0
-            negated = max(0, negated - 1)
-            since_target = 0 if t in TARGETS else since_target + 1
-            since_will = 0 if t in WILL else since_will + 1
-        return score, plain, damped, threats
+    def clause(self, tokens: list[str], weights: dict[str, float]) -> tuple[float, dict[str, float], int, int]:
+        """Score, the heaviest path of each insult, insults under negation or in reported speech, threats."""
+        symbols = [symbol(t, weights) for t in tokens]
+        negated, reported, before, after = (x.run(symbols) for x in (NEGATION, REPORTED, TARGET_BEFORE, TARGET_AFTER))
+        will, victim = (x.run(symbols) for x in (WILL_BEFORE, VICTIM_AFTER)) if "THREAT" in symbols else ((), ())
+        score, paths, damped, threats = 0.0, {}, 0, 0
+        for i, (s, t) in enumerate(zip(symbols, tokens, strict=True)):
+            scope = negated[i] * reported[i]
+            if s == "INSULT":
+                path = weights[t] * scope * max(before[i], after[i])
+                score, damped = score + path, damped + (scope < 1)
+                paths[t] = max(path, paths.get(t, 0.0))
+            elif s == "THREAT" and will[i] > 1 and victim[i] > 1:
+                score += 1.5 * scope
+                threats += 1
+        return score, paths, damped, threats
 
     def features(self, text: str | None) -> list[float]:
-        """1, the best clause, the sum over clauses, counts of different insults and damped ones, threats."""
+        """1, the best clause, the sum over clauses, the sum of each different insult's heaviest path, damped insults, threats; all of matched clauses."""
         low = (text or "").lower()
         tokens = set(TOKEN.findall(low))
         weights = {t: w for t in tokens if (w := self.weight(t)) is not None}
@@ -107,13 +123,26 @@ class Grammar:
             return [1.0] + [0.0] * (N_FEATURES - 1)
         best = total = 0.0
         damped = threats = 0
+        paths: dict[str, float] = {}
         for part in CLAUSE_END.split(low):
             words = TOKEN.findall(part)
             if weights.keys() & words or THREAT_VERBS & set(words):
-                s, _, d, h = self.clause(words, weights)
+                s, p, d, h = self.clause(words, weights)
                 best, total = max(best, s), total + s
                 damped, threats = damped + d, threats + h
-        return [1.0, best, math.log1p(total), math.log1p(sum(weights.values())), math.log1p(damped), math.log1p(threats)]
+                for t, path in p.items():
+                    paths[t] = max(path, paths.get(t, 0.0))
+        return [1.0, best, math.log1p(total), math.log1p(sum(paths.values())), math.log1p(damped), math.log1p(threats)]
+
+
+def symbol(token: str, weights: dict[str, float]) -> str:
+    """The class of a token; what the lexicon knows comes first."""
+    if token in weights:
+        return "INSULT"
+    return next((name for name, words in _CLASSES if token in words), "OTHER")
+
+
+_CLASSES = (("NEG", NEGATORS), ("THREAT", THREAT_VERBS), ("TARGET", TARGETS), ("WILL", WILL), ("SAY", SAYING), ("GLUE", GLUE))
 
 
 #: Weights where no labels of both kinds are there.
@@ -154,11 +183,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(fold(id_col) != 2).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(max_fit)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id").select("text", "y")
+    rows = materialise(rows)  # at most max_fit labelled ids
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\P{L}+"), lambda w: F.length(w).between(3, 30)))
     rows = rows.withColumn("words", words)
     # A text and its copies count once: rows that share the least hash of their words share one unit of weight.
     rows = rows.withColumn("group", F.array_min(F.transform("words", lambda w: F.xxhash64(w))))
-    units = rows.withColumn("weight", 1 / F.count("*").over(Window.partitionBy("group", "y")))
+    sizes = rows.groupBy("group", "y").agg(F.count("*").alias("same"))
+    units = rows.join(sizes.withColumnRenamed("group", "_g").withColumnRenamed("y", "_y"), F.col("group").eqNullSafe(F.col("_g")) & (F.col("y") == F.col("_y"))).withColumn("weight", 1 / F.col("same"))
     total = units.agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("y")).alias("n1")).first()
     n, n1 = total.n or 0.0, total.n1 or 0.0
     lexicon = {f"{w}$": x for w, x in SEED_INSULTS.items()}

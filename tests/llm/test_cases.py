@@ -310,3 +310,101 @@ def test_components_of_a_long_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(df).collect()}
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
+
+
+def scored_by_rules(tokens, weights):
+    """The grammar's rules written out for one clause, place by place."""
+    kind = [toxicity.symbol(t, weights) for t in tokens]
+    score = 0.0
+    for i, t in enumerate(tokens):
+        scope = 1.0
+        for k in range(i - 1, max(-1, i - 5), -1):
+            if kind[k] == "NEG":
+                scope *= 0.4
+                break
+            if kind[k] != "GLUE":
+                break
+        if "SAY" in kind[: min(6, i)]:
+            scope *= 0.6
+        if kind[i] == "INSULT":
+            score += weights[t] * scope * (1.25 if "TARGET" in kind[max(0, i - 5) : i] or "TARGET" in kind[i + 1 : i + 3] else 1.0)
+        elif kind[i] == "THREAT" and "WILL" in kind[max(0, i - 4) : i] and "TARGET" in kind[i + 1 : i + 4]:
+            score += 1.5 * scope
+    return score
+
+
+def test_composed_transducers_against_the_rules():
+    rng, weights = random.Random(3), {"idiot": 2.0, "scum": 1.3}
+    words = ["idiot", "scum", "kill", "you", "he", "not", "never", "very", "so", "said", "will", "shall", "tree", "house", "nicht", "tu"]
+    g = toxicity.Grammar({"idiot$": 2.0, "scum$": 1.3})
+    for _ in range(3000):
+        clause = [rng.choice(words) for _ in range(rng.randint(1, 12))]
+        assert g.clause(clause, weights)[0] == pytest.approx(scored_by_rules(clause, weights)), clause
+
+
+def best_packing(sizes, lengths):
+    """Least cost over all partitions of the pieces into bins, each downsized."""
+    if not sizes:
+        return 0.0
+    first, rest, best = sizes[0], sizes[1:], math.inf
+    for chosen in range(1 << len(rest)):
+        with_first = first + sum(s for k, s in enumerate(rest) if chosen >> k & 1)
+        if with_first <= lengths[-1]:
+            others = [s for k, s in enumerate(rest) if not chosen >> k & 1]
+            best = min(best, packing.cost(packing.downsized(with_first, lengths)) + best_packing(others, lengths))
+    return best
+
+
+def test_packing_against_brute_force():
+    """Best fit is a heuristic: never below the optimum, every piece once, and on average within a tenth of the optimum."""
+    rng, ratio = random.Random(4), []
+    for _ in range(60):
+        sizes = [rng.choice([30, 200, 500, 700, 1000, 1800, 2500, 4000]) for _ in range(rng.randint(1, 7))]
+        bins = packing.pack_block([(n, i) for i, n in enumerate(sizes)], [])
+        assert sorted(i for b in bins for _, i in b.items) == list(range(len(sizes)))
+        assert all(b.used == sum(n for n, _ in b.items) <= b.capacity for b in bins)
+        ours, best = sum(packing.cost(packing.downsized(b.used)) for b in bins), best_packing(sizes, packing.LENGTHS)
+        assert ours >= best - 1e-9
+        ratio.append(ours / best)
+    assert sum(ratio) / len(ratio) < 1.1
+
+
+def test_packing_opens_the_cheapest_length():
+    assert packing.cheapest(100, 0) == 512 and packing.cheapest(600, 0) == 1024
+    assert packing.cheapest(400, 100_000, (512, 1024)) == min((512, 1024), key=lambda c: packing.cost(c) / c)
+
+
+def test_pii_learned_spans_against_the_definition(spark):
+    """A pattern far from its word, a handle without a digit, and patterns under the limits."""
+    rows = [(i, f"reach{' ' * 80}me u{i}@mail.example.org now") for i in range(6)]
+    rows += [(10, "reach me the_handle now"), (11, "reach me plainword now"), (12, "call them 12345 now"), (13, f"reach{' ' * 90}me a_b_c_d now")]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[10] == [("email_like", 9, 19)] and got[11] == [] and got[12] == []
+    assert got[13] == [("email_like", 98, 105)]
+    assert all(len(got[i]) == 1 and got[i][0][0] == "email" for i in range(6))
+
+
+def test_quality_verdict_is_the_share_of_content_lines(spark, docs, labels):
+    model = quality.fit(docs, labels)
+    text = {i: t for i, t, _, _ in ROWS}
+    for r in quality.quality(docs, labels).collect():
+        share = quality.content_share(text.get(r.doc_id), model) if r.doc_id is not None else r.content_share
+        assert r.content_share == pytest.approx(share)
+        assert r.kept == (not r.base_failed and r.content_share >= quality.MIN_SHARE)
+
+
+def test_quality_trains_on_all_lines(spark):
+    """What marks boilerplate stands behind the first 48 lines of long texts."""
+    good = "\n".join(["plain words in a line that says something"] * 1 + [f"another line number {i} of prose that goes on" for i in range(80)])
+    bad = "\n".join([f"another line number {i} of prose that goes on" for i in range(50)] + ["$$$ ### CLICK !!! | | |"] * 60)
+    df = spark.createDataFrame([(i, good if i % 2 else bad) for i in range(20)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    model = quality.fit(df, lab)
+    assert quality.content_share(good, model) > quality.content_share(bad, model)
+
+
+def test_embeddings_of_two_lengths_and_repeated_ids(spark):
+    a, b = [1.0, 0.0, 0.0], [1.0, 0.0]
+    df = spark.createDataFrame([(1, a, 0), (2, a, 0), (3, b, 0), (4, b, 0), (5, [0.0, 1.0], 0), (5, b, 0)], "vec_id long, embedding array<double>, label int")
+    got = {(r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert got == {(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5)}
