@@ -7,7 +7,7 @@ import re
 import pandas as pd
 import pytest
 from compare import check, duck
-from gradus.llm import queries
+from gradus.llm import minhash, queries
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 
