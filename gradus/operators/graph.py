@@ -31,6 +31,20 @@ def k_hop(pairs: DataFrame, depth: int) -> DataFrame:
     return reached
 
 
+def k_hop_limited(pairs: DataFrame, depth: int, most: int) -> DataFrame:
+    """J-02 with its limit: of the nodes at the end of a walk of each length the `most` first by id, each with the least length it was
+    taken at. Walks may come back to their start, which is not a result."""
+    walk = pairs.select(F.col("a").alias("start"), F.col("b").alias("node")).where("start <> node").distinct()
+    taken = None
+    for d in range(1, depth + 1):
+        if d > 1:
+            walk = walk.join(pairs, walk.node == pairs.a).where("a <> b").select("start", F.col("b").alias("node")).distinct()
+        found = walk.where("start <> node").withColumn("r", F.row_number().over(Window.partitionBy("start").orderBy("node"))).where(F.col("r") <= most)
+        found = found.select("start", "node", F.lit(d).alias("dist"))
+        taken = found if taken is None else taken.unionByName(found)
+    return taken.groupBy("start", "node").agg(F.min("dist").alias("dist"))
+
+
 def shortest_paths(edges: DataFrame, depth: int = 4) -> DataFrame:
     """J-05: for each pair of nodes, the first of the shortest undirected paths, written a -[R]- b."""
     both = edges.where("src <> dst").select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), F.concat(F.lit(" -["), "rel", F.lit("]-> "), F.col("dst").cast("string")).alias("w")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b"), F.concat(F.lit(" <-["), "rel", F.lit("]- "), F.col("src").cast("string")).alias("w")))).alias("e")).select("e.*")

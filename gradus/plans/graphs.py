@@ -47,6 +47,19 @@ def khop_nearest(spark, sf_dir) -> DataFrame:
     return h.withColumn("r", F.row_number().over(Window.partitionBy("start").orderBy("dist", "node"))).where("r <= 30").drop("r")
 
 
+def _limited_sql(depth: int, most: int) -> str:
+    parts = ["directed as (select distinct src as a, dst as b from edges where src <> dst)", "w1 as (select a as start, b as node from directed)"]
+    parts += [f"w{d} as (select distinct w.start, p.b as node from w{d - 1} w join directed p on w.node = p.a)" for d in range(2, depth + 1)]
+    parts += [f"t{d} as (select start, node, {d} as dist from (select *, row_number() over (partition by start order by node) as r from w{d} where start <> node) where r <= {most})" for d in range(1, depth + 1)]
+    return ",\n".join(parts)
+
+
+@query("khop_limited", sql("select start, node, min(dist)::int as dist from (" + " union all ".join(f"select * from t{d}" for d in (1, 2, 3)) + ") group by 1, 2", "edges", more=_limited_sql(3, 15)))
+def khop_limited(spark, sf_dir) -> DataFrame:
+    """J-02 with at most fifteen nodes a hop."""
+    return graph.k_hop_limited(views.edges(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), 3, 15)
+
+
 _STEP = "step as (select a, b, min(w) as w from (select src as a, dst as b, ' -[' || rel || ']-> ' || dst as w from edges where src <> dst union all select dst, src, ' <-[' || rel || ']- ' || src from edges where src <> dst) group by 1, 2)"
 
 

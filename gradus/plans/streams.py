@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formulas import half_up
+from ..sources import views
 from ..streaming import state
-from .models import _IRT, _TRACE
+from .models import _FSRS, _IRT, _TRACE
 from .views_sql import r6, sql
 
 
@@ -25,9 +26,23 @@ def stream_windows(spark, sf_dir) -> DataFrame:
     return w.select(F.unix_seconds("start").alias("start"), "event_type", "n", half_up(F.col("total"), 4).alias("total"))
 
 
-QUERIES = {"stream_irt": stream_irt, "stream_mastery": stream_mastery, "stream_windows": stream_windows}
+def stream_fsrs(spark, sf_dir) -> DataFrame:
+    """N-03."""
+    return state.fsrs_state(state.event_stream(spark, sf_dir))
+
+
+def stream_hits(spark, sf_dir) -> DataFrame:
+    """N-05: every answer looks up the guide of its learner, concept and level; guides exist where a learner was wrong at that level."""
+    keys = ["user_id", "concept_id", "difficulty"]
+    hits = state.cache_hits(state.answers(state.event_stream(spark, sf_dir)), views.attempts(spark, sf_dir).where("not correct"), keys)
+    return hits.select(*keys, "hit_count", F.unix_micros("last_hit_at").alias("last_hit_at"))
+
+
+QUERIES = {"stream_irt": stream_irt, "stream_mastery": stream_mastery, "stream_windows": stream_windows, "stream_fsrs": stream_fsrs, "stream_hits": stream_hits}
 SQL = {
     "stream_irt": sql("select question_id, b, response_count::bigint as response_count from irt", "attempts", more=_IRT),
     "stream_mastery": sql(f"select user_id, concept_id, {r6('max_by(p, n)')} as p_known, max(n)::bigint as n from trace group by 1, 2", "attempts", more=_TRACE),
     "stream_windows": sql(f"select (epoch(ts)::bigint // 3600) * 3600 as start, event_type, count(*)::bigint as n, {r6('sum(value)', 4)} as total from events group by 1, 2").replace("epoch(ts)::bigint", "floor(epoch(ts))::bigint"),
+    "stream_fsrs": sql("select user_id, concept_id, max_by(s, n) as stability, max_by(d, n) as difficulty, max(n)::bigint as reviews from t group by 1, 2", "attempts", more=_FSRS),
+    "stream_hits": sql("select user_id, concept_id, difficulty, count(*)::bigint as hit_count, epoch_us(max(created_at)) as last_hit_at from attempts where (user_id, concept_id, difficulty) in (select user_id, concept_id, difficulty from attempts where not correct) group by 1, 2, 3", "attempts"),
 }

@@ -62,6 +62,20 @@ def bkt_fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     yield pd.DataFrame({"user_id": [key[0]], "concept_id": [key[1]], "p": [p], "n": [n]})
 
 
+def fsrs_fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """N-03: stability and difficulty of a learner's memory of a concept, the time of the last review and the number of reviews."""
+    rows = pd.concat(list(batches)).sort_values(["at", "attempt_id"])
+    s, d, last, n = state.get if state.exists else (1.0, 5.0, None, 0)
+    for at, right in zip(rows["at"].tolist(), rows["correct"], strict=True):
+        days = 0.0 if last is None else (at - last) / 8.64e10
+        r = 1.0 if days <= 0 else 1 / (1 + days / (9 * s))
+        s = max(0.5, s * (1 + math.exp(0.9) * (11 - d) * s**-0.2 * (math.exp(1 - r) - 1))) if right else max(0.5, s / 2)
+        d = max(1.0, min(10.0, d - 0.15 if right else d + 0.3))
+        s, d, last, n = math.floor(s * 1e3 + 0.5) / 1e3, math.floor(d * 1e2 + 0.5) / 1e2, at, n + 1
+    state.update((s, d, last, n))
+    yield pd.DataFrame({"user_id": [key[0]], "concept_id": [key[1]], "stability": [s], "difficulty": [d], "reviews": [n]})
+
+
 def latest(stream: DataFrame, keys: list[str], version: str) -> DataFrame:
     """Run the stream over what is there now and return the last emitted row of each key."""
     at = shared_folder(stream.sparkSession)
@@ -84,6 +98,19 @@ def bkt_state(stream: DataFrame) -> DataFrame:
     return latest(s, ["user_id", "concept_id"], "n")
 
 
+def fsrs_state(stream: DataFrame) -> DataFrame:
+    rows = answers(stream).withColumn("at", F.unix_micros("created_at")).groupBy("user_id", "concept_id")
+    s = rows.applyInPandasWithState(fsrs_fold, "user_id long, concept_id int, stability double, difficulty double, reviews long", "s double, d double, at long, n long", "update", GroupStateTimeout.NoTimeout)
+    return latest(s, ["user_id", "concept_id"], "reviews")
+
+
+def cache_hits(lookups: DataFrame, entries: DataFrame, keys: list[str]) -> DataFrame:
+    """N-05: how often each cache entry was looked up, and when last. Lookups without an entry count for nothing; the counters
+    combine before the shuffle, so an entry that everyone reads is no single task."""
+    hits = lookups.join(entries.select(*keys).distinct(), keys).groupBy(*keys).agg(F.count("*").alias("hit_count"), F.max("created_at").alias("last_hit_at"))
+    return latest(hits, keys, "hit_count")
+
+
 def activity_windows(stream: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """N-07: counts and sums in tumbling windows; the watermark bounds the state."""
     e = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
