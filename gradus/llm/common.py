@@ -54,6 +54,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: list[str], counts: DataFrame, total: int, how: str = "inner", parts: int = 1024) -> DataFrame:
+    """left joined with right, which has at most one row for each key. Keys with more than total / parts rows are dealt over several
+    tasks: left's rows by a hash of the columns `by`, right's row once for each part. counts: (key, n) of left's rows, of which there are
+    `total`; so fewer than `parts` keys are dealt, at any size, and only those are broadcast. Null keys meet nothing."""
+    share = max(1, -(-total // parts))
+    hot = F.broadcast(counts.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("_parts")))
+    part = F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = left.join(hot, key, "left").withColumn("_part", part).drop("_parts")
+    repeated = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(repeated.hint("merge"), [key, "_part"], how).drop("_part")
+
+
 def empty_like(df: DataFrame) -> bool:
     return not df.take(1)
 

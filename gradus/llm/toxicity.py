@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT, max_fit: int = MAX_FIT) -> DataFrame:
-    """One row per input row: id, held_out, score, predicted, n_insults and n_threats of matched clauses."""
+    """One row per input row: id, held_out, score and predicted."""
     lexicon, model = fit(docs, labels, id_col, text_col, max_fit=max_fit)
     frames = _feature_frames(Grammar(lexicon), ["id"])
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 from gradus.llm import embeddings, license_scan, minhash, mixing, packing, pii, quality, substrings, toxicity, url_rules
+from gradus.llm.common import spread_join
 from pyspark.sql import functions as F
 
 random.seed(5)
@@ -408,3 +409,15 @@ def test_embeddings_of_two_lengths_and_repeated_ids(spark):
     df = spark.createDataFrame([(1, a, 0), (2, a, 0), (3, b, 0), (4, b, 0), (5, [0.0, 1.0], 0), (5, b, 0)], "vec_id long, embedding array<double>, label int")
     got = {(r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
     assert got == {(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5)}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_equals_a_join(spark, how):
+    """A key with a third of all rows, null keys, keys without a partner, and a partner without rows."""
+    left = spark.range(600).selectExpr("id", "case when id % 3 = 0 then 7 when id % 50 = 1 then null else id % 40 end as k")
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(5, 60)], "k long, v string")
+    counts = left.groupBy("k").agg(F.count("*").alias("n"))
+    found = spread_join(left, right, "k", ["id"], counts, left.count(), how, parts=20)
+    assert sorted(map(str, found.select("id", "k", "v").collect())) == sorted(map(str, left.join(right, "k", how).select("id", "k", "v").collect()))
+    empty = left.limit(0)
+    assert spread_join(empty, right, "k", ["id"], counts.limit(0), 0, how).count() == 0
