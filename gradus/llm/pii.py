@@ -22,8 +22,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialise, table, text_key
+from .common import materialise, spread_join, table, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of spans that learned patterns add, in the order of KINDS.
@@ -147,17 +148,30 @@ def score_patterns(slots: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     raise ValueError("rounds must be positive")
 
 
-def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """One row per input row: id, n_email, n_ip, n_card, n_phone, base (array of spans) and spans (all of them)."""
+def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Base spans and slots of every row, under the key of its text; written, as several plans read it."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", text_key(F.col("text")))
     kind = rows.schema["id"].dataType.simpleString()
-    found = materialise(rows.mapInPandas(_extract, f"id {kind}, h binary, spans array<{_SPAN}>, slots array<struct<pattern:string,instance:string,kind:string,start:int,end:int>>"))
+    return materialise(rows.mapInPandas(_extract, f"id {kind}, h binary, spans array<{_SPAN}>, slots array<struct<pattern:string,instance:string,kind:string,start:int,end:int>>"))
+
+
+def _learned(found: DataFrame, min_score: float, min_seeds: int) -> DataFrame:
+    """(h, more): the spans that learned patterns add to a text."""
     slots = found.select("h", F.explode("slots").alias("s")).select("h", "s.*").groupBy("h", "start", "end").agg(F.min_by(F.struct("pattern", "instance", "kind"), F.struct(F.array_position(F.lit(list(KINDS)), F.coalesce("kind", F.lit(""))), "pattern")).alias("s")).select("h", "start", "end", "s.*")
     patterns = score_patterns(slots.select("pattern", "instance", "kind")).where((F.col("score") >= min_score) & (F.col("seeds") >= min_seeds))
     new = slots.where("kind is null").drop("kind").join(patterns, "pattern")
     new = new.groupBy("h", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
-    new = new.groupBy("h").agg(F.collect_list(F.struct(F.concat("kind", F.lit("_like")).alias("kind"), "start", "end")).alias("more"))
-    out = found.join(new, "h", "left")
+    return new.groupBy("h").agg(F.collect_list(F.struct(F.concat("kind", F.lit("_like")).alias("kind"), "start", "end")).alias("more"))
+
+
+def _copies(found: DataFrame) -> DataFrame:
+    return found.groupBy("h").agg(F.count("*").alias("n"))
+
+
+def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS) -> DataFrame:
+    """One row per input row: id, n_email, n_ip, n_card, n_phone, base (array of spans) and spans (all of them)."""
+    found = _found(docs, id_col, text_col)
+    out = spread_join(found.drop("slots"), _learned(found, min_score, min_seeds), "h", ["id"], _copies(found), found.count(), "left")
     every = F.concat("spans", F.coalesce("more", F.array().cast(f"array<{_SPAN}>")))
     order = F.lit(list(KINDS + LEARNED))
     every = F.transform(F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
@@ -184,13 +198,17 @@ def redact(text: str | None, spans) -> str | None:
 def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every personal span in text_col replaced; n_chars, where there is one, is made anew."""
     columns, schema = docs.columns, docs.schema
-    spans = pii(docs.select(F.lit(0).alias("doc_id"), text_col), text_col=text_col).where(F.size("spans") > 0).select("text_hash", "spans").dropDuplicates(["text_hash"])
-    joined = docs.withColumn("_h", text_key(F.col(text_col))).join(spans, F.col("_h") == F.col("text_hash"), "left").drop("_h", "text_hash")
+    found = _found(docs.select(F.lit(0).alias("doc_id"), text_col), "doc_id", text_col)
+    once = found.where(F.size("spans") + F.size("slots") > 0).select("h", "spans").dropDuplicates(["h"])
+    spans = once.join(_learned(found, MIN_SCORE, MIN_SEEDS), "h", "left").select("h", F.concat("spans", F.coalesce("more", F.array().cast(f"array<{_SPAN}>"))).alias("_spans")).where(F.size("_spans") > 0)
+    keyed = docs.withColumn("_h", text_key(F.col(text_col)))
+    others = [f.name for f in schema if f.name != text_col and isinstance(f.dataType, T.AtomicType)] or [text_col]
+    joined = spread_join(keyed, spans.withColumnRenamed("h", "_h"), "_h", others, _copies(found).withColumnRenamed("h", "_h"), found.count(), "left").drop("_h")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = batch[columns].copy()
-            out[text_col] = [redact(t, s) for t, s in zip(batch[text_col], batch["spans"], strict=True)]
+            out[text_col] = [redact(t, s) for t, s in zip(batch[text_col], batch["_spans"], strict=True)]
             yield out
 
     out = joined.mapInPandas(run, schema)
