@@ -229,7 +229,7 @@ def chunk_confidence_b(spark, sf_dir) -> DataFrame:
 
 
 _DUPES = "grams as (select distinct doc_id, chunk_index, array_to_string(ww[i:i + 4], ' ') as g from (select doc_id, chunk_index, regexp_extract_all(lower(text), '[^\\s]+') as ww from chunks_fixed), unnest(range(1, len(ww) - 3)) as u(i)), sizes as (select doc_id, chunk_index, count(*) as n from grams group by 1, 2), dupes as (select doc_id, count(*) as pairs from (select a.doc_id, a.chunk_index, b.chunk_index, count(*) as common, any_value(x.n) as na, any_value(y.n) as nb from grams a join grams b on a.doc_id = b.doc_id and a.g = b.g and a.chunk_index < b.chunk_index join sizes x on x.doc_id = a.doc_id and x.chunk_index = a.chunk_index join sizes y on y.doc_id = b.doc_id and y.chunk_index = b.chunk_index group by 1, 2, 3) where common::double / (na + nb - common) >= 0.85 group by 1)"
-_INTEGRITY = f"integrity as (select b.doc_id, count(*) as chunks, {r6('least(1.0::double, sum(len)::double / greatest(1, any_value(length(d.text))))', 4)} as coverage, coalesce(any_value(pairs), 0) as pairs, {r6('avg(confidence)', 4)} as avg_confidence, sum((confidence >= 0.8)::int) as high, sum((confidence >= 0.5 and confidence < 0.8)::int) as medium, sum((confidence < 0.5)::int) as low from chunk_b b join documents d using (doc_id) left join dupes using (doc_id) group by 1)"
+_INTEGRITY = f"integrity as (select b.doc_id, count(*) as chunks, {r6('least(1.0::double, sum(len)::double / greatest(1, any_value(length(d.text))))', 4)} as coverage, coalesce(any_value(pairs), 0) as pairs, {r6('sum(floor(confidence * 10000 + 0.5::double)::bigint)::double / count(*) / 10000', 4)} as avg_confidence, sum((confidence >= 0.8)::int) as high, sum((confidence >= 0.5 and confidence < 0.8)::int) as medium, sum((confidence < 0.5)::int) as low from chunk_b b join documents d using (doc_id) left join dupes using (doc_id) group by 1)"
 _VERDICT = "case when coverage < 0.75 then 'GAPS' when pairs > 0 then 'DUPLICATES' else 'COMPLETE' end"
 
 
@@ -242,7 +242,7 @@ def integrity(spark, sf_dir) -> DataFrame:
     long = g.select("doc_id", "chunk_index", F.size("s").alias("n"), F.explode("s").alias("g"))
     j = long.toDF("doc_id", "i", "ni", "g").join(long.toDF("doc_id", "j", "nj", "g"), ["doc_id", "g"]).where("i < j")
     pairs = j.groupBy("doc_id", "i", "j").agg(F.count("*").alias("common"), F.first("ni").alias("ni"), F.first("nj").alias("nj")).where("common / (ni + nj - common) >= 0.85").groupBy("doc_id").agg(F.count("*").alias("pairs"))
-    x = c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("len").alias("chars"), half_up(F.avg("confidence"), 4).alias("avg_confidence"), F.count_if(F.col("confidence") >= 0.8).alias("high"), F.count_if((F.col("confidence") >= 0.5) & (F.col("confidence") < 0.8)).alias("medium"), F.count_if(F.col("confidence") < 0.5).alias("low"))
+    x = c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("len").alias("chars"), half_up(F.sum(F.floor(F.col("confidence") * 10000 + 0.5).cast("long")) / F.count("*") / 10000, 4).alias("avg_confidence"), F.count_if(F.col("confidence") >= 0.8).alias("high"), F.count_if((F.col("confidence") >= 0.5) & (F.col("confidence") < 0.8)).alias("medium"), F.count_if(F.col("confidence") < 0.5).alias("low"))
     x = x.join(d, "doc_id").join(pairs, "doc_id", "left").na.fill(0, ["pairs"])
     x = x.withColumn("coverage", half_up(F.least(F.lit(1.0), F.col("chars") / F.greatest(F.lit(1), "total")), 4))
     return x.withColumn("verdict", F.when(F.col("coverage") < 0.75, "GAPS").when(F.col("pairs") > 0, "DUPLICATES").otherwise("COMPLETE"))

@@ -20,6 +20,7 @@ VIEWS = {
     "predicates": "select * from (values " + ", ".join(f"({i}, '{n}', {a}, {d})" for i, (n, a, d) in enumerate(PREDICATES)) + ") as t(idx, name, asym, dag)",
     "edges": """select doc * 20 + s as src, doc * 20 + d as dst, name as rel, born * 10000 + s * 500 + d * 25 + e.idx as edge_id, asym, dag
       from (select l_orderkey // 16 as doc, l_partkey % 20 as s, l_suppkey % 20 as d, (l_orderkey + l_linenumber * 7) % 25 as idx, min(l_orderkey * 8 + l_linenumber) as born from lineitem group by 1, 2, 3, 4) e join predicates p on p.idx = e.idx""",
+    "linked_edges": "select case when src % 20 = 19 then src + 1 else src end as src, case when dst % 20 = 19 then dst + 1 else dst end as dst, rel, asym, dag, min(edge_id) as edge_id from edges group by all",
     "nodes": "select (doc * 20 + i)::bigint as node, 'Concept ' || (doc * 20 + i) as name, (doc % 3)::bigint as owner from (select distinct l_orderkey // 16 as doc from lineitem), range(20) as r(i)",
     "verifier_gold": "select doc_id, ['a', 'b', 'c'][doc_id % 3 + 1] as verdict, ((doc_id * 37 % 101) / 100.0)::double as confidence, quality = 1 as human, ['a', 'b', 'c'][(doc_id // 3) % 3 + 1] as human_verdict from labels",
     "chunks_fixed": """select doc_id, i::int as chunk_index, trim(substr(text, (i * 850 + 1)::bigint, 1000), ' ') as text from documents, unnest(range(greatest(0, ceil((length(text) - 1000) / 850.0))::bigint + 1)) as u(i)
@@ -29,7 +30,7 @@ VIEWS = {
     "consensus_runs": "select distinct l_orderkey // 16 as chunk, l_linenumber % 3 as run, l_partkey % 20 as item from lineitem",
     "raw_names": "select p_partkey, 0 as pos, 'The ' || p_name || ' system' as name from part union all select p_partkey, 1, p_name from part",
 }
-_NEEDS = {"sessions": ["attempts"], "edges": ["predicates"]}
+_NEEDS = {"sessions": ["attempts"], "edges": ["predicates"], "linked_edges": ["predicates", "edges"]}
 
 
 def sql(body: str, *views: str, more: str = "") -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 _CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
@@ -27,3 +29,10 @@ def write_csv(df: DataFrame, path: str, metadata: dict[str, str] | None = None)
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows written as Parquet to the shared folder and read back: later steps plan only the scan, and lost executors lose nothing of it."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -65,6 +65,13 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select((F.col("doc") * n + F.col("s")).alias("src"), (F.col("doc") * n + F.col("d")).alias("dst"), F.col("name").alias("rel"), (F.col("at") * 10000 + F.col("s") * 500 + F.col("d") * 25 + F.col("idx")).alias("edge_id"), "asymmetric", "dag")
 
 
+def linked_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One graph over all documents: the last concept of a document is the first of the next one."""
+    same = lambda n: F.when(n % DOC_NODES == DOC_NODES - 1, n + 1).otherwise(n)
+    e = edges(spark, sf_dir).withColumns({"src": same(F.col("src")), "dst": same(F.col("dst"))})
+    return e.groupBy("src", "dst", "rel", "asymmetric", "dag").agg(F.min("edge_id").alias("edge_id"))
+
+
 def doc_of(node):
     """The document of a node."""
     return F.floor(node / DOC_NODES)
