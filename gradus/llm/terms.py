@@ -20,7 +20,7 @@ def terms_of(text: str | None) -> list[bytes]:
 def term_array(text: Column) -> Column:
     """Words of a text in order; null has none."""
     blank = F.btrim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN, " "))
-    return F.when(blank == "", F.array().cast("array<string>")).otherwise(F.split(blank, " "))
+    return F.array_remove(F.split(blank, " "), "")  # an empty text splits into one empty word
 
 
 def ngrams(words: Column, least: int, most: int) -> Column:
