@@ -76,15 +76,37 @@ def fsrs_fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     yield pd.DataFrame({"user_id": [key[0]], "concept_id": [key[1]], "stability": [s], "difficulty": [d], "reviews": [n]})
 
 
-def latest(stream: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Run the stream over what is there now and return the last emitted row of each key."""
-    at = shared_folder(stream.sparkSession)
+#: Processors with timers, lists and entries that expire need this state store.
+_PROVIDER = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: A stream on the clock's time would else run empty batches for ever.
+_NO_IDLE = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+
+
+def run_now(stream: DataFrame, at: str, mode: str = "update", clock: bool = False) -> tuple[DataFrame, int]:
+    """Run the stream over what is there now, on from where the folder's last run ended: all rows emitted so far, and how many rows of this run
+    came later than the watermark and were dropped. clock: the stream's state expires by the clock."""
+    spark = stream.sparkSession
+    conf = _PROVIDER | (_NO_IDLE if clock else {})
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
-    stream.writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
-    out = stream.sparkSession.read.parquet(f"{at}/out").drop("batch")
+    try:
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(sink).start()
+        q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    dropped = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
+    return spark.read.parquet(f"{at}/out").drop("batch"), dropped
+
+
+def latest(stream: DataFrame, keys: list[str], version: str, at: str | None = None, clock: bool = False) -> DataFrame:
+    """Run the stream over what is there now and return the last emitted row of each key."""
+    out, _ = run_now(stream, at or shared_folder(stream.sparkSession), clock=clock)
     return out.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in out.columns if c not in keys]), version).alias("x")).select(*keys, "x.*")
 
 
@@ -111,8 +133,16 @@ def cache_hits(lookups: DataFrame, entries: DataFrame, keys: list[str]) -> DataF
     return latest(hits, keys, "hit_count")
 
 
-def activity_windows(stream: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """N-07: counts and sums in tumbling windows; the watermark bounds the state."""
+def activity_windows(stream: DataFrame, length: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:
+    """N-07: counts and sums in tumbling windows, or windows that begin every `slide`; the watermark bounds the state."""
     e = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    g = e.groupBy(F.window("at", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    g = e.groupBy(F.window("at", length, slide).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return latest(g.select(F.col("w.start").alias("start"), "event_type", "n", "total"), ["start", "event_type"], "n")
+
+
+def activity_sessions(stream: DataFrame, gap: str = "6 hours", late: str = "2 hours", at: str | None = None) -> tuple[DataFrame, int]:
+    """N-07: a user's visits, which end where nothing follows for `gap`: user_id, start, end, n and total of those that the watermark has passed,
+    once each; and the number of rows that came too late for any."""
+    e = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    g = e.groupBy(F.session_window("at", gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return run_now(g.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total"), at or shared_folder(stream.sparkSession), "append")
