@@ -1,7 +1,7 @@
 """Registered queries and the SQL that each is compared with."""
 
-from . import graphs, intake, learner, models, more, paths, stored, streams, texts, triples
+from . import extraction, graphs, intake, learner, models, more, paths, stored, streams, texts, triples
 
-_PARTS = (learner, models, graphs, paths, texts, triples, intake, more, stored, streams)
+_PARTS = (learner, models, graphs, paths, texts, triples, extraction, intake, more, stored, streams)
 QUERIES: dict = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 ORACLE_SQL: dict = {k: s for part in _PARTS for k, s in part.SQL.items()}

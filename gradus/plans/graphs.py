@@ -146,11 +146,11 @@ linked as (select distinct src as node from edges union select dst from edges),
 dups as (select count(*) as g from (select 1 from nodes group by lower(name) having count(*) > 1 limit 10)),
 c as (select (select count(*) from nodes) as n, (select count(*) from edges) as m, (select count(*) from edges where src = dst) as loops, least(20, (select count(*) from nodes where node not in (select node from linked))) as orphans,
   (select count(*) from edges e join edges f on e.src = f.dst and e.dst = f.src and e.rel = f.rel where e.src <> e.dst) as bi, (select count(distinct rel) from edges where rel not in (select name from predicates)) as unknown,
-  (select count(distinct src) from edges) as outgoing, (select sum(o) from d) as rels, (select g from dups) as dup, (select sum((name is null or name = '')::int) from nodes) as unnamed),
+  (select count(distinct src) from edges) as outgoing, (select sum(o) from d) as rels, (select g from dups) as dup, (select 2 * (sum((coalesce(name, '') = '')::int) > 0)::int + (sum((node is null)::int) > 0)::int + (sum((owner is null)::int) > 0)::int + (sum((node // 20 is null)::int) > 0)::int from nodes) as lacking),
 k as (select *, 100.0::double * rels / (n * (n - 1)) as density, rels::double / n as deg from c),
 lp as (select count(*) as pairs, sum(hit) as hits from (select p.a, p.b, exists (select 1 from pairs x join pairs y on x.b = y.b where x.a = p.a and y.a = p.b)::int as hit from (select * from pairs order by a, b limit 50) p)),
 checks as (select 'structural' as name, greatest(0.0::double, 100 - 100.0::double * orphans / n - 10 * (orphans > n * 0.3)::int) as score, orphans <= n * 0.3 as passed from k
-  union all select 'schema', 100.0::double - 15 * (unnamed > 0)::int, unnamed = 0 from k
+  union all select 'schema', 100.0::double - 15 * lacking, lacking = 0 from k
   union all select 'relations', greatest(0.0::double, 100.0::double - 20 * (unknown + (loops > 0)::int + (m = 0)::int)), unknown + (loops > 0)::int + (m = 0)::int = 0 from k
   union all select 'completeness', (100.0::double + 0 + 100.0::double * outgoing / n + 100.0::double) / 4, (200.0::double + 100.0::double * outgoing / n) / 4 >= 70 from k
   union all select 'consistency', greatest(0.0::double, 100.0::double - 20 * ((dup > 0)::int + (bi > 0)::int) - 5 * dup), dup = 0 and bi = 0 from k
@@ -163,7 +163,8 @@ def kg_report(spark, sf_dir) -> DataFrame:
     """L-04 to L-10: scores of the seven checks and their mean. Orphans are counted up to 20, duplicate names up to ten groups and
     recoverable links over the first 50 pairs, as the checks define. Concepts have a name, a definition (the same here) and a document, and no examples."""
     e, nodes = views.edges(spark, sf_dir), views.nodes(spark, sf_dir)
-    d = graph.adjacency_counts(e, nodes).agg(F.count("*").alias("n"), F.sum("out_degree").alias("rels"), F.count_if(F.col("name").isNull() | (F.col("name") == "")).alias("unnamed"))
+    required = {"id": F.col("node"), "name": F.col("name"), "definition": F.col("name"), "owner": F.col("owner"), "doc": views.doc_of(F.col("node"))}
+    d = graph.adjacency_counts(e, nodes).agg(F.count("*").alias("n"), F.sum("out_degree").alias("rels"), *[F.count_if(F.coalesce(c.cast("string"), F.lit("")) == "").alias(f"no_{p}") for p, c in required.items()])
     linked = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     alone = nodes.join(linked, "node", "left_anti").limit(20).agg(F.count("*").alias("orphans"))
     m = e.agg(F.count("*").alias("m"), F.count_if(F.col("src") == F.col("dst")).alias("loops"))
@@ -182,6 +183,7 @@ def kg_report(spark, sf_dir) -> DataFrame:
     flag = lambda x: F.when(x, 1).otherwise(0)
     n, orphans = F.col("n"), F.col("orphans")
     density, degree = 100.0 * F.col("rels") / (n * (n - 1)), F.col("rels") / n
+    lacking = sum((flag(F.col(f"no_{p}") > 0) for p in required), F.lit(0))
     faults = F.col("unknown") + flag(F.col("loops") > 0) + flag(F.col("m") == 0)
     complete = (200.0 + 100.0 * F.col("outgoing") / n) / 4
     band = F.when(density == 0, 0.0).when(density < 0.5, 30.0).when(density < 2, 60.0).when(density < 20, 90.0).otherwise(70.0)
@@ -189,7 +191,7 @@ def kg_report(spark, sf_dir) -> DataFrame:
     link = F.coalesce("lp", F.lit(50.0))
     checks = {
         "structural": (low(100.0 - 100.0 * orphans / n - 10 * flag(orphans > n * 0.3)), orphans <= n * 0.3),
-        "schema": (100.0 - 15.0 * flag(F.col("unnamed") > 0), F.col("unnamed") == 0),
+        "schema": (100.0 - 15.0 * lacking, lacking == 0),
         "relations": (low(100.0 - 20.0 * faults), faults == 0),
         "completeness": (complete, complete >= 70),
         "consistency": (low(100.0 - 20.0 * (flag(F.col("dup") > 0) + flag(F.col("bi") > 0)) - 5.0 * F.col("dup")), (F.col("dup") == 0) & (F.col("bi") == 0)),

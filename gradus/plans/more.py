@@ -105,24 +105,6 @@ def upload_checks(spark, sf_dir) -> DataFrame:
     return views.table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(",", F.when(F.length("text") == 0, "empty"), F.when(n < 500, "short")).alias("warnings"), n.cast("long").alias("words"))
 
 
-@query("triple_validity", sql("select doc_id, length(lang) > 0 and lower(lang) <> lower(source) and length(lang) <= 120 and length(source) <= 120 as valid, upper(regexp_replace(trim(source, ' '), '[^a-zA-Z0-9_]+', '_', 'g')) as relation from documents"))
-def triple_validity(spark, sf_dir) -> DataFrame:
-    """B-11, H-04."""
-    ok = (F.length("lang") > 0) & (F.lower("lang") != F.lower("source")) & (F.length("lang") <= 120) & (F.length("source") <= 120)
-    return views.table(spark, sf_dir, "documents").select("doc_id", ok.alias("valid"), F.upper(F.regexp_replace(F.btrim("source"), "[^a-zA-Z0-9_]+", "_")).alias("relation"))
-
-
-@query("five_check_quality", sql(f"""select doc_id, {r6('score')} as score, score >= 0.7 as passed, case when y < 0.5 then 'yield' when loss > 0.5 then 'page_loss' when d < 0.3 then 'density' when gib > 0.3 then 'gibberish' else '' end as reason from (select *, 0.15::double * y + 0.20::double * (1 - loss) + 0.25::double * d + 0.25::double * (1 - least(1.0::double, gib)) + 0.15::double * wr as score from
-  (select doc_id, least(1.0::double, sum(length(text)) / 500.0::double) as y, avg((length(text) < 50)::int::double) as loss, least(1.0::double, avg(length(text)) / 1200.0::double) as d, 4 * sum(length(regexp_replace(text, '[^#*$%&<>|~^]', '', 'g')))::double / nullif(sum(length(text)), 0) as gib, least(1.0::double, sum(len(regexp_extract_all(text, '[^\\s]+')))::double / (sum(length(text)) / 8.0::double)) as wr from doc_pages group by 1))""", "doc_pages"))
-def five_check_quality(spark, sf_dir) -> DataFrame:
-    """K-11: five weighted checks and the first failing reason."""
-    n = F.length("text")
-    g = views.doc_pages(spark, sf_dir).groupBy("doc_id").agg(F.least(F.lit(1.0), F.sum(n) / 500.0).alias("y"), F.avg(F.when(n < 50, 1.0).otherwise(0.0)).alias("loss"), F.least(F.lit(1.0), F.avg(n) / 1200.0).alias("d"), (4 * F.sum(F.length(F.regexp_replace("text", r"[^#*$%&<>|~^]", ""))) / F.nullif(F.sum(n), F.lit(0))).alias("gib"), F.least(F.lit(1.0), F.sum(F.regexp_count("text", F.lit(r"[^\s]+"))) / (F.sum(n) / 8.0)).alias("wr"))
-    score = 0.15 * F.col("y") + 0.20 * (1 - F.col("loss")) + 0.25 * F.col("d") + 0.25 * (1 - F.least(F.lit(1.0), F.col("gib"))) + 0.15 * F.col("wr")
-    reason = F.when(F.col("y") < 0.5, "yield").when(F.col("loss") > 0.5, "page_loss").when(F.col("d") < 0.3, "density").when(F.col("gib") > 0.3, "gibberish").otherwise("")
-    return g.select("doc_id", half_up(score).alias("score"), (score >= 0.7).alias("passed"), reason.alias("reason"))
-
-
 @query("heading_fragments", sql("""select doc_id, count(*)::bigint as lines, sum((nxt is not null and starts_with(nxt, line) and nxt <> line)::int)::bigint as fragments from (select doc_id, line, lead(line) over (partition by doc_id order by i) as nxt from (select doc_id, i, trim((string_split(text, chr(10)))[i], ' ') as line from documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) as u(i)) where line <> '') group by 1"""))
 def heading_fragments(spark, sf_dir) -> DataFrame:
     """K-15: lines that are the beginning of the next line."""
@@ -164,21 +146,6 @@ def resolved_edges(spark, sf_dir) -> DataFrame:
     return j.where("src <> dst").select("src", "dst", "rel").distinct()
 
 
-@query("schema_compliance", sql("select 'lang' as property, sum((lang is null or lang = '')::int)::bigint as missing from documents union all select 'source', sum((source is null or source = '')::int) from documents union all select 'text', sum((text is null or text = '')::int) from documents"))
-def schema_compliance(spark, sf_dir) -> DataFrame:
-    """L-05."""
-    cols = ["lang", "source", "text"]
-    g = views.table(spark, sf_dir, "documents").agg(*[F.count_if(F.col(c).isNull() | (F.col(c) == "")).alias(c) for c in cols])
-    return g.select(F.explode(F.array(*[F.struct(F.lit(c).alias("property"), F.col(c).alias("missing")) for c in cols])).alias("x")).select("x.*")
-
-
-@query("reacceptance", sql(f"select sum(ok)::bigint as accepted, {r6('avg(ok::double)')} as rate, avg(ok::double) >= 0.85 as passed from (select (verdict <> 'c')::int as ok from verifier_gold)", "verifier_gold"))
-def reacceptance(spark, sf_dir) -> DataFrame:
-    """L-11."""
-    ok = (F.col("verdict") != "c").cast("long")
-    return views.verifier_gold(spark, sf_dir).agg(F.sum(ok).alias("accepted"), half_up(F.avg(ok)).alias("rate"), (F.avg(ok) >= 0.85).alias("passed"))
-
-
 @query("canonical_names", sql("select p_partkey, pos, trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'), ' ') as lite from raw_names", "raw_names"))
 def canonical_names(spark, sf_dir) -> DataFrame:
     """H-02."""

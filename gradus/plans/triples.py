@@ -170,40 +170,49 @@ def orphan_links(spark, sf_dir) -> DataFrame:
 
 # School subjects and their keywords, in the order that decides ties.
 DOMAINS = {
-    "Mathematics": "equation number geometry algebra fraction ratio area volume angle polygon prime integer decimal percentage triangle circle coordinate probability statistics matrix quadratic linear calculus",
-    "Science": "force motion energy matter cell organism chemical element atom molecule magnet light sound heat electricity gravity photosynthesis ecosystem nutrition respiration reproduction evolution genetics reaction acid base salt metal wave current voltage nucleus tissue organ pressure density",
-    "Social Studies": "history geography civics government constitution trade culture river mountain continent empire dynasty democracy resources climate map soil election parliament president rights law agriculture industry independence colony revolution treaty migration census latitude longitude vegetation",
-    "English": "grammar verb noun adjective adverb tense sentence paragraph comprehension vocabulary synonym antonym pronoun preposition conjunction punctuation essay narrative poem story character plot theme",
-    "Computer Science": "algorithm program variable loop function data network internet software hardware binary database array class object recursion sorting operating_system compiler spreadsheet html cpu memory",
-    "Hindi": "संज्ञा क्रिया विशेषण वाक्य व्याकरण काल संधि समास उपसर्ग प्रत्यय निबंध कहानी",
-}
-_KEYWORDS = [(i, d, w.replace("_", " ")) for i, (d, words) in enumerate(DOMAINS.items()) for w in words.split()]
-_KW = "kw as (select * from (values " + ", ".join(f"({i}, '{d}', '{w}')" for i, d, w in _KEYWORDS) + ") as t(i, domain, word))"
-#: The graph builder's order, where it differs: Hindi before Computer Science.
-ANCHOR_ORDER = ["Mathematics", "Science", "Social Studies", "English", "Hindi", "Computer Science"]
-
-
-def domain(text: Column, order: list[str] | None = None) -> Column:
-    """H-21, H-22: the domain with most keywords in a text, the first of equals. The table of keywords is fixed, so hits are counted as columns."""
-    low, order = F.lower(text), order or list(DOMAINS)
-    hits = {d: F.size(F.filter(F.lit([w for _, e, w in _KEYWORDS if e == d]), lambda w: low.contains(w))) for d in order}
-    best = F.array_max(F.array(*[F.struct(hits[d].alias("h"), F.lit(-i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate(order)]))
+    "Mathematics": ["equation", "number", "geometry", "algebra", "fraction", "ratio", "area", "volume", "angle", "polygon", "prime", "integer", "decimal", "percentage", "triangle", "circle", "coordinate", "probability", "statistics", "matrix", "quadratic", "linear", "calculus"],
+    "Science": ["force", "motion", "energy", "matter", "cell", "organism", "chemical", "element", "atom", "molecule", "magnet", "light", "sound", "heat", "electricity", "gravity", "photosynthesis", "ecosystem", "nutrition", "respiration", "reproduction", "evolution", "genetics", "reaction", "acid", "base", "salt", "metal", "wave", "current", "voltage", "nucleus", "tissue", "organ", "pressure", "density"],
+    "Social Studies": ["history", "geography", "civics", "government", "constitution", "trade", "culture", "river", "mountain", "continent", "empire", "dynasty", "democracy", "resources", "climate", "map", "soil", "election", "parliament", "president", "rights", "law", "agriculture", "industry", "independence", "colony", "revolution", "treaty", "migration", "census", "latitude", "longitude", "vegetation"],
+    "English": ["grammar", "verb", "noun", "adjective", "adverb", "tense", "sentence", "paragraph", "comprehension", "vocabulary", "synonym", "antonym", "pronoun", "preposition", "conjunction", "punctuation", "essay", "narrative", "poem", "story", "character", "plot", "theme"],
+    "Computer Science": ["algorithm", "program", "variable", "loop", "function", "data", "network", "internet", "software", "hardware", "binary", "database", "array", "class", "object", "recursion", "sorting", "operating system", "compiler", "spreadsheet", "html", "cpu", "memory"],
+    "Hindi": ["संज्ञा", "क्रिया", "विशेषण", "वाक्य", "व्याकरण", "काल", "संधि", "समास", "उपसर्ग", "प्रत्यय", "निबंध", "कहानी"],
+}
+# The subjects, their order and their keywords where the graph builder anchors concepts.
+ANCHORS = {
+    "Mathematics": ["equation", "number", "geometry", "algebra", "fraction", "ratio", "area", "volume", "angle", "polygon", "prime", "integer", "decimal", "percentage"],
+    "Science": ["force", "motion", "energy", "matter", "cell", "organism", "chemical", "element", "atom", "molecule", "magnet", "light", "sound", "heat", "electricity", "gravity", "photosynthesis", "ecosystem"],
+    "Social Studies": ["history", "geography", "civics", "government", "constitution", "trade", "culture", "river", "mountain", "continent", "empire", "dynasty", "democracy", "resources", "climate", "map", "soil"],
+    "English": ["grammar", "verb", "noun", "adjective", "adverb", "tense", "sentence", "paragraph", "comprehension", "vocabulary", "synonym", "antonym", "pronoun", "preposition"],
+    "Hindi": ["संज्ञा", "क्रिया", "विशेषण", "वाक्य", "व्याकरण", "काल"],
+    "Computer Science": ["algorithm", "program", "variable", "loop", "function", "data", "network", "internet", "software", "hardware", "binary", "database"],
+}
+
+
+def _keywords_sql(table: dict[str, list[str]]) -> str:
+    return "kw as (select * from (values " + ", ".join(f"({i}, '{d}', '{w}')" for i, (d, words) in enumerate(table.items()) for w in words) + ") as t(i, domain, word))"
+
+
+def domain(text: Column, table: dict[str, list[str]]) -> Column:
+    """H-21, H-22: the subject with most keywords in a text, the first of equals. The table of keywords is fixed, so hits are counted as columns."""
+    low = F.lower(text)
+    hits = {d: F.size(F.filter(F.lit(words), lambda w: low.contains(w))) for d, words in table.items()}
+    best = F.array_max(F.array(*[F.struct(h.alias("h"), F.lit(-i).alias("i"), F.lit(d).alias("d")) for i, (d, h) in enumerate(hits.items())]))
     return F.when(best["h"] > 0, best["d"]).otherwise("General Knowledge")
 
 
-@query("domain_anchor", sql("""select doc_id, coalesce(domain, 'General Knowledge') as domain from documents left join (select doc_id, domain, row_number() over (partition by doc_id order by hits desc, i) as r from (select doc_id, domain, any_value(i) as i, count(*) as hits from documents, kw where contains(lower(text), word) group by 1, 2)) d using (doc_id) where coalesce(r, 1) = 1""", more=_KW))
+@query("domain_anchor", sql("""select doc_id, coalesce(domain, 'General Knowledge') as domain from documents left join (select doc_id, domain, row_number() over (partition by doc_id order by hits desc, i) as r from (select doc_id, domain, any_value(i) as i, count(*) as hits from documents, kw where contains(lower(text), word) group by 1, 2)) d using (doc_id) where coalesce(r, 1) = 1""", more=_keywords_sql(DOMAINS)))
 def domain_anchor(spark, sf_dir) -> DataFrame:
     """H-21 of whole texts."""
-    return views.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNull(), "General Knowledge").otherwise(domain(F.col("text"))).alias("domain"))
+    return views.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNull(), "General Knowledge").otherwise(domain(F.col("text"), DOMAINS)).alias("domain"))
 
 
-@query("orphan_anchors", sql("""select node, coalesce(domain, 'General Knowledge') as anchor, 'PART_OF' as rel from (select a.node, n.name || ' ' || coalesce(p_name, '') as text from alone a join nodes n using (node) left join part on p_partkey = a.node + 1) left join (select node as n2, domain, row_number() over (partition by node order by hits desc, i) as r from (select node, domain, any_value(case domain when 'Hindi' then 4 when 'Computer Science' then 5 else i end) as i, count(*) as hits from (select a.node, n.name || ' ' || coalesce(p_name, '') as text from alone a join nodes n using (node) left join part on p_partkey = a.node + 1), kw where contains(lower(text), word) group by 1, 2)) d on n2 = node where coalesce(r, 1) = 1""", "edges", "nodes", more=_ALONE + ",\n" + _KW))
+@query("orphan_anchors", sql("""select node, coalesce(domain, 'General Knowledge') as anchor, 'PART_OF' as rel from (select a.node, n.name || ' ' || coalesce(p_name, '') as text from alone a join nodes n using (node) left join part on p_partkey = a.node + 1) left join (select node as n2, domain, row_number() over (partition by node order by hits desc, i) as r from (select node, domain, any_value(i) as i, count(*) as hits from (select a.node, n.name || ' ' || coalesce(p_name, '') as text from alone a join nodes n using (node) left join part on p_partkey = a.node + 1), kw where contains(lower(text), word) group by 1, 2)) d on n2 = node where coalesce(r, 1) = 1""", "edges", "nodes", more=_ALONE + ",\n" + _keywords_sql(ANCHORS)))
 def orphan_anchors(spark, sf_dir) -> DataFrame:
     """J-12: isolated concepts become part of the domain of their name and definition (here a part's name)."""
     alone, _ = alone_and_linked(spark, sf_dir)
     p = views.table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("node"), "p_name")
     j = alone.join(p, "node", "left").withColumn("text", F.concat("name", F.lit(" "), F.coalesce("p_name", F.lit(""))))
-    return j.select("node", domain(F.col("text"), ANCHOR_ORDER).alias("anchor"), F.lit("PART_OF").alias("rel"))
+    return j.select("node", domain(F.col("text"), ANCHORS).alias("anchor"), F.lit("PART_OF").alias("rel"))
 
 
 _VERDICTS = "verdicts as (select src, dst, rel, edge_id, asym, ['a', 'b', 'c'][edge_id % 3 + 1] as verdict, ((edge_id * 37 % 101) / 100.0)::double as confidence, ['a', 'b', 'c'][(edge_id // 3) % 3 + 1] as r_verdict, ((edge_id * 53 % 101) / 100.0)::double as r_confidence from edges)"
