@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.files import written
+
 #: Pairs of relation types that contradict each other between the same nodes.
 MUTEX = [("IS_A", "CONTRASTS_WITH"), ("PART_OF", "CONTAINS"), ("CAUSES", "CAUSED_BY"), ("EXAMPLE_OF", "CONTRASTS_WITH")]
 
@@ -19,14 +21,17 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").select(both.alias("e")).select("e.a", "e.b").distinct()
 
 
-def k_hop(pairs: DataFrame, depth: int) -> DataFrame:
-    """J-01, J-02: rows (start, node, dist) of the shortest distance up to depth. Each hop is a join on the
-    frontier, made distinct, and an anti-join with what was reached before."""
-    reached = pairs.select(F.col("a").alias("start"), F.col("b").alias("node")).where("start <> node").withColumn("dist", F.lit(1))
-    front = reached
+def k_hop(pairs: DataFrame, depth: int, starts: DataFrame | None = None) -> DataFrame:
+    """J-01, J-02: rows (start, node, dist) of the shortest distance up to depth, from every node or from those of `starts` (start). Each hop is a
+    join on the frontier, made distinct, and an anti-join with what was reached before; all but the last are written, so that a plan
+    holds one hop."""
+    pairs = written(pairs.select("a", "b").where("a <> b"))
+    front = pairs.select(F.col("a").alias("start"), F.col("b").alias("node"))
+    reached = front = (front if starts is None else written(front.join(starts.select("start").distinct(), "start", "left_semi"))).withColumn("dist", F.lit(1))
     for d in range(2, depth + 1):
         nxt = front.join(pairs, front.node == pairs.a).select("start", F.col("b").alias("node")).where("start <> node").distinct()
         front = nxt.join(reached.select("start", "node"), ["start", "node"], "left_anti").withColumn("dist", F.lit(d))
+        front = written(front) if d < depth else front
         reached = reached.unionByName(front)
     return reached
 
@@ -45,15 +50,17 @@ def k_hop_limited(pairs: DataFrame, depth: int, most: int) -> DataFrame:
     return taken.groupBy("start", "node").agg(F.min("dist").alias("dist"))
 
 
-def shortest_paths(edges: DataFrame, depth: int = 4) -> DataFrame:
-    """J-05: for each pair of nodes, the first of the shortest undirected paths, written a -[R]- b."""
+def shortest_paths(edges: DataFrame, depth: int = 4, starts: DataFrame | None = None) -> DataFrame:
+    """J-05: for each pair of nodes, the first of the shortest undirected paths, written a -[R]- b; from every node or from those of `starts` (start).
+    All hops but the last are written."""
     both = edges.where("src <> dst").select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), F.concat(F.lit(" -["), "rel", F.lit("]-> "), F.col("dst").cast("string")).alias("w")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b"), F.concat(F.lit(" <-["), "rel", F.lit("]- "), F.col("src").cast("string")).alias("w")))).alias("e")).select("e.*")
-    step = both.groupBy("a", "b").agg(F.min("w").alias("w"))
-    reached = step.select(F.col("a").alias("start"), F.col("b").alias("node"), F.lit(1).alias("dist"), F.concat(F.col("a").cast("string"), "w").alias("path"))
-    front = reached
+    step = written(both.groupBy("a", "b").agg(F.min("w").alias("w")))
+    first = step.select(F.col("a").alias("start"), F.col("b").alias("node"), F.lit(1).alias("dist"), F.concat(F.col("a").cast("string"), "w").alias("path"))
+    reached = front = first if starts is None else written(first.join(starts.select("start").distinct(), "start", "left_semi"))
     for d in range(2, depth + 1):
         nxt = front.join(step, front.node == step.a).where("start <> b").groupBy("start", F.col("b").alias("node")).agg(F.min(F.concat("path", "w")).alias("path"))
         front = nxt.join(reached.select("start", "node"), ["start", "node"], "left_anti").select("start", "node", F.lit(d).alias("dist"), "path")
+        front = written(front) if d < depth else front
         reached = reached.unionByName(front)
     return reached
 

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.formulas import half_up
 from ..operators import graph
 from ..sources import views
+from ..sources.files import written
 from .views_sql import r6, sql
 
 QUERIES, SQL = {}, {}
@@ -290,7 +291,7 @@ def bigram_cosine(spark, sf_dir) -> DataFrame:
   (select *, row_number() over (partition by start order by phase, dist, node) as pick from (select *, case when row_number() over (partition by start, dist order by node) = 1 then 1 else 2 end as phase from (select h.start, h.node, h.dist from (select start, node, min(dist)::int as dist from hops group by 1, 2) h join cosine c on c.x = h.start and c.y = h.node where c.s >= case when h.dist = 3 then 0.18 else 0.12 end))) where pick <= 3""", "edges", "nodes", more=_PAIRS + ",\n" + _HOPS.format(t="pairs", d=3).replace("union all select h.", "union select h.") + ",\n" + _SIM))
 def distractors(spark, sf_dir) -> DataFrame:
     """J-04: for each answer one similar neighbour of each distance first, then the nearest, three in all."""
-    sim = bigram_cosine(spark, sf_dir)
+    sim = written(bigram_cosine(spark, sf_dir))
     both = sim.select(F.col("x").alias("start"), F.col("y").alias("node"), "similarity").unionByName(sim.select(F.col("y").alias("start"), F.col("x").alias("node"), "similarity"))
     h = graph.k_hop(graph.undirected(views.edges(spark, sf_dir)), 3).join(both, ["start", "node"])
     h = h.where(F.col("similarity") >= F.when(F.col("dist") == 3, 0.18).otherwise(0.12))

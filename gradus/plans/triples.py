@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..functions.formulas import case_map, clamp, half_up
 from ..operators import graph
 from ..sources import views
+from ..sources.files import written
 from . import graphs
 from .texts import _CLARITY, _GRAMMAR, grammar_and_clarity
 from .views_sql import r6, sql
@@ -97,9 +98,10 @@ def specificity(text: Column) -> Column:
     return F.when(F.length(t) == 0, 0.0).otherwise(clamp(0.6 * words + 0.4 * clamp((chars - 2) / 10.0, 0.0, 1.0), 0.0, 1.0))
 
 
-def scored(spark, sf_dir) -> DataFrame:
-    e = supported(spark, sf_dir)
-    m = views.edges(spark, sf_dir).select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").cast("double").alias("m"))
+def scored(spark, sf_dir, e: DataFrame | None = None) -> DataFrame:
+    """J-15 of the edges with their best chunks, `e` where they are at hand."""
+    e = supported(spark, sf_dir) if e is None else e
+    m = e.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").cast("double").alias("m"))
     top = m.groupBy(views.doc_of(F.col("node")).alias("doc")).agg(F.max("m").alias("top"))
     j = e.join(m.toDF("src", "ms"), "src").join(m.toDF("dst", "md"), "dst").join(top, "doc")
     low = F.lower("text")
@@ -295,8 +297,9 @@ _Q = _ALL + ",\n" + _QUESTIONS
 
 def questions(spark, sf_dir) -> DataFrame:
     """M-04: one question on the best triple of each subject; the graph gives its wrong options."""
-    best = scored(spark, sf_dir).groupBy("src").agg(F.min_by(F.struct("dst", "rel", "edge_id"), F.struct(-F.col("score"), "edge_id")).alias("b")).select("src", "b.*")
-    best = best.join(supported(spark, sf_dir).select("edge_id", "chunk", "text"), "edge_id")
+    e = written(supported(spark, sf_dir))
+    best = scored(spark, sf_dir, e).groupBy("src").agg(F.min_by(F.struct("dst", "rel", "edge_id"), F.struct(-F.col("score"), "edge_id")).alias("b")).select("src", "b.*")
+    best = best.join(e.select("edge_id", "chunk", "text"), "edge_id")
     o = graphs.distractors(spark, sf_dir).groupBy(F.col("answer").alias("dst")).agg(F.sort_array(F.collect_list(F.struct("distractor", "dist"))).alias("l"), F.first("difficulty").alias("difficulty"))
     j = best.join(o, "dst", "left")
     wrong = F.coalesce(F.transform("l", lambda x: F.concat(F.lit("Concept "), x["distractor"])), F.array().cast("array<string>"))
@@ -347,7 +350,7 @@ overall as (select m.*, dq, case when dq is null then 0.35::double * answerabili
 
 def question_marks(spark, sf_dir) -> DataFrame:
     """Similarities of whole texts are counted by an aggregation on character pairs, those of the short options in place."""
-    q = questions(spark, sf_dir).withColumn("concept", _name("src"))
+    q = written(questions(spark, sf_dir).withColumn("concept", _name("src")))
     texts = {"qa": F.concat_ws(" ", "question", "correct"), "q": F.col("question"), "con": F.col("concept"), "sou": F.substr(F.coalesce("text", F.lit("")), F.lit(1), F.lit(500))}
     pairs = T.character_pairs
     long = q.select("src", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), pairs(t).alias("l")) for k, t in texts.items()])).alias("x")).select("src", "x.k", F.explode("x.l").alias("g"))

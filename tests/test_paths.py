@@ -133,3 +133,13 @@ def test_no_step_compares_all_pairs(spark, sf):
     asked = paths.answer_pairs(spark, sf).select("doc", "id", F.col("student").alias("text"))
     plan = fuzzy.named_nodes(asked, names)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_searches_from_some_starts(spark, sf):
+    e = views.edges(spark, sf)
+    starts = spark.createDataFrame([(3,), (45,), (3,), (-1,)], "start long")
+    pairs = graph.undirected(e)
+    every = {tuple(r) for r in graph.k_hop(pairs, 3).where("start in (3, 45)").collect()}
+    assert {tuple(r) for r in graph.k_hop(pairs, 3, starts).collect()} == every and len(every) > 5
+    every = {tuple(r) for r in graph.shortest_paths(e).where("start in (3, 45)").collect()}
+    assert {tuple(r) for r in graph.shortest_paths(e, starts=starts).collect()} == every
