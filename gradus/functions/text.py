@@ -49,3 +49,13 @@ def pair_cosine(a: Column, b: Column) -> Column:
     """Cosine of the counts of two arrays of character pairs; 0 where either has none."""
     count = lambda x, y: F.aggregate(x, F.lit(0), lambda s, g: s + F.size(F.filter(y, lambda h: h == g))).cast("double")
     return F.when((F.size(a) > 0) & (F.size(b) > 0), count(a, b) / F.sqrt(count(a, a) * count(b, b))).otherwise(F.lit(0.0))
+
+
+def word_runs(words: Column, n: int) -> Column:
+    """The runs of n consecutive words, joined by blanks. Each run is put together from the one that is a word shorter and the next word, so the
+    array of words is read n times, not once for every run."""
+    runs = words
+    for k in range(2, n + 1):
+        left = F.greatest(F.size(words) - k + 1, F.lit(0))
+        runs = F.zip_with(F.slice(runs, F.lit(1), left), F.slice(words, F.lit(k), left), lambda a, b: F.concat_ws(" ", a, b))
+    return runs

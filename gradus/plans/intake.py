@@ -238,7 +238,7 @@ def integrity(spark, sf_dir) -> DataFrame:
     d = views.table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("total"))
     w = F.regexp_extract_all(F.lower("text"), F.lit(r"[^\s]+"), F.lit(0))
     g = views.chunks_fixed(spark, sf_dir).select("doc_id", "chunk_index", w.alias("w")).where("size(w) >= 5")
-    g = g.select("doc_id", "chunk_index", F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " ")))).alias("s"))
+    g = g.select("doc_id", "chunk_index", F.array_distinct(F.transform(T.word_runs(F.col("w"), 5), lambda g: F.xxhash64(g))).alias("s"))
     long = g.select("doc_id", "chunk_index", F.size("s").alias("n"), F.explode("s").alias("g"))
     j = long.toDF("doc_id", "i", "ni", "g").join(long.toDF("doc_id", "j", "nj", "g"), ["doc_id", "g"]).where("i < j")
     pairs = j.groupBy("doc_id", "i", "j").agg(F.count("*").alias("common"), F.first("ni").alias("ni"), F.first("nj").alias("nj")).where("common / (ni + nj - common) >= 0.85").groupBy("doc_id").agg(F.count("*").alias("pairs"))

@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions.formulas import half_up
 from ..operators import folds
 from ..sources import views
+from ..sources.files import written
 from .models import _MASTERY
 from .views_sql import r6, sql
 
@@ -73,12 +74,12 @@ def near_duplicate_chunks(spark, sf_dir) -> DataFrame:
     c = views.chunks_fixed(spark, sf_dir)
     w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
     c = c.select(F.struct("doc_id", "chunk_index").alias("id"), w.alias("w")).where("size(w) >= 5")
-    c = c.select("id", F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " "))))).alias("s"))
+    c = c.select("id", F.array_sort(F.array_distinct(F.transform(T.word_runs(F.col("w"), 5), lambda g: F.xxhash64(g)))).alias("s"))
     key = F.md5(F.array_join(F.transform("s", lambda x: x.cast("string")), "|"))
-    keyed = c.withColumn("k", key)
+    keyed = written(written(c).withColumn("k", key))
     reps = keyed.groupBy("k").agg(F.min("id").alias("rep"))
     copies = keyed.select("id", "k").join(reps, "k").where("id <> rep").select(F.lit("copy").alias("kind"), F.col("id").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard"))
-    own = keyed.join(reps, "k").where("id = rep").select("id", "s")
+    own = written(keyed.join(reps, "k").where("id = rep").select("id", "s"))
     g = own.select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
     df = g.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
