@@ -1,10 +1,11 @@
-"""Order-dependent learner models: each key's rows are collected in order and folded by a built-in
-higher-order function. Only the order key and the fields the fold reads are collected."""
+"""Order-dependent learner models. A learner's rows of a concept are collected in order and folded by a built-in
+higher-order function, with only the order key and the fields the fold reads; the answers to a question, whose
+number has no bound, are folded as they are read in order."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,18 +49,42 @@ def bkt_trace(attempts: DataFrame) -> DataFrame:
     return h.select("user_id", "concept_id", F.col("z.steps.attempt_id").alias("attempt_id"), half_up(F.col("z.p")).alias("p_known"))
 
 
+def ordered_fold(rows: DataFrame, key: str, order: list[str], fields: list[str], start: Callable, step: Callable, out: Callable, schema: str) -> DataFrame:
+    """One row for each key: out(key, state), the state being start(*first row's fields) carried by step(state, *fields) over the key's rows in order.
+    Rows are sorted, which spills, and read batch by batch; a task holds a batch and one state, however many rows a key has."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for batch in batches:
+            done = []
+            for k, *values in batch[[key, *fields]].itertuples(index=False, name=None):
+                if state is None or k != now:
+                    done += [out(now, state)] if state is not None else []
+                    now, state = k, start(*values)
+                state = step(state, *values)
+            yield pd.DataFrame(done, columns=names)
+        yield pd.DataFrame([out(now, state)] if state is not None else [], columns=names)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    placed = rows.where(F.col(key).isNotNull()).select(key, *order, *fields).repartition(key).sortWithinPartitions(key, *order)
+    return placed.select(key, *fields).mapInPandas(run, schema)
+
+
 def irt_online(attempts: DataFrame, rate: float = 0.1) -> DataFrame:
-    """I-09: online item difficulty by question; the state is rounded to four digits at each answer. An
-    attempt's ability is the confidence it was given with, read as mastery."""
-    h = history(attempts.withColumn("theta", M.theta_of(F.col("confidence") * 100)), ["question_id"], ["created_at", "attempt_id"], ["theta", "correct", "difficulty"])
-    start = F.struct(M.initial_difficulty(F.col("steps")[0]["difficulty"]).alias("b"), F.lit(0).cast("long").alias("n"))
+    """I-09: online item difficulty by question; the state is rounded to four digits at each answer. An attempt's ability is the confidence it was
+    given with, read as mastery. There are few questions and very many answers, so answers are folded as they are read."""
+    rows = attempts.withColumns({"theta": M.theta_of(F.col("confidence") * 100), "y": F.col("correct").cast("double")})
 
-    def step(acc: Column, x: Column) -> Column:
-        b = acc["b"] + F.lit(rate) / F.sqrt(acc["n"] + 1) * (M.rasch(x["theta"], acc["b"]) - x["correct"].cast("double"))
-        return F.struct(half_up(M.clamp(b, -3.0, 3.0), 4).alias("b"), (acc["n"] + 1).alias("n"))
+    def start(theta: float, y: float, difficulty: int) -> tuple:
+        return {1: -0.5, 2: 0.0}.get(difficulty, 0.5), 0, difficulty
 
-    h = h.withColumn("end", F.aggregate("steps", start, step))
-    return h.select("question_id", F.col("end.b").alias("b"), F.col("end.n").alias("response_count"), M.difficulty_band(F.col("end.b")).alias("level"), F.col("steps")[0]["difficulty"].alias("label"))
+    def step(state: tuple, theta: float, y: float, difficulty: int) -> tuple:
+        b, n, label = state
+        b = max(-3.0, min(3.0, b + rate / math.sqrt(n + 1) * (1 / (1 + math.exp(-(theta - b))) - y)))
+        return math.floor(b * 1e4 + 0.5) / 1e4, n + 1, label
+
+    h = ordered_fold(rows, "question_id", ["created_at", "attempt_id"], ["theta", "y", "difficulty"], start, step, lambda k, s: (k, *s), "question_id string, b double, response_count long, label long")
+    return h.select("question_id", "b", "response_count", M.difficulty_band(F.col("b")).alias("level"), F.col("label").cast(attempts.schema["difficulty"].dataType).alias("label"))
 
 
 def fsrs_state(attempts: DataFrame) -> DataFrame:

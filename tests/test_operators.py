@@ -159,3 +159,25 @@ def test_session_evaluation_against_a_plain_fold(spark, sf):
             assert r.pre_mastery == pytest.approx(pre) and r.nlg == pytest.approx(gain, abs=1e-4)
             first = score if first is None else first
             base = score if base is None and mode == "diagnostic" else base
+
+
+@pytest.mark.parametrize("size", [3, 10_000])
+def test_ordered_fold_carries_its_state_over_batches(spark, size):
+    """Keys that span batches, end with one, and have a single row; null keys are left out."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    rows = [(k, i, k * 100 + i) for k in range(9) for i in range(k % 4 * 3 + 1)] + [(None, 1, 5)]
+    df = spark.createDataFrame(rows, "k long, i int, v long").repartition(4)
+    try:
+        spark.conf.set(conf, str(size))
+        got = {r.k: (r.first, r.folded) for r in folds.ordered_fold(df, "k", ["i"], ["v"], lambda v: (v, 0), lambda s, v: (s[0], (s[1] * 31 + v) % 1_000_003), lambda k, s: (k, *s), "k long, first long, folded long").collect()}
+        none = folds.ordered_fold(df.where("false"), "k", ["i"], ["v"], lambda v: v, lambda s, v: s, lambda k, s: (k, s), "k long, v long").count()
+    finally:
+        spark.conf.set(conf, before)
+    want = {}
+    for k in range(9):
+        state = 0
+        for v in sorted(v for key, _, v in rows if key == k):
+            state = (state * 31 + v) % 1_000_003
+        want[k] = (k * 100, state)
+    assert got == want and none == 0
