@@ -106,15 +106,6 @@ def upload_checks(spark, sf_dir) -> DataFrame:
     return views.table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(",", F.when(F.length("text") == 0, "empty"), F.when(n < 500, "short")).alias("warnings"), n.cast("long").alias("words"))
 
 
-@query("heading_fragments", sql("""select doc_id, count(*)::bigint as lines, sum((nxt is not null and starts_with(nxt, line) and nxt <> line)::int)::bigint as fragments from (select doc_id, line, lead(line) over (partition by doc_id order by i) as nxt from (select doc_id, i, trim((string_split(text, chr(10)))[i], ' ') as line from documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) as u(i)) where line <> '') group by 1"""))
-def heading_fragments(spark, sf_dir) -> DataFrame:
-    """K-15: lines that are the beginning of the next line."""
-    d = views.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("doc_id", "i", F.btrim("line").alias("line")).where("line <> ''")
-    nxt = F.lead("line").over(Window.partitionBy("doc_id").orderBy("i"))
-    d = d.withColumn("nxt", nxt)
-    return d.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.startswith("nxt", "line") & (F.col("nxt") != F.col("line"))).alias("fragments"))
-
-
 @query("weak_question_dedup", sql("select key, min(conv_id)::bigint as first_conv, count(*)::bigint as n from (select conv_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ') as key from conversations where role = 'user') group by 1"))
 def weak_question_dedup(spark, sf_dir) -> DataFrame:
     """G-04 to G-06."""
