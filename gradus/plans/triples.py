@@ -272,6 +272,13 @@ def ontology_check(spark, sf_dir) -> DataFrame:
     return views.predicates(spark).agg((F.count("*") >= 20).alias("enough"), (F.countDistinct(n) == F.count("*")).alias("distinct_names"), F.bool_and(n.rlike(r"\A[A-Z]+(_[A-Z]+)*\z")).alias("well_written"), F.bool_and(~F.col("dag") | F.col("asymmetric")).alias("dag_is_asymmetric"), (F.count_if(n.isin("IS_A", "PART_OF", "REQUIRES", "CAUSES", "RELATES_TO")) == 5).alias("complete"))
 
 
+# The sentences of explanations.
+FAR = 'Unrelated. "%s" does not appear to be connected to "%s" in the material you studied.'
+NEAR = 'You chose "%s", which is related to "%s" through "%s", but it isn\'t the same thing. The correct answer is "%s".'
+REVISIT = 'The correct answer is "%s". Revisit the section of the source document that covers "%s".'
+CHAIN = '"%s" is the right answer for "%s". In the knowledge graph the connection is: %s. Review this chain to see why they are distinct concepts.'
+
+
 @query("explanations", sql("""select edge_id, case when rel = 'COMPARED_WITH' then '' else lower(replace(rel, '_', ' ')) end as relation,
   case when rel = 'COMPARED_WITH' then 'Unrelated. "' || s || '" does not appear to be connected to "' || d || '" in the material you studied.' else 'You chose "' || s || '", which is related to "' || d || '" through "' || lower(replace(rel, '_', ' ')) || '", but it isn''t the same thing. The correct answer is "' || d || '".' end as gap,
   case when rel = 'COMPARED_WITH' then 'The correct answer is "' || d || '". Revisit the section of the source document that covers "' || s || '".' else '"' || d || '" is the right answer for "' || s || '". In the knowledge graph the connection is: ' || s || ' -[' || rel || ']-> ' || d || '. Review this chain to see why they are distinct concepts.' end as explanation
@@ -281,10 +288,10 @@ def explanations(spark, sf_dir) -> DataFrame:
     s, d = _name("src"), _name("dst")
     path = F.when(F.col("rel") != "COMPARED_WITH", F.concat(s, F.lit(" -["), "rel", F.lit("]-> "), d))
     relation = F.lower(F.replace(F.regexp_extract(F.coalesce(path, F.lit("")), r"-\[([A-Z_]+)\]->", 1), F.lit("_"), F.lit(" ")))
-    far = F.format_string('Unrelated. "%s" does not appear to be connected to "%s" in the material you studied.', s, d)
-    near = F.format_string('You chose "%s", which is related to "%s" through "%s", but it isn\'t the same thing. The correct answer is "%s".', s, d, relation, d)
-    revisit = F.format_string('The correct answer is "%s". Revisit the section of the source document that covers "%s".', d, s)
-    chain = F.format_string('"%s" is the right answer for "%s". In the knowledge graph the connection is: %s. Review this chain to see why they are distinct concepts.', d, s, path)
+    far = F.format_string(FAR, s, d)
+    near = F.format_string(NEAR, s, d, relation, d)
+    revisit = F.format_string(REVISIT, d, s)
+    chain = F.format_string(CHAIN, d, s, path)
     return views.edges(spark, sf_dir).select("edge_id", relation.alias("relation"), F.when(path.isNull(), far).otherwise(near).alias("gap"), F.when(path.isNull(), revisit).otherwise(chain).alias("explanation"))
 
 
