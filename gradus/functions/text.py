@@ -28,6 +28,11 @@ def relation_token(rel: Column) -> Column:
     return F.upper(F.regexp_replace(F.btrim(rel), r"\s+", "_"))
 
 
+def stored_type(rel: Column) -> Column:
+    """B-10: a relation in capitals, runs of white space as underscores."""
+    return F.regexp_replace(F.upper(F.coalesce(rel, F.lit(""))), r"\s+", "_")
+
+
 def triple_key(s: Column, p: Column, o: Column, chunk: Column) -> Column:
     """H-08."""
     return F.sha2(F.concat_ws("||", F.lower(s), F.upper(p), F.lower(o), F.sha2(F.btrim(chunk), 256)), 256)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.formats import csv_line
 
 _CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
 
@@ -27,6 +30,21 @@ def write_csv(df: DataFrame, path: str, metadata: dict[str, str] | None = None)
         df.sparkSession.createDataFrame(lines, "value string").coalesce(1).write.text(f"{path}_metadata")
 
 
+def export_lines(df: DataFrame, key: str, columns: list[str], order: list[str], title: str) -> DataFrame:
+    """A file's lines for each value of key (key, place, line): the title, the key, the number of rows and an empty remark, a header, then the
+    rows in order. Only counts are joined to the rows; a key's rows are numbered together."""
+    heads = df.groupBy(key).agg(F.count("*").alias("n"))
+    head = F.array(F.lit(f"# {title}"), F.concat(F.lit(f"# {key}: "), F.coalesce(F.col(key).cast("string"), F.lit(""))), F.concat(F.lit("# total_attempts: "), "n"), F.lit("#"), F.lit(",".join(columns)))
+    heads = heads.select(key, F.posexplode(head).alias("place", "line"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order)) + 4
+    return heads.unionByName(df.select(key, place.alias("place"), csv_line(*[F.col(c) for c in columns]).alias("line")))
+
+
+def write_lines(lines: DataFrame, key: str, path: str) -> None:
+    """Lines (key, place, line) as a folder of text files, one folder a key and its lines in order."""
+    lines.repartition(key).sortWithinPartitions(key, "place").select(key, "line").write.partitionBy(key).text(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
