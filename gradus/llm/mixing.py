@@ -66,7 +66,8 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
     spark = docs.sparkSession
     size = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD_SQL), F.lit(0))).cast("long")
     d = docs.withColumns({"_size": size, "_key": _name(source_col), "_tie": F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"))), "_digest": F.md5(F.coalesce(F.col(text_col), F.lit("")))})
-    d = d.withColumn("_part", F.conv(F.substring("_tie", 9, 8), 16, 10).cast("long"))
+    # by id and text, so that rows without an id or of one id spread too; only rows that are equal in both share a bucket for sure
+    d = d.withColumn("_part", F.conv(F.substring(F.md5(F.concat_ws("|", "_tie", "_digest")), 9, 8), 16, 10).cast("long"))
     sizes = d.groupBy(F.col(source_col).alias("source"), "_key").agg(F.count("*").alias("n_docs"), F.sum("_size").alias("source_size"))
     n_docs = docs.count()
     parts = max(1, -(-n_docs // BUCKET_ROWS))
@@ -104,7 +105,7 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 def op10_sql() -> str:
     return rf"""
 with d as (select doc_id, text, source, case when source is null then 'n' else 's' || source end as k, len(regexp_extract_all(coalesce(text, ''), '{WORD_SQL}'))::bigint as size, md5('7|' || doc_id::varchar) as tie from documents),
-b as (select *, ('0x' || substr(tie, 9, 8))::bigint % greatest(1, (select (count(*) + {BUCKET_ROWS - 1}) // {BUCKET_ROWS} from documents)) as bucket from d),
+b as (select *, ('0x' || substr(md5(tie || '|' || md5(coalesce(text, ''))), 9, 8))::bigint % greatest(1, (select (count(*) + {BUCKET_ROWS - 1}) // {BUCKET_ROWS} from documents)) as bucket from d),
 s as (select k, source, sum(size)::bigint as source_size, row_number() over (order by source is null, source) as rn from d group by k, source),
 c as (select *, 2.0::double * source_size as cap, [3.0::double, 1.0::double, 2.0::double][(rn - 1) % 3 + 1] as weight from s),
 l as (select *, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, rn rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by cap / weight, rn rows between current row and unbounded following) as level from c),

@@ -421,3 +421,14 @@ def test_spread_join_equals_a_join(spark, how):
     assert sorted(map(str, found.select("id", "k", "v").collect())) == sorted(map(str, left.join(right, "k", how).select("id", "k", "v").collect()))
     empty = left.limit(0)
     assert spread_join(empty, right, "k", ["id"], counts.limit(0), 0, how).count() == 0
+
+
+def test_mixing_spreads_rows_without_an_id(spark, monkeypatch):
+    """Rows whose ids are null or all the same are dealt over buckets by their texts, and come near the target all the same."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 100)
+    rows = [(None if i % 2 else 7, f"text number {i} of some words", "a") for i in range(2000)]
+    placed = mixing._placed(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source", 7)
+    per = [r["count"] for r in placed.groupBy("_bucket").count().collect()]
+    assert len(per) == 20 and max(per) < 200
+    got = placed.agg({"copies": "sum", "target": "max"}).first()
+    assert abs(got["sum(copies)"] * 6 - got["max(target)"]) <= 12
