@@ -12,9 +12,9 @@ from .packing import op5_packing
 from .pii import op3_pii
 from .quality import op6_quality
 from .resampling import op13_resampling, op13_sql
-from .substrings import op9_substrings
+from .substrings import op9_sql, op9_substrings
 from .toxicity import op4_toxicity
 from .url_rules import op7_sql, op7_url_rules
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_embeddings, op3_pii, op4_toxicity, op5_packing, op6_quality, op7_url_rules, op8_minhash, op9_substrings, op10_mixing, op11_search, op12_decontamination, op13_resampling)}
-ORACLE_SQL = {"op1_license_scan": op1_sql(), "op2_embeddings": op2_sql(), "op7_url_rules": op7_sql(), "op10_mixing": op10_sql(), "op11_search": op11_sql(), "op12_decontamination": op12_sql(), "op13_resampling": op13_sql()}
+ORACLE_SQL = {"op1_license_scan": op1_sql(), "op2_embeddings": op2_sql(), "op7_url_rules": op7_sql(), "op9_substrings": op9_sql(), "op10_mixing": op10_sql(), "op11_search": op11_sql(), "op12_decontamination": op12_sql(), "op13_resampling": op13_sql()}

@@ -192,3 +192,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op9_substrings(spark, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False).drop("kept")
+
+
+def op9_sql() -> str:
+    """Windows by their md5; a document's words that no repeated window covers, joined again."""
+    return rf"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+n as (select doc_id, i, md5(array_to_string(w[i:i + {WINDOW - 1}], ' ')) as k from d, unnest(range(1, len(w) - {WINDOW - 2})) as u(i)),
+f as (select k, min(doc_id) as least from n group by 1 having min(doc_id) < max(doc_id)),
+gone as (select distinct doc_id, i + t as j from (select n.doc_id, n.i from n join f on n.k = f.k and n.doc_id > f.least), range({WINDOW}) as r(t)),
+kept as (select w.doc_id, count(*) as n, string_agg(word, ' ' order by w.j) as words from (select doc_id, j, w[j] as word from d, unnest(range(1, len(w) + 1)) as u(j)) w anti join gone on gone.doc_id = w.doc_id and gone.j = w.j group by 1)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(kept.n, 0))::bigint as n_removed, sha256(coalesce(kept.words, '')) as kept_sha256 from d left join kept on kept.doc_id = d.doc_id"""
