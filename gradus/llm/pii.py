@@ -1,13 +1,14 @@
 """PII by bootstrapped contextual extraction.
 
 Base entities (e-mail, IP address, card and phone numbers by pattern and checksum) are the seeds.
-The words before a seed induce a lexical pattern. Over all documents, patterns and the instances that
+Long tokens of letters and digits behind an assignment or a label are seeds too, of secrets; unlike base entities they are no spans by themselves.
+The two words before a seed induce a lexical pattern, and so does the last of them alone if it is a word of letters. Over all documents, patterns and the instances that
 stand in their slot form a graph for each kind; Spark scores it in rounds: a pattern by the share of
 its different instances that are trusted, an instance by its best patterns. Patterns whose score and
 number of seeds are high in the end then mark identifiers that no base pattern knows.
 
 Scores are kept in tables and joined; a pattern with very many instances is summed before it is
-shuffled. Nothing but the number of changed rows reaches the driver.
+shuffled, and dealt over tasks where it is joined. Nothing but the number of changed rows reaches the driver.
 
 Defined results: null and empty texts have no spans; a text that is repeated has the same spans in
 each row; null ids stay; other columns are ignored; an empty table gives no rows.
@@ -27,8 +28,9 @@ from pyspark.sql import types as T
 from .common import materialise, spread_join, table, text_key
 
 KINDS = ("email", "ip", "card", "phone")
-#: Kinds of spans that learned patterns add, in the order of KINDS.
-LEARNED = tuple(f"{k}_like" for k in KINDS)
+SEEDS = (*KINDS, "secret")
+#: Kinds of spans that learned patterns add, in the order of SEEDS.
+LEARNED = tuple(f"{k}_like" for k in SEEDS)
 ROUNDS, MIN_SCORE, MIN_SEEDS = 3, 0.6, 5
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -37,7 +39,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ODD = re.compile(r"[\x20-]")
 _SLOT = re.compile(r"[^\x20\x09-\x0D]+")
-_STRIP = ".,;:!?\"'()[]{}<>"
+_STRIP = ".,;:!?\"'()[]{}<>#$%&*|"
+#: A token that seeds secrets, and the shortest last word that is a pattern on its own.
+_SECRET = re.compile(r"(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])[A-Za-z0-9_+/=-]{24,}")
+LONE = 3
 #: Characters that make a word without digits look like a handle or an address.
 _JOINERS = "@_"
 
@@ -87,35 +92,41 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, str | None, int, int]]:
-    """(pattern, instance, seed kind or None, start, end): the two words before an identifier-like token
-    or a base entity. Tokens like identifiers have five characters at least, of which one is a digit or joins names."""
+    """(pattern, instance, seed kind or None, start, end): the two words before an identifier-like token or a base entity and, as `* word`, the
+    last of them alone. A word that ends in a colon keeps it. Tokens like identifiers have five characters at least, of which one is a digit or
+    joins names; behind `=` or a colon, long ones of letters and digits seed secrets."""
     out = []
     taken = [(a, b) for _, a, b in spans]
 
     tokens = [(m.start(), m.end()) for m in _SLOT.finditer(text)] if spans or any(c.isdigit() or c in _JOINERS for c in text) else []
     starts = [a for a, _ in tokens]
 
-    def before(start: int) -> str | None:
+    def before(start: int) -> list[str]:
         if "\n" in text[max(0, start - 2) : start]:
-            return None
+            return []
         words, k = [], bisect_left(starts, start) - 1
         while k >= 0 and len(words) < 2:
             a, b = tokens[k]
-            if w := text[a : min(b, start)].strip(_STRIP).lower():
-                words.append(w)
+            whole = text[a : min(b, start)]
+            if w := whole.strip(_STRIP).lower():
+                words.append(f"{w}:" if whole.endswith(":") else w)
             k -= 1
-        return " ".join(reversed(words)) if len(words) == 2 and not any(c.isdigit() for w in words for c in w) else None
+        if not words or any(c.isdigit() for c in words[0]):
+            return []
+        pair = len(words) == 2 and not any(c.isdigit() for c in words[1])
+        alone = sum(map(str.isalpha, words[0])) >= LONE
+        return ([f"{words[1]} {words[0]}"] if pair else []) + ([f"* {words[0]}"] if alone else [])
 
     for kind, a, b in spans:
-        if p := before(a):
-            out.append((p, text[a:b], kind, a, b))
+        out += [(p, text[a:b], kind, a, b) for p in before(a)]
     for a, b in tokens:
         token = text[a:b]
         if len(token) < 5 or not any(c.isdigit() or c in _JOINERS for c in token):
             continue
         a, b = a + len(token) - len(token.lstrip(_STRIP)), b - (len(token) - len(token.rstrip(_STRIP)))
-        if b - a >= 5 and not any(x < b and a < y for x, y in taken) and (p := before(a)):
-            out.append((p, text[a:b], None, a, b))
+        if b - a >= 5 and not any(x < b and a < y for x, y in taken):
+            long = _SECRET.fullmatch(text, a, b)
+            out += [(p, text[a:b], "secret" if long and p[-1] in "=:" else None, a, b) for p in before(a)]
     return out
 
 
@@ -132,20 +143,28 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": batch["id"], "h": batch["h"], "spans": [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s, _ in out], "slots": [[{"pattern": p, "instance": i, "kind": k, "start": a, "end": b} for p, i, k, a, b in c] for _, c in out]})
 
 
+def _deal(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """left joined with right's one row for each key; keys that hold many of left's rows are dealt over tasks."""
+    return spread_join(left, right, key, [by], left.groupBy(key).agg(F.count("*").alias("n")), left.count())
+
+
 def score_patterns(slots: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """slots: (pattern, instance, kind). Rows (kind, pattern, score, seeds): the pattern-instance graph after
     so many rounds. A pattern scores (sum of its instances' scores) / (different instances + 2)."""
+    if rounds < 1:
+        raise ValueError("rounds must be positive")
     edges = materialise(slots.groupBy("pattern", "instance").agg(F.max("kind").alias("seed")))
-    seeded = edges.where("seed is not null").select("pattern", F.col("seed").alias("kind")).distinct()
-    edges = materialise(edges.join(seeded, "pattern"))  # only patterns that some seed of the kind stands in
-    trust = edges.withColumn("trust", (F.coalesce(F.col("seed") == F.col("kind"), F.lit(False))).cast("double"))
+    seeded = edges.where("seed is not null").groupBy("pattern").agg(F.collect_set("seed").alias("kinds"))  # five kinds at most
+    edges = _deal(edges, seeded, "pattern", "instance").withColumn("kind", F.explode("kinds")).drop("kinds")  # only patterns that some seed of the kind stands in
+    same = F.coalesce(F.col("seed") == F.col("kind"), F.lit(False))
+    edges = materialise(edges.select("kind", "pattern", "instance", "seed", F.concat_ws(" ", "kind", "pattern").alias("node"), F.concat_ws(" ", "kind", "instance").alias("filler")))
+    trust = edges.withColumn("trust", same.cast("double"))
     for i in range(rounds):
-        patterns = trust.groupBy("kind", "pattern").agg((F.sum("trust") / (F.count("*") + 2)).alias("score"), F.count(F.when(F.col("seed") == F.col("kind"), 1)).alias("seeds"))
-        if i + 1 == rounds:
-            return materialise(patterns)
-        best = edges.join(patterns, ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.99)) * 0.5)))).alias("found"))
-        trust = materialise(edges.join(best, ["kind", "instance"]).withColumn("trust", F.when(F.col("seed") == F.col("kind"), 1.0).when(F.col("seed").isNotNull(), 0.0).otherwise(F.col("found"))).drop("found"))
-    raise ValueError("rounds must be positive")
+        patterns = materialise(trust.groupBy("kind", "pattern", "node").agg((F.sum("trust") / (F.count("*") + 2)).alias("score"), F.count(F.when(same, 1)).alias("seeds")))
+        if i + 1 < rounds:
+            best = _deal(edges, patterns.select("node", "score"), "node", "instance").groupBy("filler").agg((1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.99)) * 0.5)))).alias("found"))
+            trust = materialise(_deal(edges, best, "filler", "pattern").withColumn("trust", F.when(same, 1.0).when(F.col("seed").isNotNull(), 0.0).otherwise(F.col("found"))).drop("found"))
+    return patterns.drop("node")
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -157,10 +176,13 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _learned(found: DataFrame, min_score: float, min_seeds: int) -> DataFrame:
     """(h, more): the spans that learned patterns add to a text."""
-    slots = found.select("h", F.explode("slots").alias("s")).select("h", "s.*").groupBy("h", "start", "end").agg(F.min_by(F.struct("pattern", "instance", "kind"), F.struct(F.array_position(F.lit(list(KINDS)), F.coalesce("kind", F.lit(""))), "pattern")).alias("s")).select("h", "start", "end", "s.*")
+    slots = found.select("h", F.explode("slots").alias("s")).select("h", "s.*")
+    order = F.struct(F.array_position(F.lit(list(SEEDS)), F.coalesce("kind", F.lit(""))), "instance")
+    slots = materialise(slots.groupBy("h", "start", "end", "pattern").agg(F.min_by(F.struct("instance", "kind"), order).alias("s")).select("h", "start", "end", "pattern", "s.*"))  # repeated texts once
     patterns = score_patterns(slots.select("pattern", "instance", "kind")).where((F.col("score") >= min_score) & (F.col("seeds") >= min_seeds))
-    new = slots.where("kind is null").drop("kind").join(patterns, "pattern")
-    new = new.groupBy("h", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+    chosen = patterns.groupBy("pattern").agg(F.collect_list(F.struct("score", "kind")).alias("found"))  # five kinds at most
+    new = _deal(slots.where("kind is null or kind = 'secret'"), chosen, "pattern", "h").withColumn("f", F.explode("found")).where("kind is null or kind = f.kind")
+    new = new.groupBy("h", "start", "end").agg(F.max("f").getField("kind").alias("kind"))
     return new.groupBy("h").agg(F.collect_list(F.struct(F.concat("kind", F.lit("_like")).alias("kind"), "start", "end")).alias("more"))
 
 

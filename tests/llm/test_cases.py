@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import collections
+import hashlib
 import math
 import random
 
@@ -432,3 +433,41 @@ def test_mixing_spreads_rows_without_an_id(spark, monkeypatch):
     assert len(per) == 20 and max(per) < 200
     got = placed.agg({"copies": "sum", "target": "max"}).first()
     assert abs(got["sum(copies)"] * 6 - got["max(target)"]) <= 12
+
+
+def test_pii_learns_secrets_and_single_words(spark):
+    """Secrets are found where long tokens stand often enough behind an assignment, shorter ones there too; the same tokens elsewhere are
+    left alone; one word is a pattern where the words before it differ."""
+    sha = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(12)]
+    rows = [(i, f'word{chr(97 + i)} token = "{sha[i]}"### and more') for i in range(8)]
+    rows += [(20, 'the token = "abc_12" here'), (21, f"a commit {sha[9]} of it"), (22, f'other key = "{sha[10]}" once')]
+    rows += [(30 + i, f"{w} phone +1 (555) 010-99{i}0 now") for i, w in enumerate(["my", "their", "home", "work", "old", "new", "spare"])]
+    rows += [(40, "second phone 555-0199 now"), (41, "in room 12345 now")]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == [("secret_like", 15, 55)] for i in range(8))
+    assert got[20] == [("secret_like", 13, 19)] and got[21] == [] and got[22] == []
+    assert got[40] == [("phone_like", 13, 21)] and got[41] == []
+    assert all([k for k, _, _ in got[30 + i]] == ["phone"] for i in range(7))
+
+
+def test_pii_scores_against_a_plain_count(spark):
+    """Pattern scores against the definition, in plain Python, on a graph with a hot pattern and a hot instance."""
+    rng = random.Random(3)
+    slots = [(f"p{rng.choice([0, 0, 0, rng.randrange(12)])}", f"i{rng.choice([0, rng.randrange(60)])}") for _ in range(400)]
+    seeds = {f"i{i}": rng.choice(pii.SEEDS) for i in range(0, 60, 2)}
+    edges = sorted(set(slots))
+    want = {}
+    for kind in pii.SEEDS:
+        mine = {p for p, i in edges if seeds.get(i) == kind}
+        graph = [(p, i) for p, i in edges if p in mine]
+        trust = {e: float(seeds.get(e[1]) == kind) for e in graph}
+        for _ in range(3):
+            score = {p: sum(t for (q, _), t in trust.items() if q == p) / (sum(q == p for q, _ in graph) + 2) for p in mine}
+            odds = {i: math.prod(1 - min(score[q], 0.99) * 0.5 for q, j in graph if j == i) for _, i in graph}
+            trust = {(p, i): 1.0 if seeds.get(i) == kind else 0.0 if i in seeds else 1 - odds[i] for p, i in graph}
+        want |= {(kind, p): (score[p], sum(q == p and seeds.get(i) == kind for q, i in graph)) for p in mine}
+    df = spark.createDataFrame([(p, i, seeds.get(i)) for p, i in slots], "pattern string, instance string, kind string")
+    got = {(r.kind, r.pattern): (r.score, r.seeds) for r in pii.score_patterns(df).collect()}
+    assert got.keys() == want.keys()
+    for k, (score, n) in want.items():
+        assert got[k][0] == pytest.approx(score) and got[k][1] == n
