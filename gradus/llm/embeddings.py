@@ -32,8 +32,8 @@ from .common import components, materialise, table
 COSINE = 0.93
 #: Vectors sampled (about so many, by a hash) over the whole table for the upper levels, centres of a label, and vectors of a block.
 SAMPLE, CENTRES, BLOCK = 8192, 32, 2048
-#: Slack on bounds; decisions are made by the cosine itself.
-SLACK = 1e-9
+#: Slack on bounds, over the error of a small distance (2e-8); decisions are made by the cosine itself.
+SLACK = 1e-7
 
 
 def unit(rows) -> tuple[np.ndarray, np.ndarray]:
