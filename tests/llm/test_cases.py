@@ -68,6 +68,14 @@ def test_urls(spark):
     assert url_rules.url_verdicts(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_urls_of_the_query_follow_the_contract(spark, tmp_path):
+    """The longest rule that fits decides, also where the method would block."""
+    urls = ["http://a.net/de/x", "http://example.net/de/7", "http://b.example.net/de/8", "http://net/de/login", "http://a.net/DE/login", "http://spam-farm.net/de/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.op7_url_rules(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate([("net/de/", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), (None, "block"), ("net/de/", "allow")]))
+
+
 def test_every_url_that_a_pattern_fits_fetches_it(spark):
     urls = {"http://a.b/log-in/x": "log-in", "http://a.b/login": "login", "http://a.b/adserver?x": "adserver", "http://my-casino.b/": "casino", "http://a.b/x;JSESSIONID=1": "session-java", "http://a.b/?PHPSESSID=1": "session-php", "http://a.b/cartoon": None}
     got = url_rules.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
