@@ -5,20 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import character_pairs
 from ..sources.files import written
 
 #: Pairs of relation types that contradict each other between the same nodes.
 MUTEX = [("IS_A", "CONTRASTS_WITH"), ("PART_OF", "CONTAINS"), ("CAUSES", "CAUSED_BY"), ("EXAMPLE_OF", "CONTRASTS_WITH")]
 
 
-def undirected(edges: DataFrame) -> DataFrame:
+def undirected(edges: DataFrame, *scope: str) -> DataFrame:
     """Distinct pairs (a, b) in both directions, without self-loops."""
     both = F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b"))))
-    return edges.where("src <> dst").select(both.alias("e")).select("e.a", "e.b").distinct()
+    return edges.where("src <> dst").select(*scope, both.alias("e")).select(*scope, "e.a", "e.b").distinct()
 
 
 def k_hop(pairs: DataFrame, depth: int, starts: DataFrame | None = None) -> DataFrame:
@@ -36,6 +37,45 @@ def k_hop(pairs: DataFrame, depth: int, starts: DataFrame | None = None) -> Data
     return reached
 
 
+def _ways(steps: DataFrame, to: Column, scope: str) -> DataFrame:
+    """(scope, start, ways) for each node that a step leads from: ways is the scope's map from a node to its array of `to`."""
+    ways = steps.groupBy(scope, "a").agg(F.collect_list(to).alias("to")).groupBy(scope).agg(F.map_from_entries(F.collect_list(F.struct("a", "to"))).alias("ways"))
+    return ways.select(scope, F.explode(F.map_keys("ways")).alias("start"), "ways")
+
+
+def _onward(front: Column, step) -> Column:
+    """The arrays of `step`, of each element of the front, as one."""
+    return F.flatten(F.transform(front, lambda f: F.coalesce(step(f), F.array())))
+
+
+def hops_within(pairs: DataFrame, depth: int, scope: str = "doc") -> DataFrame:
+    """J-01, J-02 where all pairs (scope, a, b) lie within a scope: rows (scope, start, near), near being what is up to `depth` away as an array of
+    (dist, node). The neighbours of a scope's nodes are one map, in which the hops are array expressions; nothing is shuffled for a hop.
+    A row holds one scope, whose size is the bound."""
+    h = _ways(pairs.where("a <> b").select(scope, "a", "b").distinct(), F.col("b"), scope)
+    h = h.withColumn("at1", F.col("ways")[F.col("start")])
+    for d in range(2, depth + 1):
+        seen = F.concat(F.array("start"), *[f"at{k}" for k in range(1, d)])
+        h = h.withColumn(f"at{d}", F.array_except(_onward(F.col(f"at{d - 1}"), lambda n: F.col("ways")[n]), seen))
+    near = [F.transform(f"at{d}", lambda n: F.struct(F.lit(d).alias("dist"), n.alias("node"))) for d in range(1, depth + 1)]
+    return h.select(scope, "start", F.concat(*near).alias("near"))
+
+
+def paths_within(edges: DataFrame, depth: int = 4, scope: str = "doc") -> DataFrame:
+    """J-05 as `shortest_paths` from every node, where all edges (scope, src, dst, rel) lie within a scope; hops are array expressions as in `hops_within`."""
+    step = _steps(edges, scope).groupBy(scope, "a", "b").agg(F.min("w").alias("w"))
+    h = _ways(step, F.struct(F.col("b").alias("node"), "w"), scope)
+    first = F.transform(F.col("ways")[F.col("start")], lambda x: F.struct(x["node"].alias("node"), F.concat(F.col("start").cast("string"), x["w"]).alias("path")))
+    h = h.withColumn("at1", first).withColumn("seen1", F.concat(F.array("start"), F.col("at1.node")))
+    for d in range(2, depth + 1):
+        new = lambda f: F.transform(F.filter(F.col("ways")[f["node"]], lambda x: ~F.array_contains(F.col(f"seen{d - 1}"), x["node"])), lambda x: F.struct(x["node"].alias("node"), F.concat(f["path"], x["w"]).alias("path")))
+        h = h.withColumn("all", F.sort_array(F.flatten(F.transform(f"at{d - 1}", new))))
+        h = h.withColumn(f"at{d}", F.filter("all", lambda x, i: (i == 0) | (F.get("all", i - 1)["node"] != x["node"])))
+        h = h.withColumn(f"seen{d}", F.concat(f"seen{d - 1}", F.col(f"at{d}.node")))
+    found = [F.transform(f"at{d}", lambda x: F.struct(x["node"].alias("node"), F.lit(d).alias("dist"), x["path"].alias("path"))) for d in range(1, depth + 1)]
+    return h.select("start", F.explode(F.concat(*found)).alias("x")).select("start", "x.*")
+
+
 def k_hop_limited(pairs: DataFrame, depth: int, most: int) -> DataFrame:
     """J-02 with its limit: of the nodes at the end of a walk of each length the `most` first by id, each with the least length it was
     taken at. Walks may come back to their start, which is not a result."""
@@ -50,11 +90,17 @@ def k_hop_limited(pairs: DataFrame, depth: int, most: int) -> DataFrame:
     return taken.groupBy("start", "node").agg(F.min("dist").alias("dist"))
 
 
+def _steps(edges: DataFrame, *scope: str) -> DataFrame:
+    """(a, b, w): the edges in both directions, written as a step from a to b."""
+    there = F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), F.concat(F.lit(" -["), "rel", F.lit("]-> "), F.col("dst").cast("string")).alias("w"))
+    back = F.struct(F.col("dst").alias("a"), F.col("src").alias("b"), F.concat(F.lit(" <-["), "rel", F.lit("]- "), F.col("src").cast("string")).alias("w"))
+    return edges.where("src <> dst").select(*scope, F.explode(F.array(there, back)).alias("e")).select(*scope, "e.*")
+
+
 def shortest_paths(edges: DataFrame, depth: int = 4, starts: DataFrame | None = None) -> DataFrame:
     """J-05: for each pair of nodes, the first of the shortest undirected paths, written a -[R]- b; from every node or from those of `starts` (start).
     All hops but the last are written."""
-    both = edges.where("src <> dst").select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), F.concat(F.lit(" -["), "rel", F.lit("]-> "), F.col("dst").cast("string")).alias("w")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b"), F.concat(F.lit(" <-["), "rel", F.lit("]- "), F.col("src").cast("string")).alias("w")))).alias("e")).select("e.*")
-    step = written(both.groupBy("a", "b").agg(F.min("w").alias("w")))
+    step = written(_steps(edges).groupBy("a", "b").agg(F.min("w").alias("w")))
     first = step.select(F.col("a").alias("start"), F.col("b").alias("node"), F.lit(1).alias("dist"), F.concat(F.col("a").cast("string"), "w").alias("path"))
     reached = front = first if starts is None else written(first.join(starts.select("start").distinct(), "start", "left_semi"))
     for d in range(2, depth + 1):
@@ -129,6 +175,22 @@ def bigrams(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return g.groupBy(*keys, "gram").agg(F.count("*").cast("double").alias("c"))
 
 
+def gram_counts(names: DataFrame, scope: str = "doc") -> DataFrame:
+    """H-10: (scope, grams) of names (scope, node, name): each node with its character pairs as numbers, their counts as a map, the norm of these,
+    and whether no pair is there twice."""
+    code = lambda g: F.ascii(g) * 128 + F.ascii(F.substring(g, 2, 1))
+    n = names.select(scope, "node", F.transform(character_pairs(F.col("name")), code).alias("l")).withColumn("own", F.array_distinct("l"))
+    c = n.select(scope, "node", "own", (F.size("own") == F.size("l")).alias("plain"), F.map_from_arrays("own", F.transform("own", lambda g: F.size(F.filter("l", lambda h: h == g)).cast("double"))).alias("c"))
+    norm = F.sqrt(F.aggregate(F.map_values("c"), F.lit(0.0), lambda s, x: s + x * x))
+    return c.select(scope, F.struct("node", "own", "plain", "c", norm.alias("norm")).alias("g")).groupBy(scope).agg(F.collect_list("g").alias("grams"))
+
+
+def gram_dot(x: Column, y: Column) -> Column:
+    """The sum of products of two nodes' counts: where all counts are one, the number of pairs in common."""
+    counted = F.aggregate(F.map_keys(x["c"]), F.lit(0.0), lambda s, g: s + x["c"][g] * F.coalesce(y["c"][g], F.lit(0.0)))
+    return F.when(x["plain"] & y["plain"], F.size(F.array_intersect(x["own"], y["own"])).cast("double")).otherwise(counted)
+
+
 def repair_duplicates(names: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """G-07: nodes with one canonical name become the first of them; edges are pointed to it, made distinct, and self-loops go.
     names: (node, key)."""
