@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import components, fuzzy
 from ..sources import views
-from ..sources.files import written
 from .views_sql import sql
 
 QUERIES, SQL = {}, {}
@@ -72,9 +71,6 @@ def _steps_sql(depth: int) -> str:
 @query("answer_paths", sql("select id, start, node as end, dist::int as dist, array_to_string(path, '; ') as path from (select p.*, row_number() over (partition by id order by dist, start, node, path) as r from (" + " union all ".join(f"select *, {d} as dist from p{d}" for d in range(1, 5)) + ") p join ends using (id, node)) where r = 1", "edges", "nodes", more=_steps_sql(4)))
 def answer_paths(spark, sf_dir) -> DataFrame:
     """J-05: how the right answer's concept leads to the student's, both named by texts: the first of the shortest ways of at most four relations."""
-    names = views.nodes(spark, sf_dir).withColumn("doc", views.doc_of(F.col("node")))
-    asked = written(answer_pairs(spark, sf_dir))
-    ends = [fuzzy.named_nodes(asked.select("doc", "id", F.col(c).alias("text")), names).select("id", "node") for c in ("correct", "student")]
-    steps = written(fuzzy.labelled_steps(views.edges(spark, sf_dir), names))
-    p = fuzzy.paths_between(*ends, steps)
+    asked = views.by_doc(answer_pairs(spark, sf_dir), views.doc_parts(spark, sf_dir))
+    p = fuzzy.paths_within(asked.withColumnsRenamed({"correct": "first", "student": "last"}), views.doc_nodes(spark, sf_dir), views.doc_edges(spark, sf_dir))
     return p.select("id", "start", "end", "dist", F.array_join("path", "; ").alias("path"))

@@ -1,6 +1,6 @@
 """Plans that keep a document's work in its row."""
 
-from gradus.plans import intake, triples
+from gradus.plans import graphs, intake, lookups, paths, triples
 from gradus.sources import views
 
 
@@ -29,3 +29,23 @@ def test_near_pairs(spark):
 
 def test_texts_are_read_whole(spark, sf):
     assert views.texts(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").count()
+
+
+def test_paths_of_answers_write_nothing(spark, sf):
+    """Frontiers and their paths are not written; only the two tables are read."""
+    files = {f.rsplit("/", 1)[-1] for f in paths.answer_paths(spark, sf).inputFiles()}
+    assert files == {"orders.parquet", "lineitem.parquet"}
+
+
+def test_partitions_grow_with_the_lines(spark, sf, monkeypatch):
+    monkeypatch.setattr(views, "PART_LINES", 500)
+    lines = views.table(spark, sf, "lineitem").count()
+    assert views.doc_edges(spark, sf).rdd.getNumPartitions() == views.doc_parts(spark, sf) == -(-lines // 500) > 4
+
+
+def test_requests_take_theirs_from_one_array(spark, sf):
+    assert plan_of(lookups.asked(spark, sf)).count("Window") == 1
+
+
+def test_cycles_are_searched_many_documents_at_a_time(spark, sf):
+    assert "FlatMapGroupsInPandas" not in plan_of(graphs.cycle_filter(spark, sf))
