@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import character_pairs
 from ..sources.files import written
@@ -153,12 +152,15 @@ def break_cycles(edges: DataFrame, graph_col: str = "graph") -> DataFrame:
     """J-06, J-07: edges with `kept`. Of each graph's acyclic relations, the back edges of a depth-first search go.
     A graph is what one document's chunks gave, so a group is bounded by a document."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("edge_id")
-        gone = back_edges(list(pdf[pdf["dag"]][["src", "dst", "edge_id"]].itertuples(index=False, name=None)))
-        return pdf.assign(kept=~pdf["edge_id"].isin(gone))
+    def run(graphs: pd.Series) -> pd.Series:
+        return graphs.map(lambda dag: sorted(back_edges([(e["src"], e["dst"], e["edge_id"]) for e in dag])))
 
-    return edges.groupBy(graph_col).applyInPandas(run, T.StructType([*edges.schema.fields, T.StructField("kept", T.BooleanType())]))
+    rest = [c for c in edges.columns if c != graph_col]
+    g = edges.groupBy(graph_col).agg(F.collect_list(F.struct(*rest)).alias("l"))
+    # only the acyclic relations of a graph go to Python, many graphs at a time
+    dag = F.array_sort(F.transform(F.filter("l", lambda e: e["dag"]), lambda e: F.struct(e["edge_id"].alias("edge_id"), e["src"].alias("src"), e["dst"].alias("dst"))))
+    g = g.withColumn("gone", F.pandas_udf(run, "array<long>")(dag))
+    return g.select(graph_col, "gone", F.explode("l").alias("e")).select(*[F.col(c) if c == graph_col else F.col(f"e.{c}").alias(c) for c in edges.columns], (~F.array_contains("gone", F.col("e.edge_id"))).alias("kept"))
 
 
 def adjacency_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
