@@ -87,21 +87,22 @@ def irt_online(attempts: DataFrame, rate: float = 0.1) -> DataFrame:
     return h.select("question_id", "b", "response_count", M.difficulty_band(F.col("b")).alias("level"), F.col("label").cast(attempts.schema["difficulty"].dataType).alias("label"))
 
 
+def fsrs_step(acc: Column, x: Column) -> Column:
+    """I-16: (s, d, at) after a review (created_at, correct)."""
+    now = F.unix_micros(x["created_at"].cast("timestamp"))
+    days = F.coalesce((now - acc["at"]) / 8.64e10, F.lit(0.0))
+    r = M.retrievability(days, acc["s"])
+    up = acc["s"] * (F.lit(1.0) + F.exp(F.lit(0.9)) * (F.lit(11.0) - acc["d"]) * F.pow(acc["s"], F.lit(-0.2)) * (F.exp(F.lit(1.0) - r) - F.lit(1.0)))
+    s = F.when(x["correct"], F.greatest(F.lit(0.5), up)).otherwise(F.greatest(F.lit(0.5), acc["s"] / 2))
+    d = M.clamp(F.when(x["correct"], acc["d"] - 0.15).otherwise(acc["d"] + 0.3), 1.0, 10.0)
+    return F.struct(half_up(s, 3).alias("s"), half_up(d, 2).alias("d"), now.alias("at"))
+
+
 def fsrs_state(attempts: DataFrame) -> DataFrame:
     """I-16, I-17: stability and difficulty after each of a learner's reviews of a concept."""
     h = history(attempts, ["user_id", "concept_id"], ["created_at", "attempt_id"], ["correct"])
     start = F.struct(F.lit(1.0).alias("s"), F.lit(5.0).alias("d"), F.lit(None).cast("long").alias("at"))
-
-    def step(acc: Column, x: Column) -> Column:
-        now = F.unix_micros(x["created_at"].cast("timestamp"))
-        days = F.coalesce((now - acc["at"]) / 8.64e10, F.lit(0.0))
-        r = M.retrievability(days, acc["s"])
-        up = acc["s"] * (F.lit(1.0) + F.exp(F.lit(0.9)) * (F.lit(11.0) - acc["d"]) * F.pow(acc["s"], F.lit(-0.2)) * (F.exp(F.lit(1.0) - r) - F.lit(1.0)))
-        s = F.when(x["correct"], F.greatest(F.lit(0.5), up)).otherwise(F.greatest(F.lit(0.5), acc["s"] / 2))
-        d = M.clamp(F.when(x["correct"], acc["d"] - 0.15).otherwise(acc["d"] + 0.3), 1.0, 10.0)
-        return F.struct(half_up(s, 3).alias("s"), half_up(d, 2).alias("d"), now.alias("at"))
-
-    h = h.withColumn("end", F.aggregate("steps", start, step))
+    h = h.withColumn("end", F.aggregate("steps", start, fsrs_step))
     return h.select("user_id", "concept_id", F.col("end.s").alias("stability"), F.col("end.d").alias("difficulty"), half_up(9 * F.col("end.s") * (1 / 0.9 - 1), 1).alias("next_review_days"))
 
 

@@ -6,16 +6,17 @@ key are sorted inside a micro-batch; micro-batches are expected in order of time
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import formulas as M
-from .state import answers, latest
+from .state import answers, folded, latest
 
 SESSION_ANSWERS, IDLE = 5, "24 hours"
 HOUR_MS = 3_600_000
@@ -123,40 +124,20 @@ def session_evaluations(stream: DataFrame, length: int = SESSION_ANSWERS, idle:
     return latest(s.withColumn("version", 2 * F.col("answers") + F.col("closed").cast("int")), ["session_id"], "version", at).drop("version")
 
 
-class Renewal(StatefulProcessor):
-    """A lookup finds its entry if that is younger than `ttl_ms`, else it renews it. Times are those of the lookups; the store itself drops an
-    entry that long after it was written."""
-
-    def __init__(self, names: list[str], ttl_ms: int):
-        self.names, self.ttl_ms = names, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entry = handle.getValueState("entry", "at long", self.ttl_ms)
-        self.counts = handle.getValueState("counts", "renewals long, hits long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        renewals, hits = self.counts.get() if self.counts.exists() else (0, 0)
-        since = self.entry.get()[0] if self.entry.exists() else None
-        renewed = False
-        for at in sorted(int(x) for batch in rows for x in batch["at"]):
-            if since is not None and at - since < self.ttl_ms * 1000:
-                hits += 1
-            else:
-                since, renewals, renewed = at, renewals + 1, True
-        if renewed:
-            self.entry.update((since,))
-        self.counts.update((renewals, hits))
-        yield pd.DataFrame([dict(zip(self.names, key, strict=True)) | {"renewals": renewals, "hits": hits, "renewed_at": since}])
-
-    def close(self) -> None:
-        pass
-
-
 def renewals(stream: DataFrame, keys: list[str], ttl: str, at: str | None = None) -> DataFrame:
     """N-04: for each key how often its entry was made or renewed, how often it was found fresh, and when it was last renewed (microseconds).
     Learning guides stay fresh for 30 days, exposures count for 72 hours, parameters are fitted again after 24 hours."""
-    rows = answers(stream).select(*keys, F.unix_micros("created_at").alias("at"))
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
     ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
-    s = rows.groupBy(*keys).transformWithStateInPandas(Renewal(keys, ttl_ms), f"{kinds}, renewals long, hits long, renewed_at long", "Update", "ProcessingTime")
-    return latest(s.withColumn("version", F.col("renewals") + F.col("hits")), keys, "version", at, clock=True).drop("version")
+    clock = {}
+
+    def start() -> Column:
+        clock["ms"] = F.lit(int(time.time() * 1000))
+        return F.struct(F.lit(None).cast("long").alias("since"), F.lit(0).cast("long").alias("written"), F.lit(0).cast("long").alias("renewals"), F.lit(0).cast("long").alias("hits"))
+
+    def step(s: Column, at: Column) -> Column:
+        # fresh by the lookups' times, and not written so long ago by the clock
+        fresh = F.coalesce((at - s["since"] < ttl_ms * 1000) & (clock["ms"] - s["written"] < ttl_ms), F.lit(False))
+        return F.struct(F.when(fresh, s["since"]).otherwise(at).alias("since"), F.when(fresh, s["written"]).otherwise(clock["ms"]).alias("written"), (s["renewals"] + F.when(fresh, 0).otherwise(1)).alias("renewals"), (s["hits"] + F.when(fresh, 1).otherwise(0)).alias("hits"))
+
+    f = folded(answers(stream).select(*keys, F.unix_micros("created_at").alias("at")), keys, F.col("at"), start, step, at)
+    return f.select(*keys, "state.renewals", "state.hits", F.col("state.since").alias("renewed_at"))

@@ -1,6 +1,6 @@
 """Plans that keep a document's work in its row."""
 
-from gradus.plans import graphs, intake, lookups, paths, triples
+from gradus.plans import graphs, intake, lookups, paths, streams, triples
 from gradus.sources import views
 
 
@@ -44,8 +44,13 @@ def test_partitions_grow_with_the_lines(spark, sf, monkeypatch):
 
 
 def test_requests_take_theirs_from_one_array(spark, sf):
-    assert plan_of(lookups.asked(spark, sf)).count("Window") == 1
+    assert "windowspecdefinition(request" not in plan_of(lookups.asked(spark, sf))
 
 
 def test_cycles_are_searched_many_documents_at_a_time(spark, sf):
     assert "FlatMapGroupsInPandas" not in plan_of(graphs.cycle_filter(spark, sf))
+
+
+def test_states_are_folded_without_python(spark, sf):
+    for df in (streams.stream_exposures(spark, sf), streams.stream_fsrs(spark, sf), streams.stream_mastery(spark, sf)):
+        assert all("/states/" in f for f in df.inputFiles())
