@@ -183,10 +183,17 @@ def five_check_quality(spark, sf_dir) -> DataFrame:
     return five_checks(views.table(spark, sf_dir, "documents"), views.doc_pages(spark, sf_dir))
 
 
+#: Parts whose mentions a task holds, at most about so many.
+PARTS_A_TASK = 50_000
+
+
 def concept_mentions(spark, sf_dir) -> DataFrame:
     """Names of parts as mentions of concepts, in order of part and place, with what each mention says of the concept."""
-    p = views.table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 3 == 0, F.col("p_type")).alias("definition"), F.array("p_brand", "p_type", "p_brand").alias("examples"), F.array(F.concat(F.lit("size "), F.col("p_size") % 7), F.when(F.col("p_size") % 2 == 0, F.lit(""))).alias("formulas"))
-    n = views.raw_names(spark, sf_dir).withColumn("key", T.canonical(F.col("name"))).join(p, "p_partkey")
+    parts = views.table(spark, sf_dir, "part")
+    # parts are few bytes that make many rows, which one task would hold and sort
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-parts.count() // PARTS_A_TASK))
+    p = parts.select("p_partkey", F.when(F.col("p_size") % 3 == 0, F.col("p_type")).alias("definition"), F.array("p_brand", "p_type", "p_brand").alias("examples"), F.array(F.concat(F.lit("size "), F.col("p_size") % 7), F.when(F.col("p_size") % 2 == 0, F.lit(""))).alias("formulas"))
+    n = views.raw_names(spark, sf_dir).repartition(tasks, "p_partkey").withColumn("key", T.canonical(F.col("name"))).join(p, "p_partkey")
     return n.withColumn("examples", F.when(F.col("pos") == 0, F.array(F.lit("seen first"))).otherwise(F.col("examples"))).withColumn("misconceptions", F.lit(None).cast("array<string>"))
 
 
