@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chunking
@@ -16,6 +18,8 @@ from .models import _MASTERY
 from .views_sql import r6, sql
 
 QUERIES, SQL = {}, {}
+#: Buckets of shingles by whose sizes shingles are put in order; a power of two.
+GRAM_BUCKETS = 1 << 16
 
 
 def query(name: str, statement: str | None = None):
@@ -69,23 +73,32 @@ own as (select r.rd, r.rc, r.n, g.g from reps r join grams g on g.doc_id = r.rd
 @query("near_duplicate_chunks", sql(f"""select 'copy' as kind, s.doc_id as doc_a, s.chunk_index as chunk_a, rd as doc_b, rc as chunk_b, 1.0::double as jaccard from sets s join reps r using (k) where (s.doc_id, s.chunk_index) <> (rd, rc)
   union all select 'pair', ad, ac, bd, bc, {r6('common::double / (na + nb - common)')} from (select x.rd as ad, x.rc as ac, y.rd as bd, y.rc as bc, count(*) as common, any_value(x.n) as na, any_value(y.n) as nb from own x join own y on x.g = y.g and (x.rd, x.rc) < (y.rd, y.rc) group by 1, 2, 3, 4) where common::double / (na + nb - common) >= 0.85::double""", "chunks_fixed", more=_SETS))
 def near_duplicate_chunks(spark, sf_dir) -> DataFrame:
-    """C-12: chunks with the same 5-word shingles as copies of their first, and pairs of such firsts with Jaccard >= 0.85. A pair at that
-    level must share one of the rarest 15 % of the smaller set, so only those shingles are joined."""
-    c = views.chunks_fixed(spark, sf_dir)
+    """C-12: chunks with the same 5-word shingles as copies of their first, and pairs of such firsts with Jaccard >= 0.85. A pair at that level
+    shares one of the first 15 % of each set in any one order of all shingles, so only those are joined. The order is by how many shingles fall
+    into a shingle's bucket, rarest first, which tells frequent shingles without a count of each; the buckets are a fixed number."""
+    runs = lambda w: F.array_sort(F.array_distinct(F.transform(T.word_runs(w, 5), lambda g: F.xxhash64(g))))
+    key = lambda s: F.struct(s.alias("s"), F.md5(F.array_join(F.transform(s, lambda x: x.cast("string")), "|")).alias("k"))
     w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    c = c.select(F.struct("doc_id", "chunk_index").alias("id"), w.alias("w")).where("size(w) >= 5")
-    c = c.select("id", F.array_sort(F.array_distinct(F.transform(T.word_runs(F.col("w"), 5), lambda g: F.xxhash64(g)))).alias("s"))
-    key = F.md5(F.array_join(F.transform("s", lambda x: x.cast("string")), "|"))
-    keyed = written(written(c).withColumn("k", key))
-    reps = keyed.groupBy("k").agg(F.min("id").alias("rep"))
-    copies = keyed.select("id", "k").join(reps, "k").where("id <> rep").select(F.lit("copy").alias("kind"), F.col("id").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard"))
-    own = written(keyed.join(reps, "k").where("id = rep").select("id", "s"))
-    g = own.select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
-    df = g.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
-    rare = g.join(df, "g").withColumn("r", rank).where("r <= n - ceil(0.85 * n) + 1").select("id", "g")
-    pair = rare.select(F.col("id").alias("a"), "g").join(rare.select(F.col("id").alias("b"), "g"), "g").where("a < b").select("a", "b").distinct()
-    j = pair.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
+    c = views.chunks_fixed(spark, sf_dir).select(F.struct("doc_id", "chunk_index").alias("id"), w.alias("w")).where("size(w) >= 5")
+    # each step is of the element of an array, so that it is made once
+    keyed = written(c.select("id", F.transform(F.transform(F.array("w"), runs), key)[0].alias("x")).select("id", "x.s", "x.k"))
+    load = np.zeros(GRAM_BUCKETS, dtype=np.int64)
+    for b, n in keyed.select(F.explode("s").alias("g")).groupBy(F.col("g").bitwiseAND(F.lit(GRAM_BUCKETS - 1)).alias("b")).count().collect():  # at most GRAM_BUCKETS rows
+        load[b] = n
+
+    @F.pandas_udf("array<long>")
+    def first(sets: pd.Series) -> pd.Series:
+        return sets.map(lambda g: g[np.lexsort((g, load[g & (GRAM_BUCKETS - 1)]))][: len(g) - (85 * len(g) + 99) // 100 + 1])
+
+    reps = written(keyed.select("k", "id", F.size("s").alias("n"), first("s").alias("p")).groupBy("k").agg(F.min(F.struct("id", "n", "p")).alias("r")).select("k", "r.*"))
+    copies = keyed.select("id", "k").join(reps.select("k", F.col("id").alias("rep")), "k").where("id <> rep").select(F.lit("copy").alias("kind"), F.col("id").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard"))
+    rare = reps.select("id", "n", F.posexplode("p").alias("at", "g"))
+    met = rare.toDF("a", "na", "pa", "g").join(rare.toDF("b", "nb", "pb", "g"), "g").where("a < b")
+    # sizes that allow the level, and enough shingles from the first common one on
+    pair = met.where("100 * least(na, nb) >= 85 * greatest(na, nb) and 185 * least(na - pa, nb - pb) >= 85 * (na + nb)").select("a", "b").distinct()
+    pair = written(pair)
+    sets = keyed.select("id", "s").join(pair.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+    j = pair.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     jac = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
     pairs = j.select(F.lit("pair").alias("kind"), "a", "b", jac.alias("j")).where("j >= 0.85").withColumn("jaccard", half_up(F.col("j"))).drop("j")
     return copies.unionByName(pairs).select("kind", F.col("a.doc_id").alias("doc_a"), F.col("a.chunk_index").alias("chunk_a"), F.col("b.doc_id").alias("doc_b"), F.col("b.chunk_index").alias("chunk_b"), "jaccard")

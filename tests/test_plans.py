@@ -1,6 +1,6 @@
 """Plans that keep a document's work in its row."""
 
-from gradus.plans import graphs, intake, lookups, paths, streams, triples
+from gradus.plans import extraction, graphs, intake, lookups, more, paths, streams, triples
 from gradus.sources import views
 
 
@@ -54,3 +54,13 @@ def test_cycles_are_searched_many_documents_at_a_time(spark, sf):
 def test_states_are_folded_without_python(spark, sf):
     for df in (streams.stream_exposures(spark, sf), streams.stream_fsrs(spark, sf), streams.stream_mastery(spark, sf)):
         assert all("/states/" in f for f in df.inputFiles())
+
+
+def test_mentions_are_dealt_over_tasks(spark, sf, monkeypatch):
+    monkeypatch.setattr(extraction, "PARTS_A_TASK", 10)
+    assert extraction.concept_mentions(spark, sf).rdd.getNumPartitions() > 10
+
+
+def test_shingles_are_not_counted_one_by_one(spark, sf):
+    plan = plan_of(more.near_duplicate_chunks(spark, sf))
+    assert "row_number" not in plan and "df#" not in plan
