@@ -150,7 +150,7 @@ def sai(spark, sf_dir) -> DataFrame:
     a = views.attempts(spark, sf_dir)
     y, c = F.col("correct").cast("double"), F.when(F.col("confidence") == 0, 0.5).otherwise(F.col("confidence"))
     m = folds.mastery_fold(a).groupBy("user_id").agg(F.avg("mastery").alias("m"))
-    r = a.groupBy("user_id").agg(F.avg(y).alias("acc"), F.avg(1 - F.abs(y - c)).alias("cal"))
+    r = a.groupBy("user_id").agg(F.avg(y).alias("acc"), M.exact_mean(1 - F.abs(y - c)).alias("cal"))
     w = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("session_id"))
     s = views.sessions(spark, sf_dir).withColumn("back", F.row_number().over(w)).where("back <= 10").groupBy("user_id").agg(F.coalesce(F.regr_slope("score", -F.col("back").cast("double")), F.lit(0.0)).alias("slope"))
     trend = M.clamp(50 + 10 * F.col("slope"), 0.0, 100.0)
