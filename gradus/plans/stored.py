@@ -64,8 +64,8 @@ def graph_merge(spark, sf_dir) -> DataFrame:
         store.merge_triples(at, t.where(F.col("chunk") % 3 == k), f"batch {k}", buckets)
     one = F.lit(1).cast("long").alias("n")
     nodes = store.graph_nodes(spark, at).select(F.lit("node").alias("kind"), "doc", F.col("name").alias("a"), F.lit("").alias("b"), F.col("mention_count").alias("n"))
-    relations = store.merged(spark, f"{at}/relations").select(F.lit("relation").alias("kind"), "doc", F.col("subject").alias("a"), F.concat_ws(" ", "relation", "object").alias("b"), one)
-    mentions = store.merged(spark, f"{at}/mentions").select(F.lit("mention").alias("kind"), "doc", F.col("name").alias("a"), F.col("chunk").cast("string").alias("b"), one)
+    relations = store.graph_relations(spark, at).select(F.lit("relation").alias("kind"), "doc", F.col("subject").alias("a"), F.concat_ws(" ", "relation", "object").alias("b"), one)
+    mentions = store.graph_mentions(spark, at).select(F.lit("mention").alias("kind"), "doc", F.col("name").alias("a"), F.col("chunk").cast("string").alias("b"), one)
     return nodes.unionByName(relations).unionByName(mentions)
 
 

@@ -36,21 +36,29 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
 def newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key: that of the highest order; nulls stand lowest. A maximum that combines before the shuffle, not a sort."""
     rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("x")).select(*keys, "x.*")
 
 
 def merge_into(path: str, batch: DataFrame, keys: list[str], order: list[str], buckets: int) -> None:
     """Insert the batch's rows, or replace those of the same keys. Of several rows of a key the one of the highest `order` stays, whether it comes
     first or last, so a batch may be repeated, or come late, without a change. Give `order` enough columns to decide."""
-    rows = written(newest(batch, keys, order).withColumn(_BUCKET, _bucket(keys, buckets)))
-    touched = [r[_BUCKET] for r in rows.select(_BUCKET).distinct().collect()]  # at most `buckets` numbers
+    _merge(path, written(batch), keys, _bucket(keys, buckets), order)
+
+
+def _merge(path: str, batch: DataFrame, keys: list[str], bucket: Column, order: list[str]) -> None:
+    """As merge_into, of rows that are the same whenever they are read. They and those they meet are dealt by partition once and written from there:
+    Spark moves partitions that are overwritten dynamically into place at the end of the job, so that they may be read in it."""
+    rows = batch.withColumn(_BUCKET, bucket)
+    touched = [r[_BUCKET] for r in rows.select(_BUCKET).distinct().collect()]  # at most as many numbers as partitions
     if not touched:
         return
     old = stored(batch.sparkSession, path)
     if old is not None:
-        rows = newest(rows.unionByName(old.where(F.col(_BUCKET).isin(touched)).select(*rows.columns)), [*keys, _BUCKET], order)
-        rows = written(rows)  # what is replaced must not be read any more
-    rows.repartition(_BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_BUCKET).parquet(path)
+        rows = rows.unionByName(old.where(F.col(_BUCKET).isin(touched)).select(*rows.columns))
+    rows = newest(rows.repartition(_BUCKET), [_BUCKET, *keys], order)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_BUCKET).parquet(path)
 
 
 def merged(spark: SparkSession, path: str) -> DataFrame:
@@ -58,18 +66,37 @@ def merged(spark: SparkSession, path: str) -> DataFrame:
     return stored(spark, path).drop(_BUCKET)
 
 
+#: Numbers that names of batches are hashed to.
+BATCHES = 1 << 20
+
+
 def merge_triples(path: str, triples: DataFrame, batch: str, buckets: int) -> None:
-    """A-11: triples (doc, chunk, subject, relation, object) of a named batch as nodes, relations and mentions under `path`. Counts of mentions are kept
-    by batch, so that a batch that is merged again counts once. Relations whose name holds more than letters, digits and underscores are left out,
-    and so are triples without a subject or object."""
+    """A-11: triples (doc, chunk, subject, relation, object) of a named batch as nodes, relations and mentions under `path`, each kept by batch: a batch that
+    is merged again counts once, and a merge reads and writes its own batch's partitions only. Relations whose name holds more than letters, digits
+    and underscores are left out, and so are triples without a subject or object."""
     triples = written(triples.where("subject is not null and object is not null"))
     ends = triples.select("doc", "chunk", F.explode(F.array("subject", "object")).alias("name"))
-    merge_into(f"{path}/nodes", ends.groupBy("doc", "name").agg(F.count("*").alias("mentions")).withColumn("batch", F.lit(batch)), ["doc", "name", "batch"], ["mentions"], buckets)
     safe = triples.where(F.col("relation").rlike("^_*[A-Za-z0-9][A-Za-z0-9_]*$"))
-    merge_into(f"{path}/relations", safe.select("doc", "subject", "relation", "object", F.lit(batch).alias("batch")), ["doc", "subject", "relation", "object"], ["batch"], buckets)
-    merge_into(f"{path}/mentions", ends.select("doc", "chunk", "name", F.lit(batch).alias("batch")), ["doc", "chunk", "name"], ["batch"], buckets)
+    tables = {
+        "nodes": (ends.groupBy("doc", "name").agg(F.count("*").alias("mentions")), ["doc", "name"], ["mentions"]),
+        "relations": (safe.select("doc", "subject", "relation", "object"), ["doc", "subject", "relation", "object"], ["batch"]),
+        "mentions": (ends, ["doc", "chunk", "name"], ["batch"]),
+    }
+    for name, (rows, keys, order) in tables.items():
+        bucket = F.pmod(F.xxhash64("batch"), F.lit(BATCHES)) * buckets + _bucket(keys, buckets)
+        _merge(f"{path}/{name}", rows.withColumn("batch", F.lit(batch)), [*keys, "batch"], bucket, order)
 
 
 def graph_nodes(spark: SparkSession, path: str) -> DataFrame:
     """(doc, name, mention_count) of the merged graph."""
     return merged(spark, f"{path}/nodes").groupBy("doc", "name").agg(F.sum("mentions").alias("mention_count"))
+
+
+def graph_relations(spark: SparkSession, path: str) -> DataFrame:
+    """(doc, subject, relation, object) of the merged graph, once each."""
+    return merged(spark, f"{path}/relations").drop("batch").distinct()
+
+
+def graph_mentions(spark: SparkSession, path: str) -> DataFrame:
+    """(doc, chunk, name) of the merged graph, once each."""
+    return merged(spark, f"{path}/mentions").drop("batch").distinct()

@@ -58,6 +58,20 @@ def test_graph_merge_counts_a_batch_once(spark, tmp_path):
     assert store.merged(spark, f"{at}/mentions").count() == 2 + 3 + 2 + 2  # names of each chunk
 
 
+def test_graph_merge_leaves_other_batches_alone(spark, tmp_path):
+    at = str(tmp_path / "g")
+    schema = "doc long, chunk long, subject string, relation string, object string"
+    rows = [(d, d, f"s{d}", "IS_A", f"o{d}") for d in range(40)]
+    store.merge_triples(at, spark.createDataFrame(rows, schema), "one", 4)
+    before = files(at)
+    store.merge_triples(at, spark.createDataFrame(rows, schema), "2", 4)
+    assert before.items() <= files(at).items()
+    store.merge_triples(at, spark.createDataFrame(rows, schema), "2", 4)
+    assert before.items() <= files(at).items()
+    assert store.graph_relations(spark, at).count() == 40 and store.graph_mentions(spark, at).count() == 80
+    assert {r.mention_count for r in store.graph_nodes(spark, at).collect()} == {2}
+
+
 def test_cascade_follows_references_around_cycles(spark):
     tables = {
         "folder": spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, None), (6, 5)], "id long, up long"),
