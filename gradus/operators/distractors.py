@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import PAIR_LETTERS
+from ..functions.text import PAIR_LETTERS, pair_codes
+from .rows import listed, placed
 
 #: Documents whose graphs are searched at a time, and the concepts that a word's bits stand for.
 DOCS, BITS = 512, 64
@@ -18,27 +18,6 @@ PICKS = pa.list_(pa.struct([("dist", pa.int32()), ("node", pa.int64())]))
 _PAIRS = len(PAIR_LETTERS) ** 2
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """The row of each element of an array column, and the elements."""
-    n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(len(column)), n), column.flatten()
-
-
-def _field(structs: pa.Array, name: str) -> np.ndarray:
-    return structs.field(name).to_numpy(zero_copy_only=False)
-
-
-def _pair_codes(names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of neighbouring characters of names that hold only letters, digits and blanks: the place of the name, and the pair as a number."""
-    code = np.zeros(256, dtype=np.int64)
-    code[np.frombuffer(PAIR_LETTERS.encode(), np.uint8)] = np.arange(len(PAIR_LETTERS))
-    size = pc.binary_length(names).fill_null(0).to_numpy(zero_copy_only=False)
-    c = code[np.frombuffer("".join(x for x in names.to_pylist() if x).encode(), np.uint8)]
-    at = np.repeat(np.arange(len(names)), size)
-    inside = at[:-1] == at[1:]
-    return at[:-1][inside], (c[:-1] * len(PAIR_LETTERS) + c[1:])[inside]
-
-
 def _tables(doc: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], n: np.ndarray) -> list[np.ndarray]:
     """Of each document the counts of pairs, one row a concept and one column a pair that it has. doc: of each concept, in order; n: concepts of a document."""
     at, pair = pairs
@@ -56,19 +35,14 @@ def _tables(doc: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], n: np.ndarray
 
 def _pick(edges: pa.Array, concepts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(documents of the answers, answers, number of their options, distances and nodes of the options) of documents' edges and concepts."""
-    (de, e), (dc, c) = _flat(edges), _flat(concepts)
-    src, dst, node = _field(e, "src"), _field(e, "dst"), _field(c, "node")
-    ids, code = np.unique(np.concatenate((node, src, dst)), return_inverse=True)
-    keys, place = np.unique(np.concatenate((dc, de, de)) * max(len(ids), 1) + code, return_inverse=True)
-    doc, node = keys // max(len(ids), 1), ids[keys % max(len(ids), 1)]
-    named, a, b = np.split(place, [len(dc), len(dc) + len(de)])
-    total, n = len(keys), np.bincount(keys // max(len(ids), 1), minlength=len(edges))
+    doc, node, n, named, a, b, c = placed(edges, concepts)
+    total = len(node)
     start = np.concatenate(([0], np.cumsum(n)))
     # relations in both directions, in order of where they lead from
     a, b = np.concatenate((a, b))[np.tile(a != b, 2)], np.concatenate((b, a))[np.tile(a != b, 2)]
     order = np.argsort(a, kind="stable")
     a, b = a[order], b[order]
-    at, pair = _pair_codes(c.field("name"))
+    at, pair = pair_codes(c.field("name"))
     table = _tables(doc, (named[at], pair), n)
     norm = np.sqrt(np.concatenate([(t * t).sum(axis=1) for t in table])) if total else np.zeros(0)
     rank, found, have = np.arange(total) - start[doc], [], {d: np.zeros(total, dtype=np.int64) for d in LEAST}
@@ -113,21 +87,16 @@ def _pick(edges: pa.Array, concepts: pa.Array) -> tuple[np.ndarray, np.ndarray,
 
 
 def picks(edges: Column, concepts: Column) -> Column:
-    """J-04 within a document's row: of its edges, an array of (src, dst), and its concepts, an array of (node, name) whose names are `text.letters`,
+    """J-04 within a document's row: of its edges, an array of (src, dst), and its concepts, an array of (node, name),
     an array of (answer, picks) with the options of each concept that has relations, which may be none. Options are alike by H-10; one of each distance
     up to three comes first, then the nearest. Bits stand for a document's concepts and numpy follows the relations of many documents at a time."""
 
     def run(e: pa.Array, c: pa.Array) -> pa.Array:
-        found = [pa.array([], type=row)]
+        found = [listed(np.zeros(0, dtype=np.int64), answer=pa.array([], pa.int64()), picks=pa.array([], PICKS))]
         for i in range(0, len(e), DOCS):
             doc, answer, n, dist, node = _pick(e.slice(i, DOCS), c.slice(i, DOCS))
-            options = pa.StructArray.from_arrays([pa.array(dist, pa.int32()), pa.array(node, pa.int64())], fields=list(PICKS.value_type))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), options)
-            answers = pa.StructArray.from_arrays([pa.array(answer, pa.int64()), lists], fields=list(row.value_type))
-            ends = np.cumsum(np.bincount(doc, minlength=min(DOCS, len(e) - i)))
-            found.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), answers))
+            options = listed(n, dist=pa.array(dist, pa.int32()), node=pa.array(node, pa.int64()))
+            found.append(listed(np.bincount(doc, minlength=min(DOCS, len(e) - i)), answer=pa.array(answer, pa.int64()), picks=options))
         return pa.concat_arrays(found)
 
-    row = pa.list_(pa.struct([("answer", pa.int64()), ("picks", PICKS)]))
-    run.__annotations__ = {"e": pa.Array, "c": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "array<struct<answer:bigint,picks:array<struct<dist:int,node:bigint>>>>")(edges, concepts)
