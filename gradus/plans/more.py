@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..functions import chunking
 from ..functions import formulas as M
 from ..functions import text as T
 from ..functions.formulas import half_up
+from ..functions.shingles import jaccard, set_key, shingle_sets
 from ..operators import folds
 from ..sources import views
 from ..sources.files import written
@@ -75,32 +78,41 @@ own as (select r.rd, r.rc, r.n, g.g from reps r join grams g on g.doc_id = r.rd
 def near_duplicate_chunks(spark, sf_dir) -> DataFrame:
     """C-12: chunks with the same 5-word shingles as copies of their first, and pairs of such firsts with Jaccard >= 0.85. A pair at that level
     shares one of the first 15 % of each set in any one order of all shingles, so only those are joined. The order is by how many shingles fall
-    into a shingle's bucket, rarest first, which tells frequent shingles without a count of each; the buckets are a fixed number."""
-    runs = lambda w: F.array_sort(F.array_distinct(F.transform(T.word_runs(w, 5), lambda g: F.xxhash64(g))))
-    key = lambda s: F.struct(s.alias("s"), F.md5(F.array_join(F.transform(s, lambda x: x.cast("string")), "|")).alias("k"))
-    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    c = views.chunks_fixed(spark, sf_dir).select(F.struct("doc_id", "chunk_index").alias("id"), w.alias("w")).where("size(w) >= 5")
-    # each step is of the element of an array, so that it is made once
-    keyed = written(c.select("id", F.transform(F.transform(F.array("w"), runs), key)[0].alias("x")).select("id", "x.s", "x.k"))
+    into a shingle's bucket, rarest first, which tells frequent shingles without a count of each; the buckets are a fixed number. Sets are made again where
+    they are needed and not written."""
+    c = views.chunks_fixed(spark, sf_dir).select(F.struct("doc_id", "chunk_index").alias("id"), "text")
+
+    def buckets(texts: pa.Array) -> pa.Array:
+        found = [s & (GRAM_BUCKETS - 1) for s in shingle_sets(texts)]
+        return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(b) for b in found]))).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *found]), pa.int32()))
+
     load = np.zeros(GRAM_BUCKETS, dtype=np.int64)
-    for b, n in keyed.select(F.explode("s").alias("g")).groupBy(F.col("g").bitwiseAND(F.lit(GRAM_BUCKETS - 1)).alias("b")).count().collect():  # at most GRAM_BUCKETS rows
+    for b, n in c.select(F.explode(F.arrow_udf(buckets, "array<int>")("text")).alias("b")).groupBy("b").count().collect():  # at most GRAM_BUCKETS rows
         load[b] = n
 
-    @F.pandas_udf("array<long>")
-    def first(sets: pd.Series) -> pd.Series:
-        return sets.map(lambda g: g[np.lexsort((g, load[g & (GRAM_BUCKETS - 1)]))][: len(g) - (85 * len(g) + 99) // 100 + 1])
+    def rarest(texts: pa.Array) -> pa.Array:
+        sets = shingle_sets(texts)
+        p = [g[np.lexsort((g, load[g & (GRAM_BUCKETS - 1)]))][: len(g) - (85 * len(g) + 99) // 100 + 1] if len(g) else g for g in sets]
+        return pa.StructArray.from_arrays([pa.array([set_key(g) for g in sets]), pa.array([len(g) for g in sets], pa.int32()), pa.array(p, pa.list_(pa.int64()))], names=["k", "n", "p"])
 
-    reps = written(keyed.select("k", "id", F.size("s").alias("n"), first("s").alias("p")).groupBy("k").agg(F.min(F.struct("id", "n", "p")).alias("r")).select("k", "r.*"))
-    copies = keyed.select("id", "k").join(reps.select("k", F.col("id").alias("rep")), "k").where("id <> rep").select(F.lit("copy").alias("kind"), F.col("id").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard"))
-    rare = reps.select("id", "n", F.posexplode("p").alias("at", "g"))
+    keyed = c.select("id", F.arrow_udf(rarest, "k string, n int, p array<long>")("text").alias("x")).select("id", "x.*").where("n > 0")
+    keys = written(keyed.groupBy("k").agg(F.min(F.struct("id", "n", "p")).alias("r")).select("k", "r.*"))
+    own = F.arrow_udf(lambda texts: pa.array([set_key(g) if len(g) else None for g in shingle_sets(texts)], pa.string()), "string")
+    copies = c.select("id", own("text").alias("k")).join(keys.select("k", F.col("id").alias("rep")), "k").where("id <> rep").select(F.lit("copy").alias("kind"), F.col("id").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard"))
+    rare = keys.select("id", "n", F.posexplode("p").alias("at", "g"))
     met = rare.toDF("a", "na", "pa", "g").join(rare.toDF("b", "nb", "pb", "g"), "g").where("a < b")
     # sizes that allow the level, and enough shingles from the first common one on
     pair = met.where("100 * least(na, nb) >= 85 * greatest(na, nb) and 185 * least(na - pa, nb - pb) >= 85 * (na + nb)").select("a", "b").distinct()
     pair = written(pair)
-    sets = keyed.select("id", "s").join(pair.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
-    j = pair.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    jac = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
-    pairs = j.select(F.lit("pair").alias("kind"), "a", "b", jac.alias("j")).where("j >= 0.85").withColumn("jaccard", half_up(F.col("j"))).drop("j")
+
+    def alike(x: pa.Array, y: pa.Array) -> pa.Array:
+        sets = [shingle_sets(pa.array([zlib.decompress(t).decode() for t in z.to_pylist()], pa.string())) for z in (x, y)]
+        return pa.array([jaccard(s, t) for s, t in zip(*sets, strict=True)], pa.float64())
+
+    # texts go to their pairs, packed, not sets, which are as long and cannot be compressed
+    packed = c.select("id", F.arrow_udf(lambda texts: pa.array([zlib.compress(t.encode()) for t in texts.to_pylist()], pa.binary()), "binary")("text"))
+    j = pair.join(packed.toDF("a", "x"), "a").join(packed.toDF("b", "y"), "b")
+    pairs = j.select(F.lit("pair").alias("kind"), "a", "b", F.arrow_udf(alike, "double")("x", "y").alias("j")).where("j >= 0.85").withColumn("jaccard", half_up(F.col("j"))).drop("j")
     return copies.unionByName(pairs).select("kind", F.col("a.doc_id").alias("doc_a"), F.col("a.chunk_index").alias("chunk_a"), F.col("b.doc_id").alias("doc_b"), F.col("b.chunk_index").alias("chunk_b"), "jaccard")
 
 
