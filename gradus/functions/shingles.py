@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 WORDS = 5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_LETTER = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
 #: Texts whose shingles are made at a time.
 TEXTS = 256
 
@@ -21,13 +22,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    return x[np.concatenate(([True], x[1:] != x[:-1]))[: len(x)]]
+
+
 def _some(texts: pa.Array) -> list[np.ndarray]:
     low = pc.utf8_lower(texts).to_pylist()
     data = [t.encode() + b" " for t in low]
     c = np.frombuffer(b" " + b"".join(data), np.uint8)
-    word = ((c >= 97) & (c <= 122)) | ((c >= 48) & (c <= 57))
-    edge = np.diff(word.astype(np.int8))
-    begin, end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+    word = _LETTER[c]
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    begin, end = edge[::2], edge[1::2]  # blanks stand first and last
     # a word is a polynomial of its letters, wherever it stands
     powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(c) - 1, _BASE))))
     back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(c) - 1, _INVERSE))))
@@ -39,7 +44,7 @@ def _some(texts: pa.Array) -> list[np.ndarray]:
     g = _mixed(g).view(np.int64)
     last = np.searchsorted(begin, np.cumsum([len(d) for d in data]) + 1)
     first = np.concatenate(([0], last[:-1]))
-    return [np.unique(g[i : max(j - WORDS + 1, i)]) for i, j in zip(first, last, strict=True)]
+    return [_distinct(np.sort(g[i : max(j - WORDS + 1, i)])) for i, j in zip(first, last, strict=True)]
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
